@@ -4,6 +4,8 @@ Every document gets an expected number of copies. The whole part is certain;
 for the fraction ``p`` the documents of a source are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` fixed by the document's
 id, and the first ones are taken until the source's words reach its target.
+At last up to two documents of a source change sides, each the one that brings
+the words nearest to the target, which matters for sources of few documents.
 
 Defined results: a null text has size 0 and takes no words; null sources form
 one source of their own, last in order; a null id draws the number of the
@@ -21,6 +23,8 @@ from .common import WORD, Scratch, broadcast_if
 
 #: Steps of the cumulative table per source; only memory for it depends on this, no result does.
 BINS = 4096
+#: How many documents of a source, at most, are put in or left out against their rank, to come nearer to its target.
+EXCHANGES = 2
 SEED = "mix-1"
 
 
@@ -55,7 +59,7 @@ def reshared_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), m
         .withColumn("cap", F.col("source_size") * float(most))
         .withColumn("own_level", level)
         .withColumn("open", F.col("cap") > F.col("own_level") * F.col("w"))
-        .withColumn("level", F.min(F.when(F.col("open"), F.col("own_level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("open"), F.col("own_level"))).over(everything))
         .select("source", "source_size", F.when(F.col("open"), F.col("level") * F.col("w")).otherwise(F.col("cap")).alias("target"))
     )
 
@@ -83,7 +87,7 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, *, most: f
         .withColumn("q", q)
         .withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int"))
     )
-    ranked = scratch.write(ranked.drop("expected", "u", "scale", "measure"), "ranked")
+    ranked = scratch.write(ranked.drop("expected", "u", "scale", "measure").withColumn("row", F.monotonically_increasing_id()), "ranked")
     certain = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("left"))
     cumulative = W.partitionBy("source").orderBy("bin")
     bins = (
@@ -102,8 +106,27 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, *, most: f
         # A document goes in if more than half of it still fits.
         .withColumn("extra", (F.col("before") + F.col("in_bin") - F.col("size") / 2 <= F.col("left")).cast("long"))
     )
-    copies = (F.col("certain") + F.when(F.col("bin").isNull(), 0).otherwise(F.coalesce(F.col("extra"), F.lit(0)))).cast("long")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    chosen = chosen.withColumn("extra", F.coalesce(F.col("extra"), F.lit(0)).cast("long")).drop("in_bin", "before", "left", "b_source", "b_bin")
+    for turn in range(EXCHANGES):
+        chosen = _exchanged(scratch.write(chosen, f"chosen{turn}"), n_sources)
+    copies = (F.col("certain") + F.col("extra")).cast("long")
+    return chosen.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _exchanged(chosen: DataFrame, n_sources: int) -> DataFrame:
+    """Take or leave the one document per source that brings its words nearest to the target, if any does."""
+    gaps = chosen.groupBy(F.col("source").alias("g_source")).agg((F.first("target") - F.sum((F.col("certain") + F.col("extra")) * F.col("size"))).alias("gap"))
+    off = F.abs(F.col("gap") - F.when(F.col("extra") == 0, F.col("size")).otherwise(-F.col("size")))
+    better = (
+        chosen.where("bin IS NOT NULL")
+        .join(broadcast_if(gaps, n_sources), F.col("source").eqNullSafe(F.col("g_source")))
+        .where(off < F.abs(F.col("gap")))
+        .groupBy("source")
+        .agg(F.min(F.struct(off.alias("off"), "q", "doc_id", "row")).alias("best"))
+        .select(F.col("best.row").alias("best_row"))
+    )
+    turned = F.when(F.col("best_row").isNotNull(), 1 - F.col("extra")).otherwise(F.col("extra"))
+    return chosen.join(broadcast_if(better, n_sources), F.col("row") == F.col("best_row"), "left").withColumn("extra", turned).drop("best_row")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -140,7 +163,7 @@ weighed AS (SELECT source, source_size, source_size * 3.0::DOUBLE AS cap,
   [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM sizes),
 levels AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM weighed),
-level AS (SELECT min(own) AS x FROM levels WHERE cap > own * w),
+level AS (SELECT max(own) AS x FROM levels WHERE cap > own * w),
 targets AS (SELECT source, source_size, CASE WHEN cap > own * w THEN x * w ELSE cap END AS target FROM levels, level),
 ranked AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.source, t.target / t.source_size AS expected,
@@ -149,10 +172,17 @@ ranked AS (
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 cut AS (
   SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS rest,
-    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked)
-SELECT doc_id, size, source_size, round(target, 3) AS target,
-  CAST((certain + CASE WHEN expected - certain > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM cut
+    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked),
+x0 AS (SELECT *, expected - certain > 0 AS can, CASE WHEN expected - certain > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS extra FROM cut),
+g0 AS (SELECT *, target - sum((certain + extra) * size) OVER (PARTITION BY source) AS gap FROM x0),
+o0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) DESC,
+  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), u, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g0),
+x1 AS (SELECT * EXCLUDE (extra, gap, turn), CASE WHEN turn THEN 1 - extra ELSE extra END AS extra FROM o0),
+g1 AS (SELECT *, target - sum((certain + extra) * size) OVER (PARTITION BY source) AS gap FROM x1),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) DESC,
+  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), u, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g1),
+x2 AS (SELECT * EXCLUDE (extra), CASE WHEN turn THEN 1 - extra ELSE extra END AS extra FROM o1)
+SELECT doc_id, size, source_size, round(target, 3) AS target, CAST((certain + extra) * size AS BIGINT) AS taken FROM x2
 """
 
 
