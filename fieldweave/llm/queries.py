@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, quality
 
 QUERIES = {
+    "op5_rule_ledger": quality.query,
+    "op7_best_fit_packing": packing.query,
     "op8_pareto_mix": mixing.query,
 }
 ORACLES = {
+    "op5_rule_ledger": quality.ORACLE,
     "op8_pareto_mix": mixing.ORACLE,
 }
