@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality
+from . import mixing, ngram_join, packing, quality, topk
 
 QUERIES = {
+    "op4_norm_sorted_topk": topk.query,
     "op5_rule_ledger": quality.query,
     "op7_best_fit_packing": packing.query,
     "op8_pareto_mix": mixing.query,
+    "op9_signature_tree_join": ngram_join.query,
 }
 ORACLES = {
+    "op4_norm_sorted_topk": topk.ORACLE,
     "op5_rule_ledger": quality.ORACLE,
     "op8_pareto_mix": mixing.ORACLE,
 }
