@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, quality, topk
+from . import line_dedup, mixing, ngram_join, packing, quality, topk
 
 QUERIES = {
+    "op3_line_set_join": line_dedup.query,
     "op4_norm_sorted_topk": topk.query,
     "op5_rule_ledger": quality.query,
     "op7_best_fit_packing": packing.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op9_signature_tree_join": ngram_join.query,
 }
 ORACLES = {
+    "op3_line_set_join": line_dedup.ORACLE,
     "op4_norm_sorted_topk": topk.ORACLE,
     "op5_rule_ledger": quality.ORACLE,
     "op8_pareto_mix": mixing.ORACLE,
