@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, quality, topk
+from . import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk
 
 QUERIES = {
     "op3_line_set_join": line_dedup.query,
     "op4_norm_sorted_topk": topk.query,
     "op5_rule_ledger": quality.query,
+    "op6_debruijn_dedup": substring_dedup.query,
     "op7_best_fit_packing": packing.query,
     "op8_pareto_mix": mixing.query,
     "op9_signature_tree_join": ngram_join.query,
@@ -16,5 +17,6 @@ ORACLES = {
     "op3_line_set_join": line_dedup.ORACLE,
     "op4_norm_sorted_topk": topk.ORACLE,
     "op5_rule_ledger": quality.ORACLE,
+    "op6_debruijn_dedup": substring_dedup.ORACLE,
     "op8_pareto_mix": mixing.ORACLE,
 }
