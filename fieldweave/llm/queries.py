@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk
+from . import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_classifier_chain": toxicity.query,
     "op3_line_set_join": line_dedup.query,
     "op4_norm_sorted_topk": topk.query,
     "op5_rule_ledger": quality.query,
