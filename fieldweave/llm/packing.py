@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,8 +43,8 @@ END = np.uint32(1).tobytes()
 GROUPS = 40
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
-#: Entries of a worker's memory of words; beyond it the memory starts anew.
-MEMORY = 300_000
+#: Entries of a worker's memory of words, about 200 bytes each; beyond it the memory starts anew.
+MEMORY = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -75,7 +76,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     for start in range(0, len(new), 20_000):
         some = new[start : start + 20_000]
         for word, ids in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-            known[word] = np.asarray(ids.ids, np.uint32).tobytes()
+            known[word] = array("I", ids.ids).tobytes()
     look = known.__getitem__
     return [b"".join([*map(look, x), END]) for x in split]
 
