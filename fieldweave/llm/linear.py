@@ -9,6 +9,7 @@ scoring is one look-up per distinct word.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -50,8 +51,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _occurring(words: list[bytes], share: bool) -> dict[bytes, int]:
+    """The words that count and how often: all if shares are asked for, else each distinct one once."""
+    return Counter(words) if share else dict.fromkeys(words, 1)
+
+
 def _scaled(counts: np.ndarray, sizes: np.ndarray, share: bool) -> np.ndarray:
-    """A feature's value from the number of distinct words that have it: its share of them, or a logarithm."""
+    """A feature's value from the number of words that have it: their share, or a logarithm."""
     return np.sqrt(counts / np.maximum(sizes, 1)[:, None]) if share else np.log1p(counts)
 
 
@@ -59,15 +65,19 @@ class WordTable:
     """Texts as distinct words with features, for selecting and fitting."""
 
     def __init__(self, texts: list[bytes], features: Features, share: bool):
-        place: dict[bytes, int] = {}
-        lists = [np.fromiter((place.setdefault(w, len(place)) for w in sorted(set(t.split()))), np.int64) for t in texts]
         self.share, self.n = share, len(texts)
-        words = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        self.sizes = np.array([len(x) for x in lists], np.int64)
-        text = np.repeat(np.arange(self.n), self.sizes)
+        place: dict[bytes, int] = {}
+        found = [_occurring(t.split(), share) for t in texts]
+        words = np.array([place.setdefault(w, len(place)) for x in found for w in x], np.int64)
+        times = np.array([n for x in found for n in x.values()], float)
+        self.sizes = np.array([sum(x.values()) for x in found], np.int64)
+        text = np.repeat(np.arange(self.n), [len(x) for x in found])
         table = np.array([features(w) for w in place], np.int64).reshape(len(place), -1)
-        pairs = (text[:, None] * SPACE + table[words]).ravel()
-        self.pairs, self.counts = np.unique(pairs, return_counts=True)
+        if not len(table):
+            self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0)
+        else:
+            self.pairs, at = np.unique((text[:, None] * SPACE + table[words]).ravel(), return_inverse=True)
+            self.counts = np.bincount(at.ravel(), np.repeat(times, table.shape[1]), len(self.pairs))
         self.text, self.feature = self.pairs // SPACE, self.pairs % SPACE
 
     def select(self, y: np.ndarray, rows: np.ndarray, most: int = SELECTED) -> np.ndarray:
@@ -148,8 +158,8 @@ class WordScorer:
                 self.known[word] = 0
 
     def values(self, split: list[list[bytes]]) -> np.ndarray:
-        sets = [set(x) for x in split]
-        sizes = np.array([len(x) for x in sets], np.int64)
+        sets = [_occurring(x, self.share) for x in split]
+        sizes = np.array([len(x) for x in (split if self.share else sets)], np.int64)
         counts = np.zeros((len(sets), len(self.selected)))
         if len(self.selected):
             new = set().union(*sets).difference(self.known)
@@ -161,9 +171,11 @@ class WordScorer:
                 self._learn(list(new))
             look = self.known.__getitem__
             for i, words in enumerate(sets):
-                rows = [self.hits[k] for k in map(look, words) if k]
-                if rows:
-                    counts[i] = np.bincount(np.concatenate(rows), minlength=len(self.selected))
+                hit = [(k, n) for k, n in zip(map(look, words), words.values(), strict=True) if k]
+                if hit:
+                    rows = [self.hits[k] for k, _ in hit]
+                    times = np.repeat([n for _, n in hit], [len(r) for r in rows])
+                    counts[i] = np.bincount(np.concatenate(rows), times, len(self.selected))
         return _scaled(counts, sizes, self.share)
 
 
