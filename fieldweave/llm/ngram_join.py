@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, slices, table, utf8
+from .common import Scratch, broadcast_if, slices, table, utf8
 from .components import components
 from .hashing import mixed, run_hashes, word_hashes
 
@@ -126,7 +126,7 @@ def prefix_length(n: np.ndarray | int):
 
 
 def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n, d1, d2, prefix`` for every row: size, digests and prefix of its shingle set."""
+    """``doc_id, n, d1, d2, prefix, bits`` for every row: size, digests, prefix and bitmap of its shingle set."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,13 +143,17 @@ def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Dat
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 places = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(first, lengths)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[places].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), prefix], ["doc_id", "n", "d1", "d2", "prefix"])
+                flags = np.zeros((len(texts), BITS), bool)
+                flags[owner, (hashes % np.uint64(BITS)).astype(np.int64)] = True
+                bits = pa.array([row.tobytes() for row in np.packbits(flags, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), prefix, bits], ["doc_id", "n", "d1", "d2", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``class, n, hashes, bits`` for the classes ``wanted(class, first_id, d1, d2)``, from one of their documents."""
+    """``class, n, hashes`` for the classes ``wanted(class, first_id, d1, d2)``, from one of their documents."""
+    wanted = broadcast_if(wanted, wanted.count())  # 32 bytes a row
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +162,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFr
                 owner, hashes = shingle_sets(own, width)
                 first, sizes, one, two = _digests(owner, hashes, len(own))
                 right = np.flatnonzero((one == part.column(1).to_numpy()) & (two == part.column(2).to_numpy()))
-                bits = []
-                for i in right:
-                    flags = np.zeros(BITS, bool)
-                    flags[(hashes[first[i] : first[i] + sizes[i]] % np.uint64(BITS)).astype(np.int64)] = True
-                    bits.append(np.packbits(flags).tobytes())
                 kept = [hashes[first[i] : first[i] + sizes[i]].view(np.int64) for i in right]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right, pa.int64())), pa.array(sizes[right]), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["class", "n", "hashes", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right, pa.int64())), pa.array(sizes[right]), pa.array(kept, pa.list_(pa.int64()))], ["class", "n", "hashes"])
 
-    found = texts.select("class", "d1", "d2", utf8("text").alias("text")).mapInArrow(run, "class long, n long, hashes array<long>, bits binary")
+    found = texts.select("class", "d1", "d2", utf8("text").alias("text")).mapInArrow(run, "class long, n long, hashes array<long>")
     return found.dropDuplicates(["class"])
 
 
@@ -175,8 +174,12 @@ def needed(n: Column, m: Column) -> Column:
     return F.ceil(NUM * (n + m) / (NUM + DEN))
 
 
-def verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of classes that reach the threshold."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, width: int) -> DataFrame:
+    """The pairs ``a, b`` of classes that reach the threshold, by the whole sets of the classes in pairs."""
+    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = scratch.write(classes.join(asked, "class").select("class", "first_id", "d1", "d2"), f"{name}-wanted")
+    whole = scratch.write(whole_sets(docs, wanted, width), f"{name}-whole")
+    scratch.release()
     left = whole.select(F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("hashes").alias("a_set"))
     right = whole.select(F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("hashes").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -237,10 +240,10 @@ class SignatureTree:
         return first_a[pair] + inner // n_b[pair], first_b[pair] + inner % n_b[pair]
 
 
-def tree_candidates(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+def tree_candidates(blocks: DataFrame, bitmaps: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs ``a < b`` of classes of different components that a block's trees let through.
 
-    ``blocks``: ``key, class, component, n, bits``. A block is cut into chunks
+    ``blocks``: ``key, class, component, n``; ``bitmaps``: ``class, bits``. A block is cut into chunks
     of classes in order of size; every pair of chunks whose sizes can fit is a
     group of its own, of at most two chunks' rows.
     """
@@ -250,7 +253,7 @@ def tree_candidates(blocks: DataFrame, scratch: Scratch) -> DataFrame:
     x, y = ranges.alias("x"), ranges.alias("y")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk")) & (DEN * F.col("x.high") >= NUM * F.col("y.low"))
     tasks = x.join(y, fits).select(F.col("x.key").alias("t_key"), F.explode(F.array_distinct(F.array("x.chunk", "y.chunk"))).alias("t_chunk"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
-    dealt = numbered.join(tasks, (F.col("key") == F.col("t_key")) & (F.col("chunk") == F.col("t_chunk"))).select("key", "i", "j", "chunk", "n", "class", "component", "bits")
+    dealt = numbered.join(tasks, (F.col("key") == F.col("t_key")) & (F.col("chunk") == F.col("t_chunk"))).join(bitmaps, "class").select("key", "i", "j", "chunk", "n", "class", "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -317,24 +320,26 @@ def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         fits = (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
         return fits & (1 + F.least(n - place - 1, m - other - 1) >= needed(n, m))
 
-    wanted = classes.join(shared.select("class").distinct(), "class").select("class", "first_id", "d1", "d2")
-    whole = scratch.write(whole_sets(docs, wanted, width), "whole")
-    scratch.release()
     with_leader = shared.where((F.col("class") != F.col("leader")) & may_reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place")))
-    pairs = with_leader.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
-    links = scratch.write(verified(pairs, whole), "links")
+    pairs = scratch.write(with_leader.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct(), "pairs")
+    links = scratch.write(verified(docs, pairs, classes, scratch, "links", width), "verified")
+    scratch.drop("links-whole")
+    scratch.release()
     first = components(links, scratch, "first")
     # Blocks that still hold several components
     labelled = shared.select("key", "class", "n").join(first, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
     labelled = labelled.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block)).where("low <> high").drop("low", "high")
     open_blocks = scratch.write(labelled, "open")
-    candidates = tree_candidates(open_blocks.join(whole.select("class", "bits"), "class"), scratch)
-    more = scratch.write(verified(candidates, whole), "more")
+    bitmaps = sets.select(F.col("row").alias("class"), "bits").join(open_blocks.select("class").distinct(), "class")
+    candidates = scratch.write(tree_candidates(open_blocks, bitmaps, scratch), "candidates")
+    scratch.drop("chunks")
+    scratch.release()
+    more = scratch.write(verified(docs, candidates, classes, scratch, "more", width), "more")
     final = components(links.union(more), scratch, "final")
     of_class = classes.select("class", "first_id", "d1", "d2", "n").join(final, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = scratch.write(of_class.join(smallest, "component").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), "component_id"), "known")
-    scratch.drop("classes", "shared", "chunks", "whole")
+    scratch.drop("classes", "shared", "open", "candidates", "more-whole")
     scratch.release()
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("n") == F.col("k_n")) & F.col("doc_id").isNotNull()
     return sets.join(known, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, topk, toxicity
+from . import cotraining, line_dedup, lm, mixing, ngram_join, packing, quality, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_classifier_chain": toxicity.query,
+    "op2_maxent_lm": lm.query,
     "op3_line_set_join": line_dedup.query,
     "op4_norm_sorted_topk": topk.query,
     "op5_rule_ledger": quality.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_best_fit_packing": packing.query,
     "op8_pareto_mix": mixing.query,
     "op9_signature_tree_join": ngram_join.query,
+    "op10_cotraining": cotraining.query,
 }
 ORACLES = {
     "op3_line_set_join": line_dedup.ORACLE,
