@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table, utf8
 from .linear import WordScorer, WordTable, folds, logistic, meaning_features, sigmoid
@@ -106,28 +107,37 @@ def train(docs: DataFrame, labels: DataFrame, *, conditions: dict[str, str] = CA
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id`` and a probability for each category, for every row."""
+    """All columns of ``docs`` and ``p``, an array of the probabilities of the categories in order."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         every = model.features()
         scorer = WordScorer(every, meaning_features, share=False)
         for batch in batches:
-            for part, texts in slices(batch, "text"):
+            names = batch.schema.names
+            own = batch.append_column("_bytes", batch.column(names.index("text")).cast(pa.binary()).fill_null(b""))
+            for part, texts in slices(own, "_bytes"):
                 p = sigmoid(model.log_odds(scorer.values([t.split() for t in texts]), every))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(len(names)))], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(p), pa.list_(pa.float64()))], [*names, "p"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))]))
+
+
+def without_toxic(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the chain does not find toxic, with all their columns; a column may be named as the score is."""
+    plain = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)])
+    return score(plain, chain).where(F.col("p")[chain.categories.index("toxic")] < threshold).drop("p").toDF(*docs.columns)
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id``, a probability for each category, and ``toxic``."""
     chain, _, _ = train(docs, labels)
-    return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
+    found = score(docs.select("doc_id", "text"), chain).drop("text")
+    each = [F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)]
+    return found.select("doc_id", *each).withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.col("p_junk"), F.col("p_toxic").alias("score"), "toxic")
+    return found.select("doc_id", "p_junk", F.col("p_toxic").alias("score"), "toxic")
