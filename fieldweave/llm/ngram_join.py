@@ -7,12 +7,12 @@ reaches the threshold. The join is exact up to 64-bit hashes of shingles:
 2. Classes meet where they share a shingle of their prefixes (the first
    ``n - ceil(t n) + 1`` shingles in one order for all; shingles found
    frequent come last, so they seldom meet there). Linked sets always do.
-3. In every such block each class is first compared with the block's leader;
+3. In a few rounds each class is first compared with one leader of its blocks;
    verified links already join most copies, and pairs within a component
    need no look any more.
 4. In blocks that still hold several components, classes are the leaves of a
-   signature tree. A node has the OR of its bitmaps and the range of its
-   sizes; a dual traversal follows only pairs of nodes whose greatest possible
+   signature tree. A node has the OR of its prefixes' bitmaps and the range of
+   its sizes; a dual traversal follows only pairs of nodes whose greatest possible
    overlap reaches what their sizes need. Blocks are cut into chunks, and pairs
    of chunks are dealt out, so that a block of any size has many tasks.
 5. Candidates are verified on the whole sets.
@@ -48,6 +48,8 @@ FREQUENT = 262_144
 COUNTED, OFTEN = 4_000_000, 4
 BITS = 4096
 CHUNK, FANOUT, LEAF = 256, 8, 16
+#: Rounds in which classes are compared with the leaders of their blocks.
+LEADERS = 2
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def prefix_length(n: np.ndarray | int):
 
 
 def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n, d1, d2, prefix, bits`` for every row: size, digests, prefix and bitmap of its shingle set."""
+    """``doc_id, n, d1, d2, prefix`` for every row: size, digests and prefix of its shingle set."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +145,9 @@ def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Dat
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 places = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(first, lengths)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[places].view(np.int64)))
-                flags = np.zeros((len(texts), BITS), bool)
-                flags[owner, (hashes % np.uint64(BITS)).astype(np.int64)] = True
-                bits = pa.array([row.tobytes() for row in np.packbits(flags, axis=1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), prefix, bits], ["doc_id", "n", "d1", "d2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), prefix], ["doc_id", "n", "d1", "d2", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -186,26 +185,47 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scr
     return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(DEN * F.col("both") >= NUM * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b")
 
 
+def bitmaps(classes: DataFrame) -> DataFrame:
+    """``class, bits`` from ``class, prefix``: the bitmap of the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                sizes = part.column(1).value_lengths().to_numpy()
+                flags = np.zeros((part.num_rows, BITS), bool)
+                flags[np.repeat(np.arange(part.num_rows), sizes), part.column(1).flatten().to_numpy().view(np.uint64) % np.uint64(BITS)] = True
+                rows = [row.tobytes() for row in np.packbits(flags, axis=1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["class", "bits"])
+
+    return classes.select("class", "prefix").mapInArrow(run, "class long, bits binary")
+
+
 class SignatureTree:
-    """Leaves are sets in order of size; nodes hold the OR of bitmaps and ranges of sizes."""
+    """Leaves are sets in order of size; a node holds the OR of its prefixes' bitmaps and the range of its sizes."""
 
     def __init__(self, sizes: np.ndarray, bits: np.ndarray):
         """``bits``: one row of 64-bit words a set; rows in order of size."""
-        excess = sizes - np.bitwise_count(bits).sum(1)
-        self.levels = [(sizes, sizes, excess, bits)]
-        step = LEAF
+        prefix = prefix_length(sizes)
+        excess = prefix - np.bitwise_count(bits).sum(1)
+        #: by level: least and greatest size, most words that share a bit, most words outside the prefix, bitmap
+        self.levels = [(sizes, sizes, excess, sizes - prefix, bits)]
+        self.steps: list[int] = []
         while len(self.levels[-1][0]) > 1:
-            low, high, over, has = self.levels[-1]
+            low, high, over, tail, has = self.levels[-1]
+            step = FANOUT if self.steps else LEAF
             starts = np.arange(0, len(low), step)
-            self.levels.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts), np.maximum.reduceat(over, starts), np.bitwise_or.reduceat(has, starts, axis=0)))
-            self.steps = getattr(self, "steps", []) + [step]
-            step = FANOUT
+            most = [np.maximum.reduceat(x, starts) for x in (high, over, tail)]
+            self.levels.append((np.minimum.reduceat(low, starts), *most, np.bitwise_or.reduceat(has, starts, axis=0)))
+            self.steps.append(step)
 
     def join(self, other: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of leaves that may reach the threshold, by descending both trees level by level.
 
-        An overlap is at most the common bits plus the tokens that share a bit
-        within either set, and at most the smaller size.
+        Of two prefixes, the one that ends first has all its common words in
+        the other. So an overlap is at most the common bits, the words that
+        share a bit with another, and the words outside one prefix; and it is
+        at most the smaller size.
         """
         depth = max(len(self.levels), len(other.levels)) - 1
         a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -214,10 +234,9 @@ class SignatureTree:
             kept_a, kept_b = [], []
             for at in range(0, len(a), 1 << 14):  # bounds what bitmaps are in memory
                 i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                common = np.bitwise_count(x[3][i] & y[3][j]).sum(1) + np.minimum(x[2][i], y[2][j])
-                most = np.minimum(common, np.minimum(x[1][i], y[1][j]))
-                low, high = np.maximum(x[0][i], 0), np.maximum(y[0][j], 0)
-                enough = (NUM + DEN) * most >= NUM * (low + high)
+                common = np.bitwise_count(x[4][i] & y[4][j]).sum(1) + np.minimum(x[2][i], y[2][j])
+                most = np.minimum(common + np.maximum(x[3][i], y[3][j]), np.minimum(x[1][i], y[1][j]))
+                enough = (NUM + DEN) * most >= NUM * (x[0][i] + y[0][j])
                 fitting = (DEN * x[1][i] >= NUM * y[0][j]) & (DEN * y[1][j] >= NUM * x[0][i])
                 kept_a.append(i[enough & fitting])
                 kept_b.append(j[enough & fitting])
@@ -240,10 +259,11 @@ class SignatureTree:
         return first_a[pair] + inner // n_b[pair], first_b[pair] + inner % n_b[pair]
 
 
-def tree_candidates(blocks: DataFrame, bitmaps: DataFrame, scratch: Scratch) -> DataFrame:
+def tree_candidates(blocks: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs ``a < b`` of classes of different components that a block's trees let through.
 
-    ``blocks``: ``key, class, component, n``; ``bitmaps``: ``class, bits``. A block is cut into chunks
+    ``blocks``: ``key, class, component, n, place``; ``signatures``: ``class,
+    bits``. A shared shingle must also be early enough in both. A block is cut into chunks
     of classes in order of size; every pair of chunks whose sizes can fit is a
     group of its own, of at most two chunks' rows.
     """
@@ -253,7 +273,7 @@ def tree_candidates(blocks: DataFrame, bitmaps: DataFrame, scratch: Scratch) ->
     x, y = ranges.alias("x"), ranges.alias("y")
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.chunk") <= F.col("y.chunk")) & (DEN * F.col("x.high") >= NUM * F.col("y.low"))
     tasks = x.join(y, fits).select(F.col("x.key").alias("t_key"), F.explode(F.array_distinct(F.array("x.chunk", "y.chunk"))).alias("t_chunk"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
-    dealt = numbered.join(tasks, (F.col("key") == F.col("t_key")) & (F.col("chunk") == F.col("t_chunk"))).join(bitmaps, "class").select("key", "i", "j", "chunk", "n", "class", "component", "bits")
+    dealt = numbered.join(tasks, (F.col("key") == F.col("t_key")) & (F.col("chunk") == F.col("t_chunk"))).join(signatures, "class").select("key", "i", "j", "chunk", "n", "place", "class", "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
@@ -277,7 +297,7 @@ def tree_candidates(blocks: DataFrame, bitmaps: DataFrame, scratch: Scratch) ->
 def _block_pairs(rows, group: np.ndarray) -> pa.RecordBatch:
     out_a, out_b = [], []
     if len(rows):
-        ids, component, n = (rows[c].to_numpy(np.int64) for c in ("class", "component", "n"))
+        ids, component, n, place = (rows[c].to_numpy(np.int64) for c in ("class", "component", "n", "place"))
         chunk, i, j = (rows[c].to_numpy() for c in ("chunk", "i", "j"))
         bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
@@ -287,7 +307,8 @@ def _block_pairs(rows, group: np.ndarray) -> pa.RecordBatch:
             left = SignatureTree(n[one], bits[one])
             a, b = left.join(left if i[start] == j[start] else SignatureTree(n[two], bits[two]))
             a, b = one[a], two[b]
-            apart = component[a] != component[b]
+            behind = 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+            apart = (component[a] != component[b]) & ((NUM + DEN) * behind >= NUM * (n[a] + n[b]))
             out_a.append(np.minimum(ids[a], ids[b])[apart])
             out_b.append(np.maximum(ids[a], ids[b])[apart])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
@@ -296,6 +317,31 @@ def _block_pairs(rows, group: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def may_reach(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Sizes fit, and what follows the places in both sets suffices if this shingle is the first they share."""
+    fits = (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
+    return fits & (1 + F.least(n - place - 1, m - other - 1) >= needed(n, m))
+
+
+def _with_leaders(blocks: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs ``a, b``: each class with one leader of its blocks that is in another component.
+
+    A block's leader is its class with the most links so far, in an order of
+    its own for each turn; a class takes the leader that it shares the most
+    blocks with.
+    """
+    blocks = blocks.withColumn("degree", F.lit(0).cast("long"))
+    if links is not None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("has"))
+        blocks = blocks.join(degree, F.col("class") == F.col("of"), "left").withColumn("degree", F.coalesce("has", F.lit(0).cast("long"))).drop("of", "has")
+    # where the shared shingle comes early, least is a class's own: it is nearest to what a group has in common
+    first = F.max(F.struct("degree", (-F.col("place")).alias("early"), F.xxhash64("class", F.lit(turn)).alias("order"), "class", "component", "n", "place")).over(W.partitionBy("key"))
+    led = blocks.withColumn("leader", first).where((F.col("component") != F.col("leader.component")) & may_reach(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place")))
+    times = led.groupBy("class", F.col("leader.class").alias("leader")).agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("class").agg(F.max(F.struct("times", (-F.col("leader")).alias("order"), "leader")).alias("best"))
+    return best.select(F.least("class", "best.leader").alias("a"), F.greatest("class", "best.leader").alias("b")).distinct()
+
+
 def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -307,39 +353,37 @@ def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         .agg(F.min("row").alias("class"), F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
     )
     classes = scratch.write(classes, "classes")
+    sets = scratch.write(sets.select("doc_id", "n", "d1", "d2"), "rows")
+    scratch.drop("sets")
     scratch.release()
     keys = classes.select("class", "n", F.posexplode("prefix").alias("place", "key"))
     block = W.partitionBy("key")
-    leader = F.min(F.struct("n", "class", "place")).over(block)
-    shared = keys.withColumn("leader", leader).withColumn("size", F.count(F.lit(1)).over(block)).where("size > 1")
-    shared = scratch.write(shared.select("key", "class", "n", "place", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.place").alias("leader_place")), "shared")
-    scratch.release()
-
-    def may_reach(n: Column, place: Column, m: Column, other: Column) -> Column:
-        """Sizes fit, and what follows the places in both sets suffices if this shingle is the first they share."""
-        fits = (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
-        return fits & (1 + F.least(n - place - 1, m - other - 1) >= needed(n, m))
-
-    with_leader = shared.where((F.col("class") != F.col("leader")) & may_reach(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place")))
-    pairs = scratch.write(with_leader.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct(), "pairs")
-    links = scratch.write(verified(docs, pairs, classes, scratch, "links", width), "verified")
-    scratch.drop("links-whole")
+    shared = keys.withColumn("size", F.count(F.lit(1)).over(block)).where("size > 1").drop("size")
+    shared = scratch.write(shared, "shared")
     scratch.release()
-    first = components(links, scratch, "first")
-    # Blocks that still hold several components
-    labelled = shared.select("key", "class", "n").join(first, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-    labelled = labelled.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block)).where("low <> high").drop("low", "high")
-    open_blocks = scratch.write(labelled, "open")
-    bitmaps = sets.select(F.col("row").alias("class"), "bits").join(open_blocks.select("class").distinct(), "class")
-    candidates = scratch.write(tree_candidates(open_blocks, bitmaps, scratch), "candidates")
-    scratch.drop("chunks")
+    links, open_blocks, labels = None, shared.withColumn("component", F.col("class")), None
+    for turn in range(LEADERS):
+        pairs = scratch.write(_with_leaders(open_blocks, links, turn), f"pairs{turn}")
+        found = verified(docs, pairs, classes, scratch, f"links{turn}", width)
+        links = scratch.write(found if links is None else links.union(found), f"verified{turn}")
+        scratch.drop(f"links{turn}-whole", f"open{turn - 1}")
+        scratch.release()
+        labels = components(links, scratch, f"turn{turn}")
+        # Blocks that still hold several components
+        labelled = shared.join(labels, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+        labelled = labelled.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block)).where("low <> high").drop("low", "high")
+        open_blocks = scratch.write(labelled, f"open{turn}")
+        scratch.release()
+    signatures = scratch.write(bitmaps(classes.join(open_blocks.select("class").distinct(), "class")), "signatures")
+    candidates = scratch.write(tree_candidates(open_blocks, signatures, scratch), "candidates")
+    scratch.drop("chunks", "signatures", f"open{LEADERS - 1}")
     scratch.release()
     more = scratch.write(verified(docs, candidates, classes, scratch, "more", width), "more")
     final = components(links.union(more), scratch, "final")
     of_class = classes.select("class", "first_id", "d1", "d2", "n").join(final, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
     known = scratch.write(of_class.join(smallest, "component").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), "component_id"), "known")
-    scratch.drop("classes", "shared", "open", "candidates", "more-whole")
+    scratch.drop("classes", "shared", "candidates", "more-whole")
     scratch.release()
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("n") == F.col("k_n")) & F.col("doc_id").isNotNull()
     return sets.join(known, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
