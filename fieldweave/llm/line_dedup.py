@@ -10,9 +10,10 @@ number) reaches the threshold, whether or not that earlier line stays.
    result; this one makes prefixes rare.
 2. Lines of equal sets form a class, known by its earliest line; the others go.
 3. Classes meet where they share one of the first ``n - ceil(t n) + 1`` keys.
-   The join keeps pairs whose sizes fit (length filter), where the words after
-   the common key suffice (positional filter), and whose bit signatures differ
-   in no more places than their sets may.
+   The join keeps pairs whose sizes fit (length filter) and whose prefixes can
+   have enough in common by signatures of their bits; a count per pair keeps
+   those that do, and where the words after the first common key suffice
+   (positional filter).
 4. Candidates are verified on their words.
 
 Classes that share their rarest key are compared with the first of them
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANKS, Scratch, table
+from .common import BLANKS, Scratch, broadcast_if, table
 
 #: The similarity threshold as a fraction of whole numbers.
 NUM, DEN = 4, 5
@@ -41,15 +42,19 @@ BUCKETS, BLOCK = 1 << 20, 1 << 10
 HASH_BITS = 57
 #: How many of the rarest keys bring a class to the first comparison.
 HEADS = 2
+#: Lines that are sent to every task at most, 24 bytes each.
+FEW = 300_000
 
 
 def tokens(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(line, BLANKS), ""))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line`` of all lines."""
-    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _spaced(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with every blank but line feeds as a space, so that words split at one character."""
+    other = r"[\x09\x0B-\x0D]"
+    text = F.when(F.col("text").rlike(other), F.regexp_replace("text", other, " ")).otherwise(F.col("text"))
+    return docs.where("text IS NOT NULL").select("doc_id", text.alias("text"))
 
 
 def _bucket(h: Column) -> Column:
@@ -59,54 +64,83 @@ def _bucket(h: Column) -> Column:
 def magnitudes(docs: DataFrame, scratch: Scratch) -> Column:
     """A byte for each hash bucket: the binary logarithm of the words counted there, as a scalar subquery."""
     spark = docs.sparkSession
-    words = docs.where("text IS NOT NULL").select(F.explode(F.split("text", BLANKS)).alias("w")).where("w <> ''")
+    words = _spaced(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count"))
-    dense = counted.unionByName(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("count") + 1)).cast("int").alias("size"))
-    rows = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "size"))), lambda x: F.char(x["size"] + 48)), "").alias("sizes"))
-    text = "".join(r["sizes"] for r in rows.orderBy("block").collect())  # BUCKETS characters
-    return scratch.write(spark.createDataFrame([(bytearray(text.encode()),)], "sizes binary"), "sizes").scalar()
+    dense = counted.unionByName(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("count") + 1)).cast("tinyint").alias("size"))
+    in_order = lambda x: F.array_sort(F.collect_list(x))
+    blocks = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(F.transform(in_order(F.struct("bucket", "size")), lambda x: x["size"]).alias("sizes"))
+    whole = blocks.groupBy().agg(F.flatten(F.transform(in_order(F.struct("block", "sizes")), lambda x: x["sizes"])).alias("sizes"))  # BUCKETS bytes
+    return scratch.write(whole, "sizes").scalar()
 
 
 def keyed(docs: DataFrame, sizes: Column) -> DataFrame:
-    """``doc_id, line_no, n, d1, d2, s1, s2, prefix`` of the lines with words."""
+    """``doc_id, line_no, n, d1, d2, s1, s2, prefix`` of the lines with words; ``s1, s2``: signatures of the prefix."""
+    lines = _spaced(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     # Exploding a single value keeps the optimizer from computing it again wherever it is used.
-    hashes = _lines(docs).select("doc_id", "line_no", F.explode(F.array(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)))).alias("h")).where(F.size("h") > 0)
+    hashed = lines.select("doc_id", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") > 0)
     # The optimizer puts the subquery where "sizes" stands; its value is one object in a task, not a field of rows.
-    hashes = hashes.withColumn("sizes", sizes)
-    magnitude = lambda h: F.ascii(F.substring(F.col("sizes"), _bucket(h).cast("int") + 1, 1).cast("string")) - 48
-    key = lambda h: F.shiftleft(magnitude(h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    one = F.lit(1).cast("long")
-    signature = lambda shift: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(h, shift).bitwiseAND(F.lit(63)).cast("int"))))
-    sorted_keys = hashes.select("doc_id", "line_no", F.sort_array(F.transform("h", key)).alias("keys"), signature(20).alias("s1"), signature(26).alias("s2")).withColumn("n", F.size("keys"))
-    prefix = F.when(F.col("n") >= DEN - 1, F.slice("keys", F.lit(1), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1)).otherwise(F.array().cast("array<bigint>"))
-    return sorted_keys.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("d1"), F.hash("keys", "n").alias("d2"), "s1", "s2", prefix.alias("prefix"))
+    hashed = hashed.withColumn("sizes", sizes)
+    magnitude = lambda h: F.get("sizes", _bucket(h).cast("int")).cast("long")
+    key = lambda h: F.call_function("shiftleft", magnitude(h), F.lit(HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    keys = hashed.select("doc_id", "line_no", F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys")).withColumn("n", F.size("keys"))
+    prefix = F.when(F.col("n") >= DEN - 1, F.slice("keys", F.lit(1), _prefix(F.col("n")))).otherwise(F.array().cast("array<bigint>"))
+    found = keys.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("d1"), F.hash("keys", "n").alias("d2"), F.explode(F.array(prefix)).alias("prefix"))
+    bit = lambda k, low: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, low).bitwiseAND(F.lit(63)).cast("int"))
+    signature = lambda low: F.aggregate("prefix", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k, low)))
+    return found.withColumns({"s1": signature(24), "s2": signature(40)})
+
+
+def _prefix(n: Column) -> Column:
+    return (n - F.ceil(n * NUM / F.lit(DEN)) + 1).cast("int")
 
 
 def _fits(n: Column, m: Column) -> Column:
     return (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
 
 
-def _apart(x: str, y: str) -> Column:
-    """At least so many words are in only one of two sets: both signature halves see each, once each."""
-    return F.greatest(*[F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in ("s1", "s2")])
+def _need(n: Column, m: Column) -> Column:
+    """The least number of common words of sets of ``n`` and ``m`` that reaches the threshold."""
+    return F.ceil(NUM * (n + m) / F.lit(NUM + DEN))
+
+
+def _common(n: Column, m: Column) -> Column:
+    """The least number of words that prefixes share.
+
+    The prefix that ends with the smaller key has all its common words within
+    the other prefix; all its other words are lost.
+    """
+    return _need(n, m) - F.greatest(n - _prefix(n), m - _prefix(m))
+
+
+def _behind(x: str, y: str) -> Column:
+    """The most words that sets can share if a key at these places is the first they share."""
+    return 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.place") - 1, F.col(f"{y}.n") - F.col(f"{y}.place") - 1)
 
 
 def _possible(x: str, y: str) -> Column:
-    """What two classes that share a key at these places need, to reach the threshold."""
+    """Sizes fit, and the signatures of the prefixes have enough in common: equal bits, and words that share a bit with another."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil(NUM * (n + m) / (NUM + DEN))
-    behind = 1 + F.least(n - F.col(f"{x}.place") - 1, m - F.col(f"{y}.place") - 1)
-    return _fits(n, m) & (behind >= need) & (_apart(x, y) <= n + m - 2 * need)
+    p, q = _prefix(n), _prefix(m)
+
+    def sharing(s: str) -> Column:
+        one, two = F.col(f"{x}.{s}"), F.col(f"{y}.{s}")
+        return F.bit_count(one.bitwiseAND(two)) + F.least(p - F.bit_count(one), q - F.bit_count(two))
+
+    # different sets of one size differ in a word of each
+    reachable = _need(n, m) <= F.least(n, m) - (n == m).cast("int")
+    return _fits(n, m) & reachable & (sharing("s1") >= _common(n, m)) & (sharing("s2") >= _common(n, m))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``later, earlier`` that reach the threshold, by the words of their lines."""
-    wanted = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no", "d1"), "cls")
-    per_doc = wanted.groupBy(F.col("doc_id").alias("w_doc")).agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted"))
-    texts = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("w_doc")))
-    lines = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.cls").alias("cls"), tokens(F.get("lines", F.col("w.line_no"))).alias("words"))
-    lines = lines.where("words IS NOT NULL").dropDuplicates(["cls"])
+    scratch = Scratch(docs.sparkSession, "wanted")
+    wanted = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no"), "cls")
+    wanted = scratch.write(wanted.select("cls", F.col("doc_id").alias("w_doc"), "line_no"), "wanted")
+    few = broadcast_if(wanted, wanted.count(), FEW)
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("w_doc")))
+    lines = texts.select("cls", tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("words")).where("words IS NOT NULL").dropDuplicates(["cls"])
     later = lines.select(F.col("cls").alias("later"), F.col("words").alias("x"))
     earlier = lines.select(F.col("cls").alias("earlier"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -123,35 +157,44 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Numbers that run in order of place: partitions are ranges of places, in order.
     ordered = grouped.orderBy("at").select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "s1", "s2", "prefix", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     classes = scratch.write(ordered, "classes")
+    places = scratch.write(lines.select("doc_id", "line_no", "d1", "d2", "n"), "places")
+    scratch.drop("keyed")
     scratch.release()
     keys = classes.select("cls", "n", "s1", "s2", F.posexplode("prefix").alias("place", "key"))
 
     # Against the first class that has the same rarest keys
     heads = keys.where(F.col("place") < HEADS)
     first = F.min(F.struct("cls", "n", "place", "s1", "s2")).over(W.partitionBy("key")).alias("y")
-    near = heads.select("key", F.struct("cls", "n", "place", "s1", "s2").alias("x"), first).where((F.col("x.cls") > F.col("y.cls")) & _possible("x", "y"))
+    near = heads.select("key", F.struct("cls", "n", "place", "s1", "s2").alias("x"), first).where((F.col("x.cls") > F.col("y.cls")) & _possible("x", "y") & (_behind("x", "y") >= _need(F.col("x.n"), F.col("y.n"))))
     near = scratch.write(near.select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier")).distinct(), "near")
     gone = scratch.write(verified(docs, near, classes).select(F.col("later").alias("gone")).distinct(), "gone")
     scratch.release()
 
     # All classes that are left, against all that are earlier
-    marked = classes.join(gone, F.col("cls") == F.col("gone"), "left").select("cls", "n", "s1", "s2", F.col("gone").isNull().cast("int").alias("open"), F.lit(0).alias("zero"), "prefix")
-    meeting = scratch.write(marked, "marked").select("cls", "n", "s1", "s2", "open", "zero", F.posexplode("prefix").alias("place", "key"))
+    marked = classes.join(gone, F.col("cls") == F.col("gone"), "left").select("cls", "n", "s1", "s2", F.col("gone").isNull().cast("int").alias("open"), "prefix")
+    marked = scratch.write(marked, "marked")
+    classes = scratch.write(classes.drop("s1", "s2", "prefix"), "known")
+    scratch.drop("classes")
+    meeting = marked.select("cls", "n", "s1", "s2", "open", F.posexplode("prefix").alias("place", "key"))
     x, y = meeting.alias("x"), meeting.alias("y")
-    # "open > zero" names both sides, so that both read one shuffle.
-    condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") > F.col("y.cls")) & (F.col("x.open") > F.col("y.zero")) & _possible("x", "y")
-    pairs = x.join(y.hint("merge"), condition).select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier")).distinct()
+    # Both sides need the same columns and neither is filtered by itself, so that both read one shuffle.
+    condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") > F.col("y.cls")) & (2 * F.col("x.open") > F.col("y.open")) & _possible("x", "y")
+    met = x.join(y.hint("merge"), condition).select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), _behind("x", "y").alias("behind"))
+    # every common key of the prefixes gave a row: enough of them, and the first early enough
+    met = met.groupBy("later", "earlier", "n", "m").agg(F.count(F.lit(1)).alias("shared"), F.max("behind").alias("behind"))
+    pairs = met.where((F.col("shared") >= _common(F.col("n"), F.col("m"))) & (F.col("behind") >= _need(F.col("n"), F.col("m")))).select("later", "earlier")
     pairs = scratch.write(pairs, "pairs")
     scratch.release()
+    scratch.drop("marked")
     more = scratch.write(verified(docs, pairs, classes).select(F.col("later").alias("gone")), "more")
     scratch.release()
     lost = gone.union(more).distinct()
     of_class = classes.join(lost, F.col("cls") == F.col("gone"), "left").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), F.col("doc_id").alias("k_doc"), F.col("line_no").alias("k_line"), F.col("gone").isNotNull().alias("lost"))
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("n") == F.col("k_n"))
     again = F.col("lost") | ~F.col("doc_id").eqNullSafe(F.col("k_doc")) | (F.col("line_no") != F.col("k_line"))
-    going = lines.select("doc_id", "line_no", "d1", "d2", "n").join(of_class, same).where(again)
+    going = places.join(of_class, same).where(again)
     out = scratch.write(going.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
-    scratch.drop("keyed", "classes", "marked", "pairs", "near", "gone", "more")
+    scratch.drop("places", "known", "pairs", "near", "gone", "more")
     scratch.release()
     return out
 
@@ -159,6 +202,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the text's repeated lines taken out, and ``removed``, the numbers of those lines."""
     gone = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    gone = broadcast_if(gone, gone.agg(F.coalesce(F.sum(F.size("_removed") + 2), F.lit(0))).first()[0], FEW)
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
