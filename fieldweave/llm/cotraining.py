@@ -33,7 +33,7 @@ from .linear import WordScorer, WordTable, folds, logistic, platt, shape_feature
 from .quality import measured
 
 #: At most so many labelled texts are fitted on, and so many others are given pseudo-labels.
-SAMPLE, POOL = 4000, 4000
+SAMPLE, POOL = 2500, 2500
 ROUNDS = 4
 #: Pseudo-labels of a class that a view gives in a round, and the log odds it needs.
 GIVEN, SURE = 100, 3.0
@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: i
     rows += columns.join(F.broadcast(others.distinct()), "doc_id").withColumn("y", F.lit(None).cast("double")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     texts = [bytes(r["text"]) for r in rows]
-    layout = metadata(texts, [r["lang"] for r in rows], [r["source"] for r in rows], [r["n_chars"] for r in rows])
+    some = [range(i, min(i + 128, len(rows))) for i in range(0, len(rows), 128)]
+    layout = np.concatenate([metadata([texts[i] for i in part], *([rows[i][c] for i in part] for c in ("lang", "source", "n_chars"))) for part in some] or [metadata([], [], [], [])])
     return cotrain(np.array([r["doc_id"] for r in rows], np.int64), texts, layout, np.array([np.nan if r["y"] is None else r["y"] for r in rows]))
 
 

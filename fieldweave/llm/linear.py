@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from itertools import batched
 
 import numpy as np
 
@@ -18,6 +19,8 @@ import numpy as np
 SPACE = 1 << 20
 #: Selected features of a model at most, and the least chi-squared of one.
 SELECTED, LEAST = 400, 12.0
+#: A selected feature is in so many texts at least, and as many are without it.
+RARELY = 3
 #: Entries of a worker's memory of words; beyond it the memory starts anew.
 MEMORY = 300_000
 #: Longer words count by their first so many bytes.
@@ -28,7 +31,7 @@ Features = Callable[[bytes], np.ndarray]
 
 
 def _hashed(*parts: tuple[bytes, bytes]) -> np.ndarray:
-    return np.array([zlib.crc32(kind + part) % SPACE for kind, part in parts], np.int64)
+    return np.array([zlib.crc32(kind + part) % SPACE for kind, part in parts], np.int32)
 
 
 def meaning_features(word: bytes) -> np.ndarray:
@@ -66,40 +69,49 @@ class WordTable:
 
     def __init__(self, texts: list[bytes], features: Features, share: bool):
         self.share, self.n = share, len(texts)
+        self.sizes = np.zeros(self.n, np.int64)
         place: dict[bytes, int] = {}
-        found = [_occurring(t.split(), share) for t in texts]
-        words = np.array([place.setdefault(w, len(place)) for x in found for w in x], np.int64)
-        times = np.array([n for x in found for n in x.values()], float)
-        self.sizes = np.array([sum(x.values()) for x in found], np.int64)
-        text = np.repeat(np.arange(self.n), [len(x) for x in found])
-        table = np.array([features(w) for w in place], np.int64).reshape(len(place), -1)
-        if not len(table):
-            self.pairs, self.counts = np.zeros(0, np.int64), np.zeros(0)
-        else:
-            self.pairs, at = np.unique((text[:, None] * SPACE + table[words]).ravel(), return_inverse=True)
-            self.counts = np.bincount(at.ravel(), np.repeat(times, table.shape[1]), len(self.pairs))
-        self.text, self.feature = self.pairs // SPACE, self.pairs % SPACE
+        lists = []  # per text, its words' places and how often they count
+        for i, text in enumerate(texts):
+            words = _occurring(text.split(), share)
+            self.sizes[i] = sum(words.values())
+            lists.append((np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)), np.fromiter(words.values(), np.float32, len(words))))
+        table = np.concatenate([np.array([features(w) for w in some], np.int32) for some in batched(place, 4096)]) if place else np.zeros((0, 1), np.int32)
+        del place
+        present = np.zeros(SPACE, np.int32)
+        for words, _ in lists:
+            present[np.unique(table[words].ravel())] += 1
+        ends = np.zeros(self.n + 1, np.int64)
+        feature, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for i, (words, times) in enumerate(lists):
+            found, where = np.unique(table[words].ravel(), return_inverse=True)
+            often = present[found] >= RARELY
+            feature.append(found[often])
+            counts.append(np.bincount(where.ravel(), np.repeat(times, table.shape[1]), len(found)).astype(np.float32)[often])
+            ends[i + 1] = ends[i] + int(often.sum())
+        del lists, table
+        self.feature, self.counts = np.concatenate(feature), np.concatenate(counts)
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
 
     def select(self, y: np.ndarray, rows: np.ndarray, most: int = SELECTED) -> np.ndarray:
         """The features whose presence depends most on ``y`` among ``rows`` (both masks by text)."""
-        used = rows[self.text]
-        with_one = np.bincount(self.feature[used], y[self.text[used]], SPACE)
-        with_any = np.bincount(self.feature[used], minlength=SPACE).astype(float)
         n, n1 = float(rows.sum()), float(y[rows].sum())
-        a, b = with_one, with_any - with_one
+        present = np.bincount(self.feature[rows[self.text]], minlength=SPACE)
+        some = np.flatnonzero((present >= RARELY) & (present <= n - RARELY))
+        a = np.bincount(self.feature[(rows & (y == 1))[self.text]], minlength=SPACE)[some].astype(float)
+        b = present[some] - a
         c, d = n1 - a, n - n1 - b
-        below = np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-        chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / below
-        chi[(with_any < 3) | (with_any > n - 3)] = 0
+        chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
         best = np.argsort(-chi, kind="stable")[:most]
-        return np.sort(best[chi[best] >= LEAST])
+        return np.sort(some[best[chi[best] >= LEAST]])
 
     def matrix(self, selected: np.ndarray) -> np.ndarray:
         counts = np.zeros((self.n, len(selected)))
-        if len(selected):
-            at = np.minimum(np.searchsorted(selected, self.feature), len(selected) - 1)
-            hit = selected[at] == self.feature
-            counts[self.text[hit], at[hit]] = self.counts[hit]
+        place = np.full(SPACE, -1, np.int16)
+        place[selected] = np.arange(len(selected))
+        at = place[self.feature]
+        hit = at >= 0
+        counts[self.text[hit], at[hit]] = self.counts[hit]
         return _scaled(counts, self.sizes, self.share)
 
 

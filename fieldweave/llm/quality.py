@@ -100,7 +100,7 @@ def measured(texts: list[bytes]) -> dict[str, np.ndarray]:
     ids = np.fromiter((known.setdefault(w, len(known)) for x in split for w in x), np.int64, int(n_words.sum()))
     doc = np.repeat(np.arange(len(texts)), n_words)
     out = {"n_words": n_words, "n_repeat_words": repeat_words(ids, doc, len(texts))}
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    bounds = np.cumsum(np.array([0, *map(len, texts)], np.int64))
     flat = np.frombuffer(b"".join(texts), np.uint8)
 
     def per_text(flags: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from .common import slices, table, utf8
 from .linear import WordScorer, WordTable, folds, logistic, meaning_features, sigmoid
 
 #: At most so many labelled texts are fitted on.
-SAMPLE = 6000
+SAMPLE = 4000
 FOLDS = 4
 THRESHOLD = 0.4
 #: Log odds that later models see are cut at this size.
