@@ -29,7 +29,7 @@ def scale(x: Column, factor: float, offset: float = 0.0) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     x = as_double(x)
-    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
+    return F.when(F.isnan(x) | x.isNull(), x).otherwise(F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def guarded(x: Column, epsilon: float = EPSILON) -> Column:
@@ -50,7 +50,7 @@ def normalized_difference(a: Column, b: Column, epsilon: float = EPSILON) -> Col
 
 def decibels(x: Column) -> Column:
     x = as_double(x)
-    return F.lit(10.0) * F.log10(F.when(F.isnan(x), x).otherwise(F.greatest(x, F.lit(FLOOR))))
+    return F.lit(10.0) * F.log10(F.when(F.isnan(x) | x.isNull(), x).otherwise(F.greatest(x, F.lit(FLOOR))))
 
 
 def minmax(x: Column, *by: str) -> Column:
