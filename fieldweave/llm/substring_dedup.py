@@ -79,7 +79,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def seed_table(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, digest, seeds``: the hashes of the seeds of all rows, one for each place."""
+    """``doc_id, digest, seeds``: the hashes of the seeds of all rows, one for each place up to two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,14 @@ def seed_table(docs: DataFrame, width: int) -> DataFrame:
                 new[1:] = at[1:] != at[:-1]
                 # a seed's place may serve windows that others interrupt; once is enough
                 place, first = np.unique(at[new], return_index=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(best[new][first].view(np.int64), doc[place], len(texts))], ["doc_id", "digest", "seeds"])
+                found, owner = best[new][first], doc[place]
+                order = np.lexsort((found, owner))
+                found, owner = found[order], owner[order]
+                # two places in a document already make a seed a repeated one
+                third = np.zeros(len(found), bool)
+                third[2:] = (found[2:] == found[:-2]) & (owner[2:] == owner[:-2])
+                found, owner = found[~third], owner[~third]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(found.view(np.int64), owner, len(texts))], ["doc_id", "digest", "seeds"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, digest binary, seeds array<long>")
 
