@@ -10,10 +10,9 @@ number) reaches the threshold, whether or not that earlier line stays.
    result; this one makes prefixes rare.
 2. Lines of equal sets form a class, known by its earliest line; the others go.
 3. Classes meet where they share one of the first ``n - ceil(t n) + 1`` keys.
-   The join keeps pairs whose sizes fit (length filter) and whose prefixes can
-   have enough in common by signatures of their bits; a count per pair keeps
-   those that do, and where the words after the first common key suffice
-   (positional filter).
+   The join keeps pairs whose sizes fit (length filter), where the words after
+   the common key suffice (positional filter), and whose prefixes can have
+   enough in common by signatures of their bits; then those whose prefixes do.
 4. Candidates are verified on their words.
 
 Classes that share their rarest key are compared with the first of them
@@ -179,13 +178,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     x, y = meeting.alias("x"), meeting.alias("y")
     # Both sides need the same columns and neither is filtered by itself, so that both read one shuffle.
     condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") > F.col("y.cls")) & (2 * F.col("x.open") > F.col("y.open")) & _possible("x", "y")
-    met = x.join(y.hint("merge"), condition).select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier"), F.col("x.n").alias("n"), F.col("y.n").alias("m"), _behind("x", "y").alias("behind"))
-    # every common key of the prefixes gave a row: enough of them, and the first early enough
-    met = met.groupBy("later", "earlier", "n", "m").agg(F.count(F.lit(1)).alias("shared"), F.max("behind").alias("behind"))
-    pairs = met.where((F.col("shared") >= _common(F.col("n"), F.col("m"))) & (F.col("behind") >= _need(F.col("n"), F.col("m")))).select("later", "earlier")
+    early = _behind("x", "y") >= _need(F.col("x.n"), F.col("y.n"))
+    met = x.join(y.hint("merge"), condition & early).select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct()
+    met = scratch.write(met, "met")
+    scratch.release()
+    one, two = (marked.select(F.col("cls").alias(c), F.col("prefix").alias(p)) for c, p in (("later", "p"), ("earlier", "q")))
+    shared = F.size(F.array_intersect("p", "q"))
+    pairs = met.join(one, "later").join(two, "earlier").where(shared >= _common(F.col("n"), F.col("m"))).select("later", "earlier")
     pairs = scratch.write(pairs, "pairs")
     scratch.release()
-    scratch.drop("marked")
+    scratch.drop("marked", "met")
     more = scratch.write(verified(docs, pairs, classes).select(F.col("later").alias("gone")), "more")
     scratch.release()
     lost = gone.union(more).distinct()
