@@ -32,9 +32,17 @@ def missing_bands(scenes: DataFrame) -> DataFrame:
     return _issue(scenes.where(F.coalesce("n_bands", F.lit(0)) == 0), "error", "missing_bands", F.col("scene_id"), F.concat(F.lit("Missing bands for "), "scene_id"))
 
 
+def _two_places(share: str) -> Column:
+    """A share between 0 and 1 with two places, rounded by its exact binary value, ties to even."""
+    unit = 1 << 60  # shares from 2^-7 on are whole multiples of its inverse
+    doubled = f"(CAST(CAST({share} * {unit}D AS BIGINT) AS DECIMAL(38, 0)) * 200 + {unit})"
+    up = f"({doubled} div {2 * unit})"
+    return F.expr(f"format_string('%.2f', ({up} - CASE WHEN {doubled} % {2 * unit} = 0 AND {up} % 2 = 1 THEN 1 ELSE 0 END) / 100D)")
+
+
 def clouds(fractions: DataFrame, most: float = CLOUDS) -> DataFrame:
     high = fractions.where(F.col("cloud_fraction") > most)
-    return _issue(high, "warning", "high_cloud", F.col("scene_id"), F.concat(F.lit("High cloud cover for "), F.col("scene_id").cast("string"), F.lit(": "), F.format_string("%.2f", F.rint(F.col("cloud_fraction") * 100) / 100)))
+    return _issue(high, "warning", "high_cloud", F.col("scene_id"), F.concat(F.lit("High cloud cover for "), F.col("scene_id").cast("string"), F.lit(": "), _two_places("cloud_fraction")))
 
 
 def missing_modalities(scenes: DataFrame, wanted: tuple[str, ...] = ("optical", "sar")) -> DataFrame:

@@ -384,11 +384,11 @@ def patch_split(spark, d):
     return patches.numbered(patches.validity(_values(spark, d), ["scene"]), ["scene"])
 
 
-@query(f"WITH {PX}, {_FULL} SELECT channel, {rnd('mean', 4)} AS mean, {rnd('std', 4)} AS std FROM stats")
+@query(f"WITH {PX}, {_FULL} SELECT channel, {rnd('mean', 7)} AS mean, {rnd('std', 7)} AS std FROM stats")
 def patch_stats_train(spark, d):
     values = _values(spark, d)
     stats = patches.train_statistics(values, patches.numbered(patches.validity(values, ["scene"]), ["scene"]), ["scene"])
-    return stats.select("channel", r6("mean", 4).alias("mean"), r6("std", 4).alias("std"))
+    return stats.select("channel", r6("mean", 7).alias("mean"), r6("std", 7).alias("std"))
 
 
 @query(f"WITH {PX}, {_FULL} SELECT patch_id, channel, split, {rnd('sum((v - mean) / std)', 3)} AS total, {rnd('min((v - mean) / std)', 5)} AS low, {rnd('max((v - mean) / std)', 5)} AS high FROM cells JOIN parts USING (scene, r0, c0) JOIN stats USING (channel) GROUP BY ALL")
