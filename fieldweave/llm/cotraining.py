@@ -2,43 +2,60 @@
 
 One classifier sees the content of a text, the look of its words; the other
 sees the page's metadata: source, language, size and layout. Both start from
-the labelled texts. In every round each gives the other the unlabelled texts
-it is surest of as pseudo-labels, unless the other is sure of the opposite.
+the labelled texts. In every round each gives the other all unlabelled texts
+it is sure of as pseudo-labels, unless the other is sure of the opposite.
 At last both are calibrated on labelled texts that neither was fitted on, and
 a small model over the calibrated log odds scores all documents.
 
-Fitting uses a bounded number of labelled and unlabelled texts, those of the
-smallest hashes of ids; scoring reads all texts whole.
+1. All texts are read once, into a table of their features.
+2. The driver holds a bounded number of labelled rows, those of the smallest
+   hashes of ids. Unlabelled rows stay in the table: in every round tasks
+   derive their pseudo-labels from the models so far and return statistics
+   (counts by feature, then sums of Newton steps), which are added.
+3. All rows of the table are scored.
+
+Pseudo-labels of all unlabelled texts count in every statistic. One weighs
+half a label, or less where together they would outweigh the labels.
 
 Defined results: a null text has no words; null language, source or size are
 values of their own; a null label does not count; of labels that repeat an id
 the largest counts. With labels of one kind only, every text gets that kind.
-Null ids stay null, repeated rows get equal results, an empty table gives an
-empty result, and other columns are ignored.
+Null ids stay null and get no pseudo-label, repeated rows get equal results,
+an empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
-from .linear import WordScorer, WordTable, folds, logistic, platt, shape_features, sigmoid
+from .common import Scratch, broadcast_if, slices, table, utf8
+from .linear import LEAST, MEMORY, RARELY, SELECTED, SPACE, folds, logistic, platt, shape_features, sigmoid
 from .quality import measured
 
-#: At most so many labelled texts are fitted on, and so many others are given pseudo-labels.
-SAMPLE, POOL = 2500, 2500
+#: At most so many labelled texts are fitted on.
+SAMPLE = 4000
 ROUNDS = 4
-#: Pseudo-labels of a class that a view gives in a round, and the log odds it needs.
-GIVEN, SURE = 100, 3.0
+#: The log odds from which a view gives a pseudo-label.
+SURE = 3.0
 #: The other view's log odds for the opposite that stop a pseudo-label.
 OPPOSED = 1.0
+#: A pseudo-label's weight at most, and the squared penalties of the views.
+PSEUDO, PENALTIES = 0.5, (0.1, 0.3)
+#: Newton steps of a fit at most, and the relative gain that ends it.
+STEPS, GAIN = 10, 1e-4
+#: Labelled ids up to this number are broadcast, beyond it joined by shuffle.
+LABELS_SENT = 400_000
+#: Rows of a task that gathers statistics, at least, and rows of a dense matrix at most.
+TASK_ROWS, DENSE = 8000, 4096
 THRESHOLD = 0.5
 BOUNDS = (0.02, 0.1, 0.2, 0.3, 0.5, 0.8)
 NAMES = 8
@@ -63,16 +80,20 @@ def metadata(texts: list[bytes], lang: list, source: list, n_chars: list) -> np.
     return np.column_stack([*(np.asarray(c, float) for c in columns), named])
 
 
+#: Columns of the metadata view.
+LAYOUT = metadata([b""], [None], [None], [None]).shape[1]
+
+
 @dataclass
 class Views:
     selected: np.ndarray  # features of the content view
     content: np.ndarray  # its weights, the intercept last
     layout: np.ndarray  # the metadata view's
-    calibration: tuple[tuple[float, float], tuple[float, float]]
-    combined: np.ndarray
+    calibration: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
+    combined: np.ndarray | None = None
 
-    def log_odds(self, content: np.ndarray, layout: np.ndarray) -> np.ndarray:
-        return np.column_stack([content @ self.content[:-1] + self.content[-1], layout @ self.layout[:-1] + self.layout[-1]])
+    def log_odds(self, rows: Rows) -> np.ndarray:
+        return np.column_stack([rows.product(self.selected, self.content[:-1]) + self.content[-1], rows.layout @ self.layout[:-1] + self.layout[-1]])
 
     def probabilities(self, odds: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of both views, and the combined one."""
@@ -88,88 +109,284 @@ def _joint(z: np.ndarray) -> np.ndarray:
     return np.column_stack([z, z.min(1)])
 
 
-def cotrain(ids: np.ndarray, texts: list[bytes], layout: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> tuple[Views, list[int]]:
-    """``y``: 1, 0 or NaN (unlabelled) for each text. The views, and how many pseudo-labels each round gave."""
-    words = WordTable(texts, shape_features, share=True)
-    labelled = ~np.isnan(y)
-    held = labelled & (folds(ids, 4) == 0)
-    given = [np.where(labelled & ~held, y, np.nan) for _ in range(2)]  # what each view is fitted on
-
-    def fitted(k: int):
-        rows = ~np.isnan(given[k])
-        target = np.where(rows, given[k], 0)
-        weight = np.where(labelled, 1.0, 0.5)[rows]
-        if not rows.any() or target[rows].min() == target[rows].max():
-            b = 6.0 if rows.any() and target[rows].max() == 1 else -6.0 if rows.any() else 0.0
-            return np.zeros(0, np.int64), np.append(np.zeros(0 if k == 0 else layout.shape[1]), b), np.full(len(y), b)
-        selected = words.select(target, rows) if k == 0 else np.zeros(0, np.int64)
-        x = words.matrix(selected) if k == 0 else layout
-        w = logistic(x[rows], target[rows], weight, penalty=0.1 if k == 0 else 0.3)
-        return selected, w, x @ w[:-1] + w[-1]
-
-    views = [fitted(0), fitted(1)]
-    history = []
-    for _ in range(rounds):
-        total = 0
-        odds = [views[0][2], views[1][2]]
+class Rows:
+    """Rows of the table of features: a dense layout, and word features as (text, feature, value)."""
+
+    def __init__(self, size: np.ndarray, layout: list[bytes], feature: list[bytes], times: list[bytes]):
+        self.n = len(size)
+        self.layout = np.frombuffer(b"".join(layout), np.float32).reshape(self.n, LAYOUT).astype(float)
+        self.feature = np.frombuffer(b"".join(feature), np.int32)
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) // 4 for x in feature])
+        counts = np.frombuffer(b"".join(times), np.int32)
+        self.values = np.sqrt(counts / np.maximum(size, 1)[self.text]).astype(np.float32)
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch | pa.Table) -> Rows:
+        size, *others = (rows.column(c) for c in ("size", "layout", "feature", "times"))
+        return cls(size.to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else size.to_numpy(), *(x.to_pylist() for x in others))
+
+    def _places(self, selected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(SPACE, -1, np.int16)
+        place[selected] = np.arange(len(selected))
+        at = place[self.feature]
+        return np.flatnonzero(at >= 0), at
+
+    def product(self, selected: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        hit, at = self._places(selected)
+        return np.bincount(self.text[hit], self.values[hit] * weights[at[hit]], self.n)
+
+    def content(self, selected: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, len(selected)))
+        hit, at = self._places(selected)
+        out[self.text[hit], at[hit]] = self.values[hit]
+        return out
+
+    def present(self, of: np.ndarray) -> np.ndarray:
+        """How many of the texts ``of`` (a mask) have each feature."""
+        return np.bincount(self.feature[of[self.text]], minlength=SPACE)
+
+
+def pseudo_labels(rows: Rows, history: list[Views]) -> np.ndarray:
+    """What each view is given (1, 0 or NaN, a column each) after rounds that began with these models."""
+    given = np.full((rows.n, 2), np.nan)
+    for views in history:
+        odds = views.log_odds(rows)
         for k in range(2):
             other = 1 - k
             for sign in (1, -1):
-                sure = np.isnan(given[other]) & ~labelled & (sign * odds[k] >= SURE) & (sign * odds[other] > -OPPOSED)
-                best = np.flatnonzero(sure)[np.argsort(-sign * odds[k][sure], kind="stable")][:GIVEN]
-                given[other][best] = sign > 0
-                total += len(best)
-        history.append(total)
-        if not total:
+                sure = np.isnan(given[:, other]) & (sign * odds[:, k] >= SURE) & (sign * odds[:, other] > -OPPOSED)
+                given[sure, other] = sign > 0
+    return given
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and the upper triangle of the Hessian of a logistic regression, end to end."""
+    loss, gradient, hessian = 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for a in range(0, len(x), DENSE):
+        part, target = np.column_stack([x[a : a + DENSE], np.ones(len(x[a : a + DENSE]))]), y[a : a + DENSE]
+        z = np.clip(part @ w, -40, 40)
+        p = sigmoid(z)
+        loss += float((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - target * z).sum())
+        gradient += part.T @ (p - target)
+        hessian += (part * (p * (1 - p))[:, None]).T @ part
+    return np.concatenate([[loss], gradient, hessian[np.triu_indices(len(w))]])
+
+
+def _whole(triangle: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = triangle
+    return out + np.triu(out, 1).T
+
+
+def gathered(unlabelled: DataFrame, tasks: int, statistics: Callable[[Rows], np.ndarray], n: int) -> np.ndarray:
+    """The sum over all rows of what ``statistics`` finds in a batch, ``n`` numbers.
+
+    Sums travel compressed, as counts are mostly zero; those of many tasks are
+    added in groups of 32 first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n)
+        for batch in batches:
+            for a in range(0, batch.num_rows, DENSE):
+                total += statistics(Rows.of(batch.slice(a, DENSE)))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // 32], pa.int32()), pa.array([zlib.compress(total, 1)], pa.binary())], ["part", "total"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x)) for x in rows["total"].to_pylist())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([zlib.compress(total, 1)], pa.binary())})
+
+    schema = "part int, total binary"
+    found = unlabelled.select("size", "layout", "feature", "times").coalesce(tasks).mapInArrow(run, schema)
+    if found.rdd.getNumPartitions() > 32:
+        found = found.groupBy("part").applyInArrow(add, schema)
+    total = np.zeros(n)
+    for r in found.collect():
+        total += np.frombuffer(zlib.decompress(bytes(r["total"])))
+    return total
+
+
+def select(one: np.ndarray, zero: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """The features whose presence depends most on the label, from the weight of the texts of each kind that have them."""
+    n, present = n1 + n0, one + zero
+    some = np.flatnonzero((present >= RARELY) & (present <= n - RARELY))
+    a, b = one[some], zero[some]
+    c, d = n1 - a, n0 - b
+    chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
+    best = np.argsort(-chi, kind="stable")[:SELECTED]
+    return np.sort(some[best[chi[best] >= LEAST]])
+
+
+def fit(local: list[np.ndarray], y: np.ndarray, start: list[np.ndarray], remote: Callable[[list[np.ndarray]], list[np.ndarray]] | None) -> list[np.ndarray]:
+    """Weights of both views by damped Newton steps on the labelled rows and, by ``remote``, the sums over all others."""
+    w, trial = [x.copy() for x in start], [x.copy() for x in start]
+    now: list = [None, None]  # loss, gradient and Hessian at w
+    scale, done = [1.0, 1.0], [False, False]
+    for _ in range(STEPS):
+        sums = [_sums(x, y, v) for x, v in zip(local, trial, strict=True)]
+        if remote:
+            sums = [a + b for a, b in zip(sums, remote(trial), strict=True)]
+        for k, v in enumerate(trial):
+            if done[k]:
+                continue
+            ridge = np.append(np.full(len(v) - 1, PENALTIES[k]), 1e-6)
+            loss = sums[k][0] + (ridge * v * v).sum() / 2
+            if now[k] is None or loss <= now[k][0]:
+                done[k] = now[k] is not None and now[k][0] - loss < GAIN * max(1.0, loss)
+                now[k] = loss, sums[k][1 : 1 + len(v)] + ridge * v, _whole(sums[k][1 + len(v) :], len(v)) + np.diag(ridge)
+                w[k], scale[k] = v, 1.0
+            else:
+                scale[k] /= 2
+                done[k] = scale[k] < 1e-3
+            trial[k] = w[k] if done[k] else w[k] - scale[k] * np.linalg.solve(now[k][2], now[k][1])
+        if all(done):
             break
-        views = [fitted(0), fitted(1)]
-    odds = np.column_stack([views[0][2], views[1][2]])
+    return w
+
+
+def cotrain(labelled: Rows, ids: np.ndarray, y: np.ndarray, unlabelled: DataFrame, tasks: int, rounds: int = ROUNDS, release: Callable = lambda: None) -> tuple[Views, list[int]]:
+    """``y``: 1 or 0 for each row of ``labelled``. The views, and how many pseudo-labels each round gave."""
+    spark = unlabelled.sparkSession
+    held = folds(ids, 4) == 0
+    target = y[~held]
+    n1, n0 = float(target.sum()), float((1 - target).sum())
+    one, zero = labelled.present(~held & (y == 1)), labelled.present(~held & (y == 0))
+    history: list[int] = []
+    if n1 and n0:
+        chosen = select(one, zero, n1, n0)
+        w = fit([labelled.content(chosen)[~held], labelled.layout[~held]], target, [np.zeros(len(chosen) + 1), np.zeros(LAYOUT + 1)], None)
+        models = [Views(chosen, *w)]
+        before = 0
+        for _ in range(rounds):
+            shared = spark.sparkContext.broadcast(models)
+
+            def counted(rows: Rows, shared=shared) -> np.ndarray:
+                given = pseudo_labels(rows, shared.value)
+                return np.concatenate([(~np.isnan(given)).sum(0), np.nansum(given, 0), rows.present(given[:, 0] == 1), rows.present(given[:, 0] == 0)])
+
+            found = gathered(unlabelled, tasks, counted, 4 + 2 * SPACE)
+            history.append(int(found[:2].sum()) - before)
+            if not history[-1]:
+                break
+            before += history[-1]
+            weight = [min(PSEUDO, PSEUDO * len(target) / max(n, 1.0)) for n in found[:2]]
+            m1 = weight[0] * found[2]
+            chosen = select(one + weight[0] * found[4 : 4 + SPACE], zero + weight[0] * found[4 + SPACE :], n1 + m1, n0 + weight[0] * found[0] - m1)
+
+            def remote(trial: list[np.ndarray], shared=shared, chosen=chosen, weight=weight) -> list[np.ndarray]:
+                def stepped(rows: Rows) -> np.ndarray:
+                    given = pseudo_labels(rows, shared.value)
+                    has = ~np.isnan(given)
+                    x = [rows.content(chosen), rows.layout]
+                    return np.concatenate([_sums(x[k][has[:, k]], given[has[:, k], k], trial[k]) for k in range(2)])
+
+                first, second = (1 + len(v) + len(v) * (len(v) + 1) // 2 for v in trial)
+                total = gathered(unlabelled, tasks, stepped, first + second)
+                return [weight[0] * total[:first], weight[1] * total[first:]]
+
+            last = models[-1]
+            known = dict(zip(last.selected.tolist(), last.content[:-1].tolist(), strict=True))
+            start = [np.array([*(known.get(f, 0.0) for f in chosen.tolist()), last.content[-1]]), last.layout]
+            w = fit([labelled.content(chosen)[~held], labelled.layout[~held]], target, start, remote)
+            models = [*models, Views(chosen, *w)]
+            release()
+        views = models[-1]
+    else:
+        b = 6.0 if n1 else -6.0 if n0 else 0.0
+        views = Views(np.zeros(0, np.int64), np.array([b]), np.append(np.zeros(LAYOUT), b))
+    odds = views.log_odds(labelled)
     if held.sum() >= 20 and 0 < y[held].sum() < held.sum():
-        calibration = tuple(platt(odds[held, k], y[held]) for k in range(2))
-        combined = logistic(_joint(_calibrated(odds[held], calibration)), y[held], np.ones(int(held.sum())), penalty=0.1)
+        views.calibration = tuple(platt(odds[held, k], y[held]) for k in range(2))
+        views.combined = logistic(_joint(_calibrated(odds[held], views.calibration)), y[held], np.ones(int(held.sum())), penalty=0.1)
     else:
-        calibration, combined = ((1.0, 0.0), (1.0, 0.0)), np.array([0.5, 0.5, 0.0, 0.0])
-    return Views(views[0][0], views[0][1], views[1][1], calibration, combined), history
+        views.combined = np.array([0.5, 0.5, 0.0, 0.0])
+    return views, history
 
 
-def _view_columns(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), utf8("text").alias("text"))
+class _Words:
+    """Features of words; a word's are hashed once per worker."""
 
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros((0, 6), np.int32)
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = SAMPLE, pool: int = POOL) -> tuple[Views, list[int]]:
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    columns = _view_columns(docs)
-    rows = columns.join(F.broadcast(some), "doc_id").collect()
-    # the same texts are found whether a pool text has a label or not: those with one are passed over
-    others = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool + most)
-    others = others.join(marks, "doc_id", "left_anti").limit(pool)
-    rows += columns.join(F.broadcast(others.distinct()), "doc_id").withColumn("y", F.lit(None).cast("double")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
-    texts = [bytes(r["text"]) for r in rows]
-    some = [range(i, min(i + 128, len(rows))) for i in range(0, len(rows), 128)]
-    layout = np.concatenate([metadata([texts[i] for i in part], *([rows[i][c] for i in part] for c in ("lang", "source", "n_chars"))) for part in some] or [metadata([], [], [], [])])
-    return cotrain(np.array([r["doc_id"] for r in rows], np.int64), texts, layout, np.array([np.nan if r["y"] is None else r["y"] for r in rows]))
+    def learn(self, sets: list[Counter]) -> None:
+        new = set().union(*sets).difference(self.known)
+        if self.known and len(self.known) + len(new) > MEMORY:
+            self.__init__()
+            new = set().union(*sets)
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, np.array([shape_features(w) for w in new], np.int32)])
 
+    def features(self, words: Counter) -> tuple[bytes, bytes]:
+        """A text's features in order, and how many of its words have each."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        found, where = np.unique(self.table[at].ravel(), return_inverse=True)
+        times = np.bincount(where.ravel(), np.repeat(np.fromiter(words.values(), np.int64, len(words)), self.table.shape[1]), len(found))
+        return found.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()
 
-def score(docs: DataFrame, views: Views) -> DataFrame:
-    """``doc_id, p_content, p_metadata, score`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(views)
+
+def features(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the number of words, and the features of both views, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = WordScorer(model.selected, shape_features, share=True)
+        words = _Words()
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                layout = metadata(texts, *(part.column(k).to_pylist() for k in (1, 2, 3)))
-                p = model.probabilities(model.log_odds(scorer.values([t.split() for t in texts]), layout))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, k]) for k in range(3))], ["doc_id", "p_content", "p_metadata", "score"])
+                layout = metadata(texts, *(part.column(k).to_pylist() for k in (1, 2, 3))).astype(np.float32)
+                sets = [Counter(t.split()) for t in texts]
+                words.learn(sets)
+                both = [words.features(s) for s in sets]
+                columns = [part.column(0), pa.array([s.total() for s in sets], pa.int64()), pa.array([x.tobytes() for x in layout], pa.binary()), *(pa.array([x[k] for x in both], pa.binary()) for k in range(2))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "layout", "feature", "times"])
+
+    columns = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"), utf8("text").alias("text"))
+    return columns.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long, layout binary, feature binary, times binary")
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p_content double, p_metadata double, score double"
-    return _view_columns(docs).mapInArrow(run, schema)
+
+def train_features(found: DataFrame, labels: DataFrame, scratch: Scratch, *, label: str = "quality", most: int = SAMPLE) -> tuple[DataFrame, Views, list[int]]:
+    """The table of ``found`` features as written, and the views fitted on it."""
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+    rows = scratch.write(found.join(broadcast_if(marks, marks.count(), LABELS_SENT), "doc_id", "left"), "features")
+    scratch.release()
+    some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
+    own = rows.join(F.broadcast(some), "doc_id").collect()
+    own.sort(key=lambda r: (r["doc_id"], bytes(r["feature"]), bytes(r["times"]), bytes(r["layout"])))
+    labelled = Rows(np.array([r["size"] for r in own], np.int64), *([bytes(r[c]) for r in own] for c in ("layout", "feature", "times")))
+    ids, y = np.array([r["doc_id"] for r in own], np.int64), np.array([r["y"] for r in own], float)
+    del own
+    unlabelled = rows.where("y IS NULL AND doc_id IS NOT NULL")
+    views, given = cotrain(labelled, ids, y, unlabelled, max(1, rows.count() // TASK_ROWS), release=scratch.release)
+    return rows, views, given
+
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = SAMPLE) -> tuple[Views, list[int]]:
+    scratch = Scratch(docs.sparkSession, "cotraining")
+    _, views, given = train_features(features(docs), labels, scratch, label=label, most=most)
+    scratch.drop("features")
+    return views, given
+
+
+def score_features(rows: DataFrame, views: Views) -> DataFrame:
+    """``doc_id, p_content, p_metadata, score`` for every row of features."""
+    shared = rows.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            p = model.probabilities(model.log_odds(Rows.of(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(3))], ["doc_id", "p_content", "p_metadata", "score"])
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, p_content double, p_metadata double, score double"
+    return rows.select("doc_id", "size", "layout", "feature", "times").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, views: Views) -> DataFrame:
+    """``doc_id, p_content, p_metadata, score`` for every row."""
+    return score_features(features(docs), views)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    views, _ = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, views).withColumn("kept", F.col("score") >= THRESHOLD)
+    rows, views, _ = train_features(features(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), Scratch(spark, "cotraining"))
+    return score_features(rows, views).withColumn("kept", F.col("score") >= THRESHOLD)

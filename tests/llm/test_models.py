@@ -71,6 +71,17 @@ def test_cotraining_uses_both_views(make, spark):
     assert 0 <= out[None]["score"] <= 1
 
 
+def test_cotraining_learns_from_all_unlabelled_texts(make, spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(6600):  # the smallest id hashes have no priority, nor do labelled rows among them
+        junk = i % 2 == 1
+        rows.append((i, " ".join(f"{w}%%%" if junk else f"w{w}" for w in r.integers(0, 60, 12 if junk else 48)), "en", "s", None))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(600)], "doc_id long, quality int")
+    _, given = cotraining.train(make(rows), labels)
+    assert sum(given) > 10_000  # of 6,000 texts for each of two views
+
+
 def test_cotraining_of_one_kind_and_nothing(make, spark):
     one = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
     views, _ = cotraining.train(make(["a b", "c d", None]), one)
