@@ -172,11 +172,11 @@ def duplicate_products(found: DataFrame) -> DataFrame:
 
 
 def candidate_warnings(found: DataFrame, required: tuple[str, ...]) -> list[str]:
-    """Warnings on candidates; one that lacks a required field is an error. Repeated products are few, at most a report's worth."""
+    """Warnings on candidates; one that lacks a required field is an error."""
     wrong = missing_fields(found).limit(1).collect()
     if wrong:
         raise CandidateError(f"candidate {wrong[0]['product_id']} of {wrong[0]['provider']} lacks {wrong[0]['missing']}")
-    out = [f"Duplicate product_id discovered: {r['product_id']}" for r in duplicate_products(found).orderBy("product_id").limit(1000).collect()]
+    out = [f"Duplicate product_id discovered: {r['product_id']}" for r in duplicate_products(found).orderBy("product_id").toLocalIterator()]
     present = {r[0] for r in found.select("modality").distinct().collect()}
     out += [f"No candidate discovered for required modality: {m}" for m in required if m not in present]
     if not present:
@@ -184,6 +184,16 @@ def candidate_warnings(found: DataFrame, required: tuple[str, ...]) -> list[str]
     return out
 
 
+def write_report(path: Path, report: dict, found: DataFrame) -> None:
+    """The report with all candidates, which are written one after the other."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("w", encoding="utf-8") as out:
+        out.write(json.dumps(report, indent=2).removesuffix("\n}") + ',\n  "candidates": [')
+        for i, r in enumerate(found.select(F.to_json(F.struct("*"))).toLocalIterator()):
+            out.write((",\n    " if i else "\n    ") + json.dumps(json.loads(r[0])))
+        out.write("\n  ]\n}")
+
+
 def discover(spark: SparkSession, settings: Settings, transport: Callable[[str, dict], dict] = post_json, write: bool = True) -> tuple[DataFrame, dict]:
     """Ask all enabled providers; candidates, and the report, which is also written."""
     all_found, warnings, fallbacks = spark.createDataFrame([], CANDIDATE), [], []
@@ -206,8 +216,5 @@ def discover(spark: SparkSession, settings: Settings, transport: Callable[[str,
         "fallbacks": list(dict.fromkeys(fallbacks)),
     }
     if write:
-        path = Path(settings.output_metadata_path)
-        path.parent.mkdir(parents=True, exist_ok=True)
-        rows = [json.loads(r[0]) for r in all_found.select(F.to_json(F.struct("*"))).limit(100_000).collect()]
-        path.write_text(json.dumps(report | {"candidates": rows}, indent=2), encoding="utf-8")
+        write_report(Path(settings.output_metadata_path), report, all_found)
     return all_found, report

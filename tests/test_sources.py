@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import hashlib
 import json
@@ -88,6 +89,15 @@ def test_discovery(spark, settings):
     assert len(written["candidates"]) == 3
 
 
+def test_reports_are_whole(spark, settings, monkeypatch):
+    many = spark.range(101_000).selectExpr("'open' provider", "'s' source", "'c' collection", "concat('p', id % 99900) product_id", "'sar' modality")
+    monkeypatch.setattr(catalog, "discover_one", lambda spark, one, request, transport: (many, [], []))
+    monkeypatch.setattr(catalog, "CANDIDATE", "provider string, source string, collection string, product_id string, modality string")
+    _, report = catalog.discover(spark, dataclasses.replace(settings, providers=tuple(x for x in settings.providers if x.enabled)[:1]))
+    assert sum(w.startswith("Duplicate") for w in report["warnings"]) == 1100
+    assert len(json.loads(open(settings.output_metadata_path).read())["candidates"]) == 101_000
+
+
 def test_failing_providers(spark, settings):
     found, report = catalog.discover(spark, settings, lambda url, payload: {"features": 7}, write=False)
     assert any("open failed" in w for w in report["warnings"]) and found.count() == 1
