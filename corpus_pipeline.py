@@ -20,11 +20,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that match earlier ones; those of which no word is left go."""
-    left = line_dedup.dedup_lines(docs)
-    emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
-    size = F.when(F.size("removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return left.where(~emptied).withColumn("n_chars", size).select(*docs.columns)
+    """The documents without lines that match earlier ones; those of which no word is left go.
+
+    A null text stays; ``n_chars`` follows the text where lines went. Columns
+    may have any names.
+    """
+    found, removed = line_dedup.deduplicated(docs)
+    loses, text = F.size(removed) > 0, F.col("text")
+    emptied = loses & ~F.coalesce(text, F.lit("")).rlike(WORD)
+    kept = found.where(~emptied)
+    own = [F.col(c) for c in kept.columns if c != removed]
+    if "n_chars" in docs.columns:
+        i = docs.columns.index("n_chars")
+        own[i] = F.when(loses, F.char_length(text)).otherwise(own[i]).cast(docs.schema[i].dataType).alias(kept.columns[i])
+    return kept.select(*own).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
