@@ -69,6 +69,11 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def apart(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with every column but ``used`` under a name that nothing else has; ``toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*[c if c in used else f"_own{i}" for i, c in enumerate(docs.columns)])
+
+
 def utf8(text: str | Column) -> Column:
     """The text's bytes; no text counts as an empty one."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

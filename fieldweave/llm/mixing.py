@@ -1,16 +1,23 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document gets an expected number of copies. The whole part is certain;
-for the fraction ``p`` the documents of a source are ranked by
-``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` fixed by the document's
-id, and the first ones are taken until the source's words reach its target.
-At last up to two documents of a source change sides, each the one that brings
-the words nearest to the target, which matters for sources of few documents.
+Every document has a measure, by default the number of binary digits of its
+word count, so that longer documents are likelier. Its expected number of
+copies is proportional to its measure, up to a limit, so that its source
+expects its target. The whole part is certain; for the fraction ``p`` the
+documents of a source are ranked by ``(u / (1 - u)) / (p / (1 - p))`` with a
+random ``u`` fixed by the document's id, and the first ones are taken until
+the source's words reach its target. At last up to two documents of a source
+change sides, each the one that brings the words nearest to the target, which
+matters for sources of few documents.
+
+Measures are grades: a source has few different ones, as sizes and sums of a
+source's grades are brought into one order.
 
 Defined results: a null text has size 0 and takes no words; null sources form
 one source of their own, last in order; a null id draws the number of the
-text "null". Rows that repeat an id draw the same number and are ranked by
-size. An empty table gives an empty result. Other columns are ignored.
+text "null"; a null or negative measure counts as 0, and such documents are
+not taken. Rows that repeat an id draw the same number and are ranked by size.
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, Scratch, broadcast_if
+from .common import WORD, Scratch, apart, broadcast_if, table
 
 #: Steps of the cumulative table per source; only memory for it depends on this, no result does.
 BINS = 4096
@@ -64,30 +71,59 @@ def reshared_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), m
     )
 
 
+def measure_of(size: Column) -> Column:
+    """The number of binary digits of a size."""
+    return F.length(F.bin(size)).cast("double")
+
+
+def expected_copies(grades: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """``source, measure, n, expected``: copies in proportion to measures, none above ``most``, that bring each source to its target.
+
+    ``grades``: ``source, measure, n, words``. What a limit cuts off goes to the
+    source's other documents; one pass in order of measure finds the level.
+    """
+    own = grades.join(targets.select(F.col("source").alias("t_source"), "target"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    down = W.partitionBy("source").orderBy(F.col("measure").desc())
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    onward = F.sum(F.col("measure") * F.col("words")).over(down.rowsBetween(0, W.unboundedFollowing))
+    level = F.when(F.col("onward") > 0, (F.col("target") - F.lit(float(most)) * F.col("before")) / F.col("onward"))
+    found = own.withColumn("before", before).withColumn("onward", onward).withColumn("own", level).withColumn("open", F.coalesce(F.col("measure") * F.col("own") < float(most), F.lit(True)))
+    level = F.max(F.when(F.col("open"), F.col("own"))).over(W.partitionBy("source"))
+    expected = F.when(~F.col("open"), F.lit(float(most))).otherwise(F.coalesce(F.col("level") * F.col("measure"), F.lit(0.0)))
+    return found.withColumn("level", level).select("source", "measure", "n", expected.alias("expected"))
+
+
 def pareto_mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, *, most: float = 3, seed: str = SEED) -> DataFrame:
     """``docs(doc_id, source, size, measure)`` with ``copies`` and ``taken`` words.
 
-    A document's expected copies are its ``measure`` scaled so that its source
-    expects its target, at most ``most``. Counts are cumulated over bins of
-    the rank first, so a source of any size is spread over many tasks and only
-    the rows of one bin are ever ordered together.
+    ``targets``: ``source, source_size, target``. Counts are cumulated over
+    bins of the rank first, so a source of any size is spread over many tasks
+    and only the rows of one bin are ever ordered together. A bin is the rank's
+    share in the source, from the shares of its grades: bins are about equal,
+    whatever the odds.
     """
     n_sources = targets.count()
-    own = docs.join(broadcast_if(targets.withColumnRenamed("source", "t_source"), n_sources), F.col("source").eqNullSafe(F.col("t_source")))
-    scale = docs.groupBy(F.col("source").alias("s_source")).agg(F.sum(F.col("measure") * F.col("size")).alias("scale"))
-    own = own.join(broadcast_if(scale, n_sources), F.col("source").eqNullSafe(F.col("s_source"))).drop("t_source", "s_source")
-    expected = F.when(F.col("scale") > 0, F.least(F.lit(float(most)), F.col("target") * F.col("measure") / F.col("scale"))).otherwise(0.0)
-    u, p = uniform(F.col("doc_id"), seed), F.col("expected") - F.col("certain")
-    q = F.when(p > 0, (F.col("u") / (1 - F.col("u"))) * (1 - p) / p)
+    docs = docs.withColumn("measure", F.greatest(F.coalesce(F.col("measure").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    grades = docs.groupBy("source", "measure").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    grades = scratch.write(expected_copies(grades, targets, most), "grades")
+    # A whole number missed by rounding in the last place is that whole number.
+    grades = grades.withColumn("certain", F.floor(F.col("expected") + 1e-9).cast("double")).withColumn("p", F.col("expected") - F.col("certain"))
+    odds = F.col("p") / (1 - F.col("p"))
+    alike = grades.where("p > 0").withColumn("power", F.floor(F.log2(odds))).groupBy("source", "power").agg(F.sum("n").alias("n"))
+    parts = alike.groupBy("source").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), F.pow(F.lit(2.0), F.col("power")).alias("odds"))).alias("parts"), F.sum("n").cast("double").alias("all"))
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    sources = targets.join(named(parts, "p"), F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
+    own = docs.join(broadcast_if(named(sources, "s"), n_sources), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    own = own.join(broadcast_if(named(grades, "g"), grades.count()), F.col("source").eqNullSafe(F.col("g_source")) & (F.col("measure") == F.col("g_measure")))
+    q = F.when(F.col("g_p") > 0, (F.col("u") / (1 - F.col("u"))) * (1 - F.col("g_p")) / F.col("g_p"))
+    share = F.aggregate("s_p_parts", F.lit(0.0), lambda a, x: a + x["n"] * (F.col("q") * x["odds"]) / (1 + F.col("q") * x["odds"])) / F.col("s_p_all")
     ranked = (
-        own.withColumn("expected", expected)
-        # A whole number missed by rounding in the last place is that whole number.
-        .withColumn("certain", F.floor(F.col("expected") + 1e-9).cast("double"))
-        .withColumn("u", u)
+        own.withColumn("u", uniform(F.col("doc_id"), seed))
         .withColumn("q", q)
-        .withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("q") / (1 + F.col("q")) * BINS)).cast("int"))
+        .withColumn("bin", F.when(F.col("q").isNotNull(), F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int")))
+        .select("doc_id", "source", "size", F.col("s_source_size").alias("source_size"), F.col("s_target").alias("target"), F.col("g_certain").alias("certain"), "q", "bin", F.monotonically_increasing_id().alias("row"))
     )
-    ranked = scratch.write(ranked.drop("expected", "u", "scale", "measure").withColumn("row", F.monotonically_increasing_id()), "ranked")
+    ranked = scratch.write(ranked, "ranked")
     certain = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("left"))
     cumulative = W.partitionBy("source").orderBy("bin")
     bins = (
@@ -101,12 +137,14 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, scratch: Scratch, *, most: f
     )
     in_bin = W.partitionBy("source", "bin").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     chosen = (
-        ranked.withColumn("in_bin", F.sum("size").over(in_bin))
-        .join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")), "left")
+        ranked.where("bin IS NOT NULL")
+        .withColumn("in_bin", F.sum("size").over(in_bin))
+        .join(bins, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bin") == F.col("b_bin")))
         # A document goes in if more than half of it still fits.
         .withColumn("extra", (F.col("before") + F.col("in_bin") - F.col("size") / 2 <= F.col("left")).cast("long"))
+        .drop("in_bin", "before", "left", "b_source", "b_bin")
     )
-    chosen = chosen.withColumn("extra", F.coalesce(F.col("extra"), F.lit(0)).cast("long")).drop("in_bin", "before", "left", "b_source", "b_bin")
+    chosen = chosen.unionByName(ranked.where("bin IS NULL").withColumn("extra", F.lit(0).cast("long")))
     for turn in range(EXCHANGES):
         chosen = _exchanged(scratch.write(chosen, f"chosen{turn}"), n_sources)
     copies = (F.col("certain") + F.col("extra")).cast("long")
@@ -129,30 +167,35 @@ def _exchanged(chosen: DataFrame, n_sources: int) -> DataFrame:
     return chosen.join(broadcast_if(better, n_sources), F.col("row") == F.col("best_row"), "left").withColumn("extra", turned).drop("best_row")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-
+def mix_documents(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: str = SEED, measure: Column | None = None) -> DataFrame:
+    """Mix ``docs(doc_id, source, text)`` to the weights of its sources.
 
-def mix_documents(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, seed: str = SEED) -> DataFrame:
-    """Mix ``docs(doc_id, source, text)`` to the weights of its sources, all documents of equal measure."""
+    ``measure``, over the columns of ``docs``, stands for the number of binary digits of the word count.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
-    measured = scratch.write(sized(docs), "sized")
+    size = word_count(F.col("text"))
+    measured = docs.select("doc_id", "source", size.alias("size"), *([] if measure is None else [measure.alias("measure")]))
+    measured = scratch.write(measured, "sized")
+    if measure is None:
+        measured = measured.withColumn("measure", measure_of(F.col("size")))
     sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = scratch.write(reshared_targets(sizes, weights, most), "targets")
-    return pareto_mix(measured.withColumn("measure", F.lit(1.0)), targets, scratch, most=most, seed=seed)
+    return pareto_mix(measured, targets, scratch, most=most, seed=seed)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them: a row for every copy, with all columns of ``docs``.
+    """The documents as the mix takes them: a row for every copy, with all columns of ``docs``, whatever their names.
 
-    Copies are looked up by ``doc_id``; rows that repeat an id and a size get
-    the copies of that pair once each.
+    Copies are looked up by ``doc_id``; rows that repeat an id, a source and a
+    size get the copies of the one that has most.
     """
-    mix = mix_documents(docs, **options).groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies"))
+    plain = apart(docs, "doc_id", "source", "text")
+    mix = mix_documents(plain.select("doc_id", "source", "text"), **options).groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies"))
     mix = mix.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
     match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
     # explode without a copy number: only its row count matters
-    return docs.join(mix, match).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = plain.join(mix, match).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))))
+    return rows.select(*plain.columns).toDF(*docs.columns)
 
 
 ORACLE = f"""
@@ -165,29 +208,37 @@ levels AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(cap) OVER (ORDER
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM weighed),
 level AS (SELECT max(own) AS x FROM levels WHERE cap > own * w),
 targets AS (SELECT source, source_size, CASE WHEN cap > own * w THEN x * w ELSE cap END AS target FROM levels, level),
+measured AS (SELECT doc_id, source, size, CAST(length(bin(size)) AS DOUBLE) AS measure FROM sized),
+grades AS (SELECT source, measure, CAST(sum(size) AS DOUBLE) AS words FROM measured GROUP BY ALL),
+filled AS (SELECT g.source, g.measure, t.source_size, t.target,
+  coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(measure * words) OVER (PARTITION BY g.source ORDER BY measure DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward
+  FROM grades g JOIN targets t ON g.source IS NOT DISTINCT FROM t.source),
+owns AS (SELECT *, CASE WHEN onward > 0 THEN (target - 3.0::DOUBLE * before) / onward END AS own FROM filled),
+opened AS (SELECT *, coalesce(measure * own < 3.0::DOUBLE, true) AS open FROM owns),
+levelled AS (SELECT *, max(CASE WHEN open THEN own END) OVER (PARTITION BY source) AS x FROM opened),
+expecting AS (SELECT source, measure, source_size, target, CASE WHEN NOT open THEN 3.0::DOUBLE ELSE coalesce(x * measure, 0) END AS expected FROM levelled),
 ranked AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.source, t.target / t.source_size AS expected,
-    floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END + 1e-9) AS certain,
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.source, floor(e.expected + 1e-9::DOUBLE) AS certain, e.expected - floor(e.expected + 1e-9::DOUBLE) AS p,
     (CAST(('0x' || substr(md5('{SEED}:' || CAST(d.doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM measured d JOIN expecting e ON d.source IS NOT DISTINCT FROM e.source AND d.measure = e.measure),
+odds AS (SELECT *, p > 0 AS can, CASE WHEN p > 0 THEN (u / (1 - u)) * (1 - p) / p END AS q FROM ranked),
 cut AS (
   SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS rest,
-    sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ranked),
-x0 AS (SELECT *, expected - certain > 0 AS can, CASE WHEN expected - certain > 0 AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS extra FROM cut),
+    sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM odds),
+x0 AS (SELECT *, CASE WHEN can AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS extra FROM cut),
 g0 AS (SELECT *, target - sum((certain + extra) * size) OVER (PARTITION BY source) AS gap FROM x0),
 o0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) DESC,
-  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), u, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g0),
+  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), q, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g0),
 x1 AS (SELECT * EXCLUDE (extra, gap, turn), CASE WHEN turn THEN 1 - extra ELSE extra END AS extra FROM o0),
 g1 AS (SELECT *, target - sum((certain + extra) * size) OVER (PARTITION BY source) AS gap FROM x1),
 o1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) DESC,
-  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), u, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g1),
+  abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END), q, doc_id) = 1 AND can AND abs(gap - CASE WHEN extra = 0 THEN size ELSE -size END) < abs(gap) AS turn FROM g1),
 x2 AS (SELECT * EXCLUDE (extra), CASE WHEN turn THEN 1 - extra ELSE extra END AS extra FROM o1)
-SELECT doc_id, size, source_size, round(target, 3) AS target, CAST((certain + extra) * size AS BIGINT) AS taken FROM x2
+SELECT doc_id, size, source_size, target, CAST((certain + extra) * size AS BIGINT) AS taken FROM x2
 """
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     mix = mix_documents(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
