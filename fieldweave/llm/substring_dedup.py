@@ -12,8 +12,10 @@ starts earlier (smaller document id, or the same document, earlier start).
 3. Windows with such seeds are counted as edges, with their earliest place
    and the edges before and after them. An edge and the next belong to one
    path if neither has another neighbour there. All edges of a path occur
-   together, so in the document of its earliest place the path is a row of
-   neighbouring places, found by ordering edges by place.
+   together, so in the text of its earliest place they are neighbours: edges of
+   the same few places of a text are first put together to pieces, which
+   bounds every group, and pieces are joined to the pieces they go on in, and
+   those pointers to themselves, which halves the way to a path's head each time.
 4. Paths, each known by its first edge, are joined with that edge's places:
    a span per occurrence, all but the earliest to be removed.
 5. Spans are verified by digests of their words at each place; if a hash of
@@ -41,6 +43,8 @@ from .hashing import run_hashes, word_hashes
 
 WIDTH = 20
 SEED = 8
+#: Places of a text whose edges are ordered together.
+PLACES = 64
 
 
 def seeds(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +141,47 @@ def edge_runs(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     return texts.select("doc_id", "digest", "repeated", "text").mapInArrow(run, "doc_id long, digest binary, start int, hashes array<long>")
 
 
-def paths(occurrences: DataFrame) -> DataFrame:
-    """``head, n_edges, f_doc, f_at`` of the compacted repeated paths: first edge, edges, earliest place."""
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+def pieces(occurrences: DataFrame) -> DataFrame:
+    """``head, tail, before, after, n_edges, f_doc, f_digest, f_at``: neighbouring edges of one path within ``PLACES`` places."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at", "digest")
     edges = occurrences.groupBy("edge").agg(
         F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.min("after").alias("a0"), F.max("after").alias("a1")
     )
     only = lambda low, high: F.when(F.col(low) == F.col(high), F.col(low)).otherwise(F.lit(0))
-    edges = edges.where("n > 1").select("edge", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"), only("b0", "b1").alias("before"), only("a0", "a1").alias("after"))
-    order = W.partitionBy("f_doc").orderBy("f_at", "edge")
+    first = [F.col(f"first.{c}").alias(f"f_{name}") for c, name in (("doc_id", "doc"), ("digest", "digest"), ("at", "at"))]
+    edges = edges.where("n > 1").select("edge", *first, only("b0", "b1").alias("before"), only("a0", "a1").alias("after"))
+    edges = edges.withColumn("block", (F.col("f_at") / PLACES).cast("int"))
+    order = W.partitionBy("f_doc", "f_digest", "block").orderBy("f_at")
     last = lambda c: F.lag(c).over(order)
     goes_on = (F.col("before") != 0) & (last("edge") == F.col("before")) & (last("after") == F.col("edge")) & (last("f_at") + 1 == F.col("f_at"))
-    islands = edges.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("starts").over(order))
-    heads = islands.groupBy("f_doc", "path").agg(F.count(F.lit(1)).cast("int").alias("n_edges"), F.min("f_at").alias("f_at"), F.min_by("edge", F.struct((-F.col("starts")).alias("s"), F.col("f_at"))).alias("head"))
-    return heads.select("head", "n_edges", "f_doc", "f_at")
+    islands = edges.withColumn("piece", F.sum(F.when(goes_on, 0).otherwise(1)).over(order))
+    at = lambda take, c: take(c, "f_at").alias(c)
+    return islands.groupBy("f_doc", "f_digest", "block", "piece").agg(
+        F.min_by("edge", "f_at").alias("head"), F.max_by("edge", "f_at").alias("tail"), at(F.min_by, "before"), at(F.max_by, "after"), F.count(F.lit(1)).cast("int").alias("n_edges"), F.min("f_at").alias("f_at")
+    ).drop("block", "piece")
+
+
+def paths(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
+    """``head, n_edges, f_doc, f_at`` of the compacted repeated paths: first edge, edges, earliest place."""
+    parts = scratch.write(pieces(occurrences), "pieces")
+    scratch.release()
+    left, right = parts.alias("p"), parts.alias("q")
+    follows = (F.col("p.after") == F.col("q.head")) & (F.col("q.before") == F.col("p.tail")) & F.col("p.f_doc").eqNullSafe(F.col("q.f_doc")) & (F.col("p.f_digest") == F.col("q.f_digest"))
+    follows &= F.col("p.f_at") + F.col("p.n_edges") == F.col("q.f_at")
+    up = scratch.write(left.join(right, follows).select(F.col("q.head").alias("node"), F.col("p.head").alias("to")), "up0")
+    turn = 0
+    while True:  # places along a path increase, so pointers have an end
+        ahead = up.select(F.col("node").alias("via"), F.col("to").alias("on"))
+        new = up.join(ahead, F.col("to") == F.col("via"), "left").select("node", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved"))
+        turn += 1
+        new = scratch.write(new, f"up{turn}")
+        scratch.drop(f"up{turn - 1}")
+        scratch.release()
+        up = new.select("node", "to")
+        if not new.where("moved").limit(1).count():
+            break
+    of = parts.join(up, F.col("head") == F.col("node"), "left").withColumn("root", F.coalesce("to", "head"))
+    return of.groupBy(F.col("root").alias("head")).agg(F.sum("n_edges").cast("int").alias("n_edges"), F.first("f_doc").alias("f_doc"), F.min("f_at").alias("f_at"))
 
 
 def _applied(docs: DataFrame, decisions: DataFrame, width: int) -> DataFrame:
@@ -213,14 +244,14 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     at = runs.select("doc_id", "digest", "start", "hashes", F.posexplode("hashes").alias("i", "edge"))
     none = F.lit(0).cast("long")
     neighbour = lambda step: F.coalesce(F.get("hashes", F.col("i") + step), none)
-    occurrences = at.select("doc_id", (F.col("start") + F.col("i")).alias("at"), "edge", neighbour(-1).alias("before"), neighbour(1).alias("after"))
-    heads = scratch.write(paths(occurrences), "heads")
+    occurrences = at.select("doc_id", "digest", (F.col("start") + F.col("i")).alias("at"), "edge", neighbour(-1).alias("before"), neighbour(1).alias("after"))
+    heads = scratch.write(paths(occurrences, scratch), "heads")
     scratch.release()
     places = at.select("doc_id", "digest", (F.col("start") + F.col("i")).alias("at"), "edge")
     goes = ~F.col("doc_id").eqNullSafe(F.col("f_doc")) | (F.col("at") != F.col("f_at"))
     spans = places.join(heads, F.col("edge") == F.col("head")).select("doc_id", "digest", "head", "at", (F.col("n_edges") + width - 1).alias("n_words"), goes.alias("goes"))
     spans = scratch.write(spans, "spans")
-    scratch.drop("runs", "heads")
+    scratch.drop("runs", "heads", "pieces")
     scratch.release()
     out = scratch.write(_applied(docs, _decisions(spans, copies), width), "applied")
     scratch.release()
