@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, component``: the smallest node (long) that edges ``a, b`` reach, for the nodes of edges.
 
     Smallest labels pass along edges and then along labels, which halves the
     way left in each round; every round is written, so that neither lineage
-    nor a lost executor costs earlier rounds. No edges, no rows.
+    nor a lost executor costs earlier rounds. Labels only get smaller, so the
+    rounds end. No edges, no rows.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = scratch.write(both, f"{name}-edges")
     labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), f"{name}-0")
-    for turn in range(1, most_rounds):
+    turn = 0
+    while True:
+        turn += 1
         far = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         passed = labels.join(far, F.col("node") == F.col("a")).select("node", F.col("component").alias("before"), F.least("component", "near").alias("hop"))
         ahead = labels.select(F.col("node").alias("hop_node"), F.col("component").alias("ahead"))
@@ -29,4 +32,3 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
         scratch.drop(f"{name}-{turn - 1}")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
