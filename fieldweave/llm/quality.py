@@ -163,8 +163,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 _BITS = " + ".join(f"CASE WHEN {rule.fails} THEN {BIT[rule.name]} ELSE 0 END" for rule in RULES)
-ORACLE = f"""
+_LEDGER = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
 twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -176,5 +180,11 @@ m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
   CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower, len(regexp_extract_all(t, '!')) AS n_exclaim
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN per_doc USING (doc_id)),
 b AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed FROM m)
+"""
+ORACLE = f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {mask("base")} <> 0 AS base_failed, failed & {mask(CURRENT)} = 0 AS kept, failed FROM b
 """
+_RULES = ", ".join(f"('{name}', CAST({BIT[name]} AS BIGINT))" for name in POLICIES[CURRENT])
+ABLATION_ORACLE = f"""{_LEDGER}
+SELECT rule, bit, count(*) FILTER (failed & {mask(CURRENT)} & bit <> 0) AS fails, count(*) FILTER (failed & {mask(CURRENT)} = bit) AS only_this FROM (VALUES {_RULES}) r(rule, bit), b GROUP BY rule, bit
+"""

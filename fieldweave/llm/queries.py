@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pareto_mix": mixing.query,
     "op9_signature_tree_join": ngram_join.query,
     "op10_cotraining": cotraining.query,
+    "rule_ablations": quality.ablation_query,
 }
 ORACLES = {
     "op3_line_set_join": line_dedup.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_rule_ledger": quality.ORACLE,
     "op6_debruijn_dedup": substring_dedup.ORACLE,
     "op8_pareto_mix": mixing.ORACLE,
+    "rule_ablations": quality.ABLATION_ORACLE,
 }
