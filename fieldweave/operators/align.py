@@ -1,16 +1,23 @@
 """Pairing of optical and radar scenes by date.
 
 Optical scenes in order of date each take the radar scene nearest in days that
-no other has taken; ties go to the one given first. That order is state, so
-pairs are found by a fold over candidates. Scenes whose dates are further
-apart than the window never compete, so every run of dates without such a gap
-is folded by itself: runs are spread over tasks.
+no other has taken; ties go to the one given first. That order is state: scenes
+are streamed in order, each with the few radar scenes of its window, and the
+state holds only the radar scenes taken within the last days. Scenes whose
+dates are further apart than the window never compete, so every run of dates
+without such a gap is streamed by itself: runs are spread over tasks.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 DAYS = 3
@@ -33,17 +40,28 @@ def pairs(optical: DataFrame, radar: DataFrame, days: int = DAYS, by: tuple[str,
     left = left.withColumn("near", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))))
     right = runs.where("NOT is_optical").select(*key, F.col("scene_id").alias("s_id"), F.col("input_ord").alias("s_ord"), F.col("day").alias("near"))
     met = left.join(right, [*key, "near"]).withColumn("delta", F.abs(F.datediff("near", "day")))
-    asked = met.groupBy(*key, "o_date", "o_ord", "o_id").agg(F.array_sort(F.collect_list(F.struct("delta", "s_ord", "s_id"))).alias("choices"))
-    folded = asked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o_date", "o_ord", "o_id", "choices"))).alias("scenes"))
+    asked = met.groupBy(*key, "o_date", "o_ord", "o_id", F.col("day").alias("o_day")).agg(F.array_sort(F.collect_list(F.struct("delta", "s_ord", "s_id"))).alias("choices"))
+    kinds = [optical.schema[c].dataType for c in by]
+    schema = T.StructType([*[T.StructField(c, k) for c, k in zip(by, kinds, strict=True)], T.StructField("optical_scene_id", T.StringType()), T.StructField("sar_scene_id", T.StringType()), T.StructField("delta_days", T.IntegerType())])
 
-    def take(state: Column, scene: Column) -> Column:
-        free = F.get(F.filter(scene["choices"], lambda c: ~F.array_contains(state["used"], c["s_id"])), F.lit(0))
-        pair = F.struct(scene["o_id"].alias("o_id"), free["s_id"].alias("s_id"), free["delta"].alias("delta"))
-        return F.when(free.isNull(), state).otherwise(F.struct(F.array_append(state["used"], free["s_id"]).alias("used"), F.array_append(state["pairs"], pair).alias("pairs")))
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, used = None, {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in key)
+                if own != run:
+                    run, used = own, {}
+                used = {s: until for s, until in used.items() if until >= r["o_day"]}
+                free = next((c for c in r["choices"] if c["s_id"] not in used), None)
+                if free:
+                    # a scene taken now can be asked for by scenes up to twice the window later
+                    used[free["s_id"]] = r["o_day"] + dt.timedelta(2 * days)
+                    out.append({**{c: r[c] for c in by}, "optical_scene_id": r["o_id"], "sar_scene_id": free["s_id"], "delta_days": free["delta"]})
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
 
-    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<o_id:string,s_id:string,delta:int>>").alias("pairs"))
-    found = folded.select(*by, F.explode(F.aggregate("scenes", start, take, lambda s: s["pairs"])).alias("p"))
-    return found.select(*by, F.col("p.o_id").alias("optical_scene_id"), F.col("p.s_id").alias("sar_scene_id"), F.col("p.delta").alias("delta_days"))
+    ordered = asked.repartition(*key).sortWithinPartitions(*key, "o_date", "o_ord", "o_id")
+    return ordered.mapInArrow(take, schema)
 
 
 def observations(optical: DataFrame, radar: DataFrame, days: int = DAYS) -> DataFrame:

@@ -1,16 +1,25 @@
 """Similarity graphs over nodes with places, features, areas, soils and rainfall.
 
 Two nodes are linked if they are near, share an irrigation area, or are alike
-in soil or rainfall. Each condition is an equi-join of its own: places and unit
-feature vectors by cells of a grid and the cells around, rainfall by bands. The
-union of the pairs is taken once and attributes are computed on it; no plan
-compares all nodes with all.
+in soil or rainfall. Places, areas, soils and rainfall are equi-joins: places
+by cells of a grid and the cells around, rainfall by bands. Feature vectors
+are alike by their angle: they are grouped round pivots, and by the triangle
+inequality only groups near enough are compared, in blocks of bounded size by
+matrix products that emit nothing but links. The union of the pairs is taken
+once and attributes are computed on it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..errors import GraphError
@@ -18,8 +27,8 @@ from ..functions.arithmetic import dot, norm
 
 NEAR, ALIKE = 5000.0, 0.8
 ATTRIBUTES = ("distance_m", "shared_irrigation", "soil_similarity", "rainfall_similarity")
-#: Unit vectors whose cosine is over 0.8 are nearer than this, in every coordinate too.
-CHORD = (2 * (1 - ALIKE)) ** 0.5 + 1e-9
+#: Pivots of feature vectors at most, and vectors of a block about.
+PIVOTS, BLOCK = 64, 1024
 
 
 def prepared(nodes: DataFrame) -> DataFrame:
@@ -70,29 +79,86 @@ def rainfall_pairs(nodes: DataFrame, alike: float = ALIKE) -> DataFrame:
     return _pairs(here, around, "cell", rainfall_similarity(F.col("a.rainfall_mm"), F.col("b.rainfall_mm")) > alike)
 
 
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def cosine_pairs(nodes: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """Pairs of feature vectors with a cosine over ``alike``, by cells of two coordinates of the unit vectors."""
-    some = nodes.where("unit IS NOT NULL").select("node_id", "unit")
-    coordinates = [F.coalesce(F.get("unit", F.lit(i)), F.lit(0.0)) for i in range(2)]
-    here, around = _cells(some, coordinates, CHORD if alike >= ALIKE else 2.0)
-    return _pairs(here, around, "cell", (F.size("a.unit") == F.size("b.unit")) & (dot(F.col("a.unit"), F.col("b.unit")) > alike))
+    """``src, dst``: pairs of feature vectors of one length with a cosine over ``alike``, exact, in both directions.
+
+    Of vectors round two pivots none are alike if the angle between the pivots
+    exceeds both groups' greatest angles and that of ``alike``. The driver holds
+    the pivots and one angle and count for each.
+    """
+    spark = nodes.sparkSession
+    some = nodes.where("unit IS NOT NULL").select("node_id", "unit").withColumn("dim", F.size("unit"))
+    found = [_alike_of(some.where(F.col("dim") == dim), dim, alike) for dim in sorted(r[0] for r in some.select("dim").distinct().collect())]
+    none = spark.createDataFrame([], T.StructType([T.StructField(c, nodes.schema["node_id"].dataType) for c in ("src", "dst")]))
+    return reduce(DataFrame.union, found, none)
+
+
+def _alike_of(vectors: DataFrame, dim: int, alike: float) -> DataFrame:
+    kind = vectors.schema["node_id"].dataType.simpleString()
+    pivots = np.array([r["unit"] for r in vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(PIVOTS).select("unit").collect()], float)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = _angle(_vectors(batch.column(1), dim) @ pivots.T)
+            nearest = angles.argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])], ["node_id", "unit", "pivot", "angle"])
+
+    own = vectors.select("node_id", "unit").mapInArrow(grouped, f"node_id {kind}, unit array<double>, pivot int, angle double")
+    groups = {r["pivot"]: (r["far"], -(-r["n"] // BLOCK)) for r in own.groupBy("pivot").agg(F.max("angle").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    apart, widest = _angle(pivots @ pivots.T), float(_angle(np.array(alike))) + 1e-6
+    meeting = [(a, b, groups[a][1], groups[b][1]) for a in groups for b in groups if a <= b and apart[a, b] <= groups[a][0] + groups[b][0] + widest]
+    if not meeting:
+        return vectors.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst")).limit(0)
+    pairs = F.broadcast(vectors.sparkSession.createDataFrame(meeting, "a int, b int, blocks_a int, blocks_b int"))  # at most the square of PIVOTS
+    # a vector's block in its group, and the blocks of the other group that it meets
+    block = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = own.join(pairs, F.col("pivot") == F.col("a")).select("a", "b", block("blocks_a").alias("i"), other("blocks_b").alias("j"), F.lit(0).alias("side"), "node_id", "unit")
+    right = own.join(pairs, F.col("pivot") == F.col("b")).select("a", "b", other("blocks_a").alias("i"), block("blocks_b").alias("j"), F.lit(1).alias("side"), "node_id", "unit")
+    both = left.union(right).where("a < b OR i <= j")
+
+    def compared(key: tuple, rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        unit = _vectors(rows["unit"].combine_chunks(), dim)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x, y = np.nonzero((unit[one] @ unit[two].T) > alike)
+        ids = rows["node_id"].combine_chunks()
+        first, second = ids.take(pa.array(one[x], pa.int64())), ids.take(pa.array(two[y], pa.int64()))
+        if key[0].as_py() != key[1].as_py() or key[2].as_py() != key[3].as_py():  # blocks of their own: each pair is here once
+            first, second = pa.concat_arrays([first, second]), pa.concat_arrays([second, first])
+        return pa.table({"src": first, "dst": second}).filter(pc.not_equal(first, second))
+
+    return both.groupBy("a", "b", "i", "j").applyInArrow(compared, f"src {kind}, dst {kind}")
 
 
 def edges(nodes: DataFrame, *, threshold: float = NEAR, alike: float = ALIKE, k: int | None = None) -> DataFrame:
     """``src, dst`` and the attributes of all linked pairs in both directions, or of the ``k`` nearest of each source.
 
-    Equal distances go to the smaller node.
+    Equal distances go to the smaller node. Of the pairs that ``k`` leaves out
+    nothing but the distance is computed. No nodes, no edges.
     """
     if k is not None and k <= 0:
         raise GraphError("k is positive")
     n = prepared(nodes)
     found = near_pairs(n, threshold).union(same_key_pairs(n, "irrigation_id")).union(same_key_pairs(n, "soil_type")).union(rainfall_pairs(n, alike)).union(cosine_pairs(n, alike)).distinct()
-    out = attributes(found, n)
-    if k is None:
-        return out
-    order = W.partitionBy("src").orderBy("distance_m", "dst")
-    finite = ~F.isnan("distance_m") & (F.col("distance_m") < float("inf"))
-    return out.where(finite).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+    return attributes(found if k is None else nearest(found, n, k), n)
+
+
+def nearest(pairs: DataFrame, prepared_nodes: DataFrame, k: int) -> DataFrame:
+    """The pairs of each source's ``k`` nearest; those without a finite distance are out."""
+    place = lambda p, name: prepared_nodes.select(F.col("node_id").alias(name), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
+    far = pairs.join(place("a", "src"), "src").join(place("b", "dst"), "dst").select("src", "dst", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")).alias("distance"))
+    order = W.partitionBy("src").orderBy("distance", "dst")
+    finite = ~F.isnan("distance") & (F.col("distance") < float("inf"))
+    return far.where(finite).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("src", "dst")
 
 
 def attributes(pairs: DataFrame, prepared_nodes: DataFrame) -> DataFrame:
@@ -114,4 +180,5 @@ def summary(nodes: DataFrame, linked: DataFrame, *, threshold: float = NEAR, k:
     """The graph's metadata, one row."""
     counts = nodes.agg(F.count(F.lit(1)).alias("n")).select(F.lit("node_count").alias("what"), "n").union(linked.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge_count"), "n"))
     both = counts.groupBy().agg(*[F.max(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in ("node_count", "edge_count")])
+    both = both.withColumn("empty_graph", F.col("node_count") == 0)
     return both.withColumn("edge_attributes", F.array(*[F.lit(a) for a in ATTRIBUTES])).withColumn("format", F.lit("pytorch_geometric")).withColumn("k_neighbors", F.lit(k).cast("int")).withColumn("proximity_threshold_m", F.lit(float(threshold)))
