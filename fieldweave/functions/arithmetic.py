@@ -6,7 +6,7 @@ bounds here leave NaN alone: NaN is never greater, and a clipped NaN is NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
@@ -53,29 +53,36 @@ def decibels(x: Column) -> Column:
     return F.lit(10.0) * F.log10(F.when(F.isnan(x) | x.isNull(), x).otherwise(F.greatest(x, F.lit(FLOOR))))
 
 
-def minmax(x: Column, *by: str) -> Column:
-    """Within each group: 0 for the least value, 1 for the greatest; all 0 if they are equal."""
-    x, w = as_double(x), Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high == low, F.lit(0.0)).otherwise((x - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low))
+def minmax(x: Column, low: Column, high: Column) -> Column:
+    """0 for the least value, 1 for the greatest; all 0 if they are equal."""
+    return F.when(high == low, F.lit(0.0)).otherwise((as_double(x) - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low))
 
 
 def _spread(deviation: Column) -> Column:
     return F.when(deviation < 1e-8, F.lit(1.0)).otherwise(deviation)
 
 
-def zscore(x: Column, *by: str) -> Column:
-    """Within each group: distance from the mean in population deviations; a deviation near 0 counts as 1."""
-    x, w = as_double(x), Window.partitionBy(*by)
-    return (x - F.avg(x).over(w)) / _spread(F.stddev_pop(x).over(w))
-
-
 def standardize(x: Column, mean: Column | float, deviation: Column | float) -> Column:
     """With given statistics; a deviation near 0 counts as 1."""
     column = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return (as_double(x) - column(mean)) / _spread(column(deviation))
 
 
+def as_float(x: Column | str) -> Column:
+    """Single precision, as arrays for machine learning have it."""
+    return (F.col(x) if isinstance(x, str) else x).cast("float")
+
+
+def zeros_like(_: Column | str) -> Column:
+    """0 in single precision for every row."""
+    return F.lit(0.0).cast("float")
+
+
+def ones_like(_: Column | str) -> Column:
+    """1 in single precision for every row."""
+    return F.lit(1.0).cast("float")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

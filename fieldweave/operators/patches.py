@@ -35,10 +35,15 @@ def long_patches(cube: DataFrame, names: Sequence[str], by: Sequence[str] = ("ob
     return cut.select(*by, "row0", "col0", (F.col("row") - F.col("row0")).alias("row"), (F.col("col") - F.col("col0")).alias("col"), values).select(*by, "row0", "col0", "row", "col", "v.channel", "v.raw")
 
 
-def validity(values: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
-    """Per window: ``valid`` unless a value is NaN or missing, or all are equal over all channels."""
-    broken = F.bool_or(F.isnan("raw") | F.col("raw").isNull())
-    return values.groupBy(*by, "row0", "col0").agg((~F.coalesce(broken, F.lit(True)) & (F.max("raw") > F.min("raw"))).alias("valid"))
+def moments(values: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
+    """``by, row0, col0, channel, n, mean, variance, low, high, broken``: one pass over the values for all that windows are judged by."""
+    broken = F.coalesce(F.bool_or(F.isnan("raw") | F.col("raw").isNull()), F.lit(True))
+    return values.groupBy(*by, "row0", "col0", "channel").agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("mean"), F.var_pop("raw").alias("variance"), F.min("raw").alias("low"), F.max("raw").alias("high"), broken.alias("broken"))
+
+
+def validity(measured: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
+    """Per window of :func:`moments`: ``valid`` unless a value is NaN or missing, or all are equal over all channels."""
+    return measured.groupBy(*by, "row0", "col0").agg((~F.bool_or("broken") & (F.max("high") > F.min("low"))).alias("valid"))
 
 
 def numbered(windows: DataFrame, order: Sequence[str] = ("observation_id",)) -> DataFrame:
@@ -55,11 +60,18 @@ def numbered(windows: DataFrame, order: Sequence[str] = ("observation_id",)) ->
     return out.withColumn("split", split_of(F.col("patch_id"), F.col("n"))).select("patch_id", *order, "row0", "col0", "split")
 
 
-def train_statistics(values: DataFrame, patches: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
-    """``channel, mean, std`` over the training patches: mergeable moments, a deviation near 0 counts as 1."""
-    train = patches.where("split = 'train'").select(*by, "row0", "col0")
-    stats = values.join(train, [*by, "row0", "col0"]).groupBy("channel").agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("std"))
-    return stats.withColumn("std", F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))
+def train_statistics(measured: DataFrame, patches: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
+    """``channel, mean, std`` over the training patches, from the moments of each; a deviation near 0 counts as 1.
+
+    The variance of all values is the mean of the windows' own ones and the
+    variance of their means, each as often as a window has values.
+    """
+    own = measured.join(patches.where("split = 'train'").select(*by, "row0", "col0"), [*by, "row0", "col0"])
+    n = F.col("n").cast("double")
+    mean = F.sum(F.col("mean") * n) / F.sum(n)
+    centre = own.groupBy("channel").agg(mean.alias("centre"))
+    spread = own.join(F.broadcast(centre), "channel").groupBy("channel").agg(F.first("centre").alias("mean"), F.sqrt(F.sum(n * (F.col("variance") + F.pow(F.col("mean") - F.col("centre"), 2))) / F.sum(n)).alias("std"))
+    return spread.withColumn("std", F.when(F.col("std") < 1e-8, 1.0).otherwise(F.col("std")))
 
 
 def normalized(values: DataFrame, patches: DataFrame, statistics: DataFrame, by: Sequence[str] = ("observation_id",)) -> DataFrame:
@@ -69,15 +81,29 @@ def normalized(values: DataFrame, patches: DataFrame, statistics: DataFrame, by:
 
 
 def prepare(cube: DataFrame, names: Sequence[str], by: Sequence[str] = ("observation_id",), size: int = SIZE, stride: int = STRIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Patches, training statistics and standardised values; an error if no window is valid."""
+    """Patches, training statistics and standardised values; an error if no window is valid.
+
+    Pixels are gone through for the moments of windows and for the
+    standardised values; all between needs a row per window and channel only.
+    """
     values = long_patches(cube, names, by, size, stride)
-    patches = numbered(validity(values, by), by)
+    measured = moments(values, by).checkpoint() if _can_checkpoint(cube) else moments(values, by)
+    patches = numbered(validity(measured, by), by)
     if not patches.limit(1).count():
         raise ModelInputError("no valid patch")
-    statistics = train_statistics(values, patches, by)
+    statistics = train_statistics(measured, patches, by)
     return patches, statistics, normalized(values, patches, statistics, by)
 
 
+def _can_checkpoint(df: DataFrame) -> bool:
+    """Whether the session has a folder for checkpoints that executors share."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+
+
 def tensors(values: DataFrame) -> DataFrame:
     """``patch_id, split, tensor``: one array per patch, by channel, row and column."""
     ordered = F.array_sort(F.collect_list(F.struct("channel", "row", "col", F.col("normalized").cast("float").alias("v"))))

@@ -43,7 +43,16 @@ def scenes(spark: SparkSession, sf_dir: str, days: int = 2) -> DataFrame:
 
 
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "supplier").selectExpr("s_suppkey AS node_id", "s_acctbal AS x", "CAST(s_suppkey AS DOUBLE) AS y", "CAST(array() AS array<double>) AS features", "CAST(s_nationkey AS string) AS irrigation_id", "CAST(NULL AS string) AS soil_type", "abs(s_acctbal) AS rainfall_mm")
+    """Suppliers as nodes: features of four small whole numbers, some of length 0; one in seven has no soil."""
+    return load(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS node_id",
+        "s_acctbal AS x",
+        "CAST(s_suppkey AS DOUBLE) AS y",
+        "CASE WHEN s_suppkey % 9 = 0 THEN array(0D, 0D, 0D, 0D) ELSE array(CAST(s_suppkey * 7 % 13 - 6 AS DOUBLE), CAST(s_suppkey * 5 % 11 - 5 AS DOUBLE), CAST(s_suppkey * 3 % 17 - 8 AS DOUBLE), CAST(s_suppkey % 19 - 9 AS DOUBLE)) END AS features",
+        "CAST(s_nationkey AS string) AS irrigation_id",
+        "CASE WHEN s_suppkey % 7 > 0 THEN concat('soil', s_suppkey % 23) END AS soil_type",
+        "abs(s_acctbal) AS rainfall_mm",
+    )
 
 
 def embedding_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SceneError
 from ..operators import align, features, graph, patches, preprocess, temporal, validate
+from ..schemas import NODES
 
 
 @dataclass
@@ -17,8 +18,8 @@ class Products:
     cube: DataFrame
     feature_names: list[str]
     sequence: DataFrame
-    nodes: DataFrame | None
-    edges: DataFrame | None
+    nodes: DataFrame
+    edges: DataFrame
     issues: DataFrame
     patches: DataFrame
     statistics: DataFrame
@@ -31,6 +32,7 @@ class Pipeline:
     Parameters that the stages have are parameters here. Observations without
     radar bands have nulls there, and such features; a mix of paired and
     single observations is an error in strict mode, as feature sets differ.
+    Without nodes the graph is empty: its tables have no rows, which is noted.
     """
 
     def __init__(self, *, days: int = align.DAYS, step: int = temporal.STEP, length: int = temporal.LENGTH, patch: int = patches.SIZE, stride: int = patches.STRIDE, near: float = graph.NEAR, k: int | None = None, strict: bool = True):
@@ -64,12 +66,12 @@ class Pipeline:
         order = observed.select("observation_id", "ord")
         means = features.means(cube, names).join(order, "observation_id")
         sequence = temporal.sequence(means, names, step=self.step, length=self.length, order="ord")
-        edges = graph.edges(nodes, threshold=self.near, k=self.k) if nodes is not None else None
+        nodes = optical_scenes.sparkSession.createDataFrame([], NODES) if nodes is None else nodes
+        edges = graph.edges(nodes, threshold=self.near, k=self.k)
         scenes = optical_scenes.unionByName(radar_scenes)
         issues = [validate.duplicates(scenes), validate.missing_crs(scenes), validate.clouds(preprocess.cloud_fraction(o)), validate.missing_modalities(scenes)]
         issues.append(validate.sequences(sequence.select(F.lit(0).alias("sequence_id"), "step", "ts")))
-        if edges is not None:
-            issues.append(validate.edge_integrity(edges, nodes))
+        issues += [validate.empty_graph(nodes), validate.edge_integrity(edges, nodes)]
         found = validate.check(validate.report(*issues), report)
         numbered, statistics, normalized = patches.prepare(cube, names, size=self.patch, stride=self.stride)
         return Products(observed, cube, names, sequence, nodes, edges, found, numbered, statistics, normalized)

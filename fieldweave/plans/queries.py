@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .. import functions as fn
-from ..operators import align, features, graph, grid, patches, preprocess, temporal, validate
-from ..sources import artifacts, catalog
+from ..operators import align, features, graph, grid, normalize, patches, preprocess, temporal, validate
+from ..sources import artifacts, catalog, config, export, scenes
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -119,21 +120,33 @@ def normalized_difference(spark, d):
 
 @query(f'WITH {PX} SELECT scene, "row", col, {rnd("CASE WHEN max(red) OVER w = min(red) OVER w THEN 0 ELSE (red - min(red) OVER w) / (max(red) OVER w - min(red) OVER w) END")} AS v FROM px WINDOW w AS (PARTITION BY scene)')
 def minmax_norm(spark, d):
-    return fx.pixels(spark, d).select(*place(r6(fn.minmax(F.col("red"), "scene")).alias("v")))
+    return normalize.minmax_normalize(fx.pixels(spark, d), "red", ["scene"]).select(*place(r6("normalized").alias("v")))
 
 
 @query(f'WITH {PX} SELECT scene, "row", col, {rnd("(nir - avg(nir) OVER w) / stddev_pop(nir) OVER w")} AS v FROM px WINDOW w AS (PARTITION BY scene)')
 def zscore_norm(spark, d):
-    return fx.pixels(spark, d).select(*place(r6(fn.zscore(F.col("nir"), "scene")).alias("v")))
+    return normalize.zscore_normalize(fx.pixels(spark, d), "nir", ["scene"]).select(*place(r6("normalized").alias("v")))
 
 
-@query(f'WITH {PX}, s AS (SELECT avg(nir) AS m, stddev_pop(nir) AS d FROM px WHERE scene % 2 = 0) SELECT scene, "row", col, {rnd("(nir - m) / d")} AS v FROM px, s')
+_PARTS = """parts AS (SELECT scene, CASE WHEN i < greatest(1, floor(n * 0.7::DOUBLE)) THEN 'train' WHEN i < greatest(greatest(1, floor(n * 0.7::DOUBLE)), floor(n * 0.85::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT scene, row_number() OVER (ORDER BY scene) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT scene FROM px)))"""
+
+
+@query(f"""WITH {PX}, {_PARTS}, s AS (SELECT avg(nir) AS m, stddev_pop(nir) AS d FROM px JOIN parts USING (scene) WHERE split = 'train') SELECT scene, "row", col, {rnd("(nir - m) / d")} AS v FROM px, s""")
 def standardize_train(spark, d):
     px = fx.pixels(spark, d)
-    stats = px.where("scene % 2 = 0").agg(F.avg("nir").alias("m"), F.stddev_pop("nir").alias("s"))
+    index = px.select("scene").distinct().withColumn("index", F.row_number().over(W.orderBy("scene")).cast("long") - 1)  # a row per scene
+    train = index.join(patches.splits(index), "index").where("split = 'train'").select("scene")
+    stats = px.join(train, "scene").agg(F.avg("nir").alias("m"), F.stddev_pop("nir").alias("s"))
     return px.select(*place(r6(fn.standardize(F.col("nir"), stats.select("m").scalar(), stats.select("s").scalar())).alias("v")))
 
 
+@query(f"""WITH {PX} SELECT scene, "row", col, CAST(CAST(red AS FLOAT) AS DOUBLE) AS single, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one FROM px""")
+def single_precision(spark, d):
+    as_double = lambda c, name: c.cast("double").alias(name)
+    return fx.pixels(spark, d).select(*place(as_double(fn.as_float("red"), "single"), as_double(fn.zeros_like("red"), "zero"), as_double(fn.ones_like("red"), "one")))
+
+
 @query("""SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e0) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e0, e0))), 6) + 0.0::DOUBLE AS v
   FROM embeddings, (SELECT embedding::DOUBLE[] AS e0 FROM embeddings WHERE vec_id = 0)""")
 def cosine_to_first(spark, d):
@@ -187,6 +200,32 @@ def gaussian_k5(spark, d):
     return grid.gaussian_filter(optical(spark, d), ["scene"], "nir", 5).select(*place(r6("nir_smooth", 12).alias("v")))
 
 
+_TILE = "CAST(floor(\"row\" / 8) AS INTEGER) AS tile_row, CAST(floor(col / 8) AS INTEGER) AS tile_col"
+
+
+@query(f"""WITH {PX}, t AS (SELECT scene, {_TILE}, "row", col, CAST(CAST(red AS FLOAT) AS DOUBLE) AS v FROM px)
+  SELECT scene, tile_row, tile_col, CAST(max("row") - min("row") + 1 AS INTEGER) AS h, CAST(max(col) - min(col) + 1 AS INTEGER) AS w, arg_min(v, "row" * 1000 + col) AS first, arg_max(v, "row" * 1000 + col) AS last, {rnd("sum(v)", 2)} AS total FROM t GROUP BY ALL""")
+def tiles(spark, d):
+    out = grid.pixels_to_tiles(fx.pixels(spark, d), ["scene"], "red", 8)
+    values = F.transform("data", lambda v: v.cast("double"))
+    return out.select("scene", "tile_row", "tile_col", "h", "w", F.element_at(values, 1).alias("first"), F.element_at(values, -1).alias("last"), r6(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+
+
+@query(f"""WITH {RX}, {HW}, t AS (SELECT scene, tr."row", tc.col, least(CAST(floor(tr."row" * (1::DOUBLE / (7::DOUBLE / h))) AS INTEGER), h - 1) AS sr, least(CAST(floor(tc.col * (1::DOUBLE / (9::DOUBLE / w))) AS INTEGER), w - 1) AS sc_
+  FROM hw, (SELECT CAST(range AS INTEGER) AS "row" FROM range(7)) tr, (SELECT CAST(range AS INTEGER) AS col FROM range(9)) tc)
+  SELECT t.scene, t."row", t.col, cloud FROM t JOIN rx ON rx.scene = t.scene AND rx."row" = sr AND rx.col = sc_""")
+def mask_resample(spark, d):
+    return optical(spark, d, shape=(7, 9)).select(*place("cloud"))
+
+
+@query(f"""WITH {PX} SELECT scene, count(*) AS n_pixels, {rnd("min(red)")} AS red_min, {rnd("avg(red)")} AS red_mean, {rnd("max(red)")} AS red_max, {rnd("avg(vh)")} AS vh_mean FROM px GROUP BY scene""")
+def scene_summary(spark, d):
+    header = fx.scenes(spark, d)
+    px = fx.pixels(spark, d).withColumn("scene_id", F.col("scene").cast("string")).drop("scene")
+    out = scenes.describe(header, px)
+    return out.select(F.col("input_ord").alias("scene"), "n_pixels", *[r6(c).alias(c) for c in ("red_min", "red_mean", "red_max", "vh_mean")])
+
+
 # Features
 
 _EVI = "2.5::DOUBLE * (nir - red) / (CASE WHEN abs(nir + 6 * red - 7.5::DOUBLE * blue + 1) < 1e-6::DOUBLE THEN 1e-6::DOUBLE ELSE nir + 6 * red - 7.5::DOUBLE * blue + 1 END)"
@@ -271,17 +310,38 @@ def align_full(spark, d):
     return align.observations(*_headers(spark, d)).select("observation_id", "pairing", F.coalesce("delta_days", F.lit(-1)).alias("delta_days"))
 
 
+def _near(i: str, n: str, m: str) -> str:
+    """The place of ``i`` of ``m`` on a grid of ``n``."""
+    return f"least(CAST(floor({i} * (1::DOUBLE / ({m}::DOUBLE / {n}))) AS INTEGER), {n} - 1)"
+
+
+@query(f"""WITH {PX}, opt AS (SELECT scene, "row", col, red FROM px WHERE scene % 2 = 0 AND scene + 1 IN (SELECT scene FROM px)), sar AS (SELECT scene, CAST("row" / 2 AS INTEGER) AS "row", col, vv FROM px WHERE scene % 2 = 1 AND "row" % 2 = 0)
+  SELECT opt.scene, opt."row", opt.col, {rnd("red")} AS red, {rnd("vv")} AS vv FROM opt JOIN sar ON sar.scene = opt.scene + 1 AND sar."row" = {_near('opt."row"', "10", "20")} AND sar.col = {_near("opt.col", "20", "20")}
+  WHERE opt.scene IN (SELECT scene FROM px GROUP BY scene HAVING count(*) = 400) AND opt.scene + 1 IN (SELECT scene FROM px GROUP BY scene HAVING count(*) = 400)""")
+def grid_match(spark, d):
+    """Radar of half as many rows on the grid of the optical scene before it."""
+    px = fx.pixels(spark, d)
+    whole = px.groupBy("scene").count().where("count = 400").select("scene")
+    px = px.join(whole, "scene").withColumn("scene_id", F.col("scene").cast("string"))
+    pair = whole.where("scene % 2 = 0").join(whole.select((F.col("scene") - 1).alias("scene")), "scene")
+    observed = pair.select(F.col("scene").cast("string").alias("observation_id"), F.lit("2024-01-01").alias("acquisition_date"), F.col("scene").cast("string").alias("optical_scene_id"), (F.col("scene") + 1).cast("string").alias("sar_scene_id"))
+    seen = px.where("scene % 2 = 0").select("scene_id", "row", "col", "red")
+    radar = px.where("scene % 2 = 1 AND row % 2 = 0").select("scene_id", (F.col("row") / 2).cast("int").alias("row"), "col", "vv")
+    out = align.matched_pixels(observed, seen, radar, ["red"], ["vv"])
+    return out.select(F.col("observation_id").cast("long").alias("scene"), "row", "col", r6("red").alias("red"), r6("vv").alias("vv"))
+
+
 # Sequences
 
 
 def _scene_means(spark, d) -> DataFrame:
-    """Even scenes with uneven days between them."""
-    means = features.means(_cube(spark, d), ["ndvi", "evi"], ["scene"]).where("scene % 2 = 0")
+    """All scenes, with uneven days between them."""
+    means = features.means(_cube(spark, d), ["ndvi", "evi"], ["scene"])
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("scene") * 3 + F.col("scene") % 3).cast("int")).cast("string")
     return means.withColumn("acquisition_date", day).withColumnRenamed("scene", "input_ord")
 
 
-_VECTORS = f"""{RX}, m AS (SELECT scene, avg({_FEATURES["ndvi"]}) AS ndvi, avg({_EVI}) AS evi, DATE '2024-01-01' + CAST(scene * 3 + scene % 3 AS INTEGER) AS day FROM rx WHERE scene % 2 = 0 GROUP BY scene),
+_VECTORS = f"""{RX}, m AS (SELECT scene, avg({_FEATURES["ndvi"]}) AS ndvi, avg({_EVI}) AS evi, DATE '2024-01-01' + CAST(scene * 3 + scene % 3 AS INTEGER) AS day FROM rx GROUP BY scene),
   t AS (SELECT CAST(range AS INTEGER) AS step, (SELECT min(day) FROM m) + CAST(range * 10 AS INTEGER) AS ts FROM range(8))"""
 
 
@@ -299,9 +359,24 @@ def temporal_sequence(spark, d):
     return out.select("step", r6(F.col("features")[0]).alias("evi"), r6(F.col("features")[1]).alias("ndvi"))
 
 
+_GROUPED = f"""{RX}, m AS (SELECT scene % 3 AS field, avg({_FEATURES["ndvi"]}) AS ndvi, DATE '2024-01-01' + CAST(scene * 3 + scene % 3 AS INTEGER) AS day FROM rx GROUP BY scene),
+  b AS (SELECT field, min(day) AS first, max(day) AS last FROM m GROUP BY field), t AS (SELECT field, last, CAST(range AS INTEGER) AS step, first + CAST(range * 6 AS INTEGER) AS ts FROM b, range(5))"""
+
+
+@query(f"""WITH {_GROUPED} SELECT t.field, step, CAST(ts AS VARCHAR) AS ts, CAST(CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.field = t.field AND day = ts) THEN 1 ELSE 0 END AS BIGINT) AS mask,
+  {rnd("CASE WHEN ts > last THEN 0 ELSE coalesce((SELECT ndvi FROM m WHERE m.field = t.field AND day = ts), ((SELECT arg_max(ndvi, day) FROM m WHERE m.field = t.field AND day < ts) + (SELECT arg_min(ndvi, day) FROM m WHERE m.field = t.field AND day > ts)) / 2) END")} AS ndvi FROM t""")
+def temporal_groups(spark, d):
+    """A sequence for each of three fields."""
+    means = _scene_means(spark, d).withColumn("field", F.col("input_ord") % 3)
+    out = temporal.sequence(means, ["ndvi"], step=6, length=5, by=["field"])
+    return out.select("field", "step", F.col("ts").cast("string").alias("ts"), "mask", r6(F.col("features")[0]).alias("ndvi"))
+
+
 # Graphs
 
-_NODES = "n AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_suppkey AS DOUBLE) AS y, s_nationkey AS k, abs(s_acctbal) AS rain FROM supplier)"
+_NODES = """v AS (SELECT s_suppkey AS id, s_acctbal AS x, CAST(s_suppkey AS DOUBLE) AS y, s_nationkey AS k, abs(s_acctbal) AS rain, CASE WHEN s_suppkey % 7 > 0 THEN concat('soil', s_suppkey % 23) END AS soil,
+  CASE WHEN s_suppkey % 9 = 0 THEN [0, 0, 0, 0]::DOUBLE[] ELSE [s_suppkey * 7 % 13 - 6, s_suppkey * 5 % 11 - 5, s_suppkey * 3 % 17 - 8, s_suppkey % 19 - 9]::DOUBLE[] END AS f FROM supplier),
+  n AS (SELECT *, sqrt(list_dot_product(f, f)) AS len FROM v)"""
 _DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _RAIN = "(1 - least(1, abs(a.rain - b.rain) / 1000::DOUBLE))"
 
@@ -326,29 +401,46 @@ def graph_rainfall(spark, d):
 _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 
 
-@query(f"WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.id AS src, b.id AS dst, {rnd(_COS, 5)} AS soil_similarity FROM n a JOIN n b ON a.id <> b.id AND {_COS} > 0.8::DOUBLE")
+@query(f"WITH n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.id AS src, b.id AS dst, {rnd(_COS, 5)} AS soil_similarity FROM n a JOIN n b ON a.id <> b.id AND {_COS} > 0.4::DOUBLE")
 def graph_cosine(spark, d):
     n = graph.prepared(fx.embedding_nodes(spark, d).withColumn("soil_type", F.lit(None).cast("string")))
-    return graph.attributes(graph.cosine_pairs(n), n).select("src", "dst", r6("soil_similarity", 5).alias("soil_similarity"))
+    return graph.attributes(graph.cosine_pairs(n, 0.4), n).select("src", "dst", r6("soil_similarity", 5).alias("soil_similarity"))
 
 
-_ALL_EDGES = f"""{_NODES}, e AS (SELECT a.id AS src, b.id AS dst, {_DIST} AS dist, CAST(a.k = b.k AND a.k <> 0 AS DOUBLE) AS shared, {_RAIN} AS rain FROM n a JOIN n b ON a.id <> b.id AND ({_DIST} <= 500 OR (a.k = b.k AND a.k <> 0) OR {_RAIN} > 0.8::DOUBLE))"""
+_ALIKE = "CASE WHEN a.soil = b.soil THEN 1 WHEN a.len < 1e-8::DOUBLE OR b.len < 1e-8::DOUBLE THEN 0 ELSE greatest(0, list_dot_product(a.f, b.f) / (a.len * b.len)) END"
+_ALL_EDGES = f"""{_NODES}, e AS (SELECT a.id AS src, b.id AS dst, {_DIST} AS dist, CAST(a.k = b.k AND a.k <> 0 AS DOUBLE) AS shared, {_ALIKE} AS soil, {_RAIN} AS rain FROM n a JOIN n b
+  ON a.id <> b.id AND ({_DIST} <= 500 OR (a.k = b.k AND a.k <> 0) OR {_ALIKE} > 0.8::DOUBLE OR {_RAIN} > 0.8::DOUBLE))"""
 
 
 def _edge_columns(e: DataFrame) -> DataFrame:
-    return e.select("src", "dst", r6("distance_m", 4).alias("distance_m"), "shared_irrigation", r6("soil_similarity").alias("soil_similarity"), r6("rainfall_similarity").alias("rainfall_similarity"))
+    return e.select("src", "dst", r6("distance_m", 4).alias("distance_m"), "shared_irrigation", r6("soil_similarity", 5).alias("soil_similarity"), r6("rainfall_similarity").alias("rainfall_similarity"))
 
 
-@query(f"WITH {_ALL_EDGES} SELECT src, dst, {rnd('dist', 4)} AS distance_m, shared AS shared_irrigation, 0.0::DOUBLE AS soil_similarity, {rnd('rain')} AS rainfall_similarity FROM e")
+@query(f"WITH {_ALL_EDGES} SELECT src, dst, {rnd('dist', 4)} AS distance_m, shared AS shared_irrigation, {rnd('soil', 5)} AS soil_similarity, {rnd('rain')} AS rainfall_similarity FROM e")
 def graph_edges(spark, d):
     return _edge_columns(graph.edges(fx.supplier_nodes(spark, d), threshold=500.0))
 
 
-@query(f"WITH {_ALL_EDGES} SELECT src, dst, {rnd('dist', 4)} AS distance_m, shared AS shared_irrigation, 0.0::DOUBLE AS soil_similarity, {rnd('rain')} AS rainfall_similarity FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 3")
+@query(f"WITH {_ALL_EDGES} SELECT src, dst, {rnd('dist', 4)} AS distance_m, shared AS shared_irrigation, {rnd('soil', 5)} AS soil_similarity, {rnd('rain')} AS rainfall_similarity FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 3")
 def graph_knn(spark, d):
     return _edge_columns(graph.edges(fx.supplier_nodes(spark, d), threshold=500.0, k=3))
 
 
+@query(f"WITH {_NODES} SELECT a.id AS src, b.id AS dst, {rnd(_ALIKE, 5)} AS soil_similarity FROM n a JOIN n b ON a.id <> b.id AND {_ALIKE} > 0.8::DOUBLE")
+def graph_soil(spark, d):
+    """Pairs of one soil or of like features."""
+    n = graph.prepared(fx.supplier_nodes(spark, d))
+    found = graph.same_key_pairs(n, "soil_type").union(graph.cosine_pairs(n)).distinct()
+    return graph.attributes(found, n).select("src", "dst", r6("soil_similarity", 5).alias("soil_similarity"))
+
+
+@query(f"WITH {_ALL_EDGES} SELECT (SELECT count(*) FROM n) AS node_count, count(*) AS edge_count, false AS empty_graph, 'distance_m,shared_irrigation,soil_similarity,rainfall_similarity' AS edge_attributes, 'pytorch_geometric' AS format, CAST(NULL AS INTEGER) AS k_neighbors, 500.0::DOUBLE AS proximity_threshold_m FROM e")
+def graph_summary(spark, d):
+    nodes = fx.supplier_nodes(spark, d)
+    out = graph.summary(nodes, graph.edges(nodes, threshold=500.0), threshold=500.0)
+    return out.withColumn("edge_attributes", F.array_join("edge_attributes", ","))
+
+
 # Patches
 
 _FULL = f"""hw AS (SELECT scene, max("row") + 1 AS h, max(col) + 1 AS w FROM px GROUP BY scene),
@@ -364,6 +456,10 @@ def _values(spark, d) -> DataFrame:
     return patches.long_patches(fx.pixels(spark, d), ["red", "nir"], ["scene"], 8, 4)
 
 
+def _moments(spark, d) -> DataFrame:
+    return patches.moments(_values(spark, d), ["scene"])
+
+
 @query(f"WITH {PX}, {_FULL} SELECT scene, CAST(r0 AS INTEGER) AS row0, CAST(c0 AS INTEGER) AS col0 FROM win")
 def patch_grid(spark, d):
     return grid.patch_pixels(fx.pixels(spark, d).select(*place("red")), ["scene"], 8, 4).select("scene", "row0", "col0").distinct()
@@ -376,26 +472,33 @@ def patch_overlap(spark, d):
 
 @query(f"WITH {PX}, {_FULL} SELECT scene, CAST(r0 AS INTEGER) AS row0, CAST(c0 AS INTEGER) AS col0, max(v) > min(v) AS valid FROM cells GROUP BY ALL")
 def patch_validity(spark, d):
-    return patches.validity(_values(spark, d), ["scene"])
+    return patches.validity(_moments(spark, d), ["scene"])
 
 
 @query(f"WITH {PX}, {_FULL} SELECT patch_id, scene, CAST(r0 AS INTEGER) AS row0, CAST(c0 AS INTEGER) AS col0, split FROM parts")
 def patch_split(spark, d):
-    return patches.numbered(patches.validity(_values(spark, d), ["scene"]), ["scene"])
+    return patches.numbered(patches.validity(_moments(spark, d), ["scene"]), ["scene"])
+
+
+@query(f"""WITH {PX}, {_FULL}, size AS (SELECT greatest(count(*), 7, (SELECT count(*) FROM supplier)) AS n FROM good)
+  SELECT CAST(range AS BIGINT) AS index, CASE WHEN range < greatest(1, floor(n * 0.7::DOUBLE)) THEN 'train' WHEN range < greatest(greatest(1, floor(n * 0.7::DOUBLE)), floor(n * 0.85::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM size, LATERAL (SELECT unnest(range(n)) AS range)""")
+def exported_splits(spark, d):
+    numbered = patches.numbered(patches.validity(_moments(spark, d), ["scene"]), ["scene"])
+    return patches.splits(numbered, sequences=7, nodes=fx.load(spark, d, "supplier").count())
 
 
 @query(f"WITH {PX}, {_FULL} SELECT channel, {rnd('mean', 7)} AS mean, {rnd('std', 7)} AS std FROM stats")
 def patch_stats_train(spark, d):
-    values = _values(spark, d)
-    stats = patches.train_statistics(values, patches.numbered(patches.validity(values, ["scene"]), ["scene"]), ["scene"])
+    measured = _moments(spark, d)
+    stats = patches.train_statistics(measured, patches.numbered(patches.validity(measured, ["scene"]), ["scene"]), ["scene"])
     return stats.select("channel", r6("mean", 7).alias("mean"), r6("std", 7).alias("std"))
 
 
 @query(f"WITH {PX}, {_FULL} SELECT patch_id, channel, split, {rnd('sum((v - mean) / std)', 3)} AS total, {rnd('min((v - mean) / std)', 5)} AS low, {rnd('max((v - mean) / std)', 5)} AS high FROM cells JOIN parts USING (scene, r0, c0) JOIN stats USING (channel) GROUP BY ALL")
 def patch_normalized(spark, d):
-    values = _values(spark, d)
-    numbered = patches.numbered(patches.validity(values, ["scene"]), ["scene"])
-    out = patches.normalized(values, numbered, patches.train_statistics(values, numbered, ["scene"]), ["scene"])
+    measured = _moments(spark, d)
+    numbered = patches.numbered(patches.validity(measured, ["scene"]), ["scene"])
+    out = patches.normalized(_values(spark, d), numbered, patches.train_statistics(measured, numbered, ["scene"]), ["scene"])
     return out.groupBy("patch_id", "channel", "split").agg(r6(F.sum("normalized"), 3).alias("total"), r6(F.min("normalized"), 5).alias("low"), r6(F.max("normalized"), 5).alias("high"))
 
 
@@ -428,8 +531,80 @@ def edge_integrity(spark, d):
     return validate.edge_integrity(named, fx.load(spark, d, "supplier").selectExpr("s_suppkey AS node_id")).select("subject", "message")
 
 
+@query("""WITH c AS (SELECT DISTINCT event_id // 400 AS s FROM events), k AS (SELECT count(*) AS n, count(*) FILTER (s % 7 = 3) AS few, count(*) FILTER (s % 5 = 0) AS bare FROM c)
+  SELECT 'error' AS severity, 'missing_bands' AS rule, CAST(s AS VARCHAR) AS subject, concat('Missing bands for ', s) AS message FROM c WHERE s % 5 = 0 UNION ALL
+  SELECT 'error', 'empty_cube', CAST(s AS VARCHAR), concat('Feature cube has no features: ', s) FROM c WHERE s % 6 = 0 UNION ALL
+  SELECT 'error', 'unlike_features', CAST(s AS VARCHAR), concat('Feature cube ', s, ' lacks [ndvi] and adds [vv]') FROM c WHERE s % 7 = 3 UNION ALL
+  SELECT 'warning', 'empty_graph', 'graph', 'Vision-only pipeline: graph validation skipped.'""")
+def cube_rules(spark, d):
+    s = fx.scenes(spark, d).withColumn("s", F.col("input_ord"))
+    bands = s.select("scene_id", F.when(F.col("s") % 5 > 0, 3).alias("n_bands"))
+    cubes = s.select(F.col("scene_id").alias("observation_id"), "input_ord", F.when(F.col("s") % 6 == 0, 0).otherwise(4).alias("n_features"), F.when(F.col("s") % 7 == 3, F.array(F.lit("vv"), F.lit("evi"))).otherwise(F.array(F.lit("ndvi"), F.lit("evi"))).alias("features"))
+    return validate.report(validate.missing_bands(bands), validate.empty_cubes(cubes), validate.unlike_features(cubes), validate.empty_graph(fx.supplier_nodes(spark, d).limit(0)))
+
+
+@query("""WITH t AS (SELECT event_id // 20 AS q, event_id % 20 AS step, event_id // 20 * 100 + CASE WHEN event_id // 20 % 3 = 1 AND event_id % 20 = 7 THEN 0 WHEN event_id // 20 % 4 = 2 AND event_id % 20 = 9 THEN 8 ELSE event_id % 20 END AS ts FROM events)
+  SELECT 'error' AS severity, 'not_chronological' AS rule, CAST(q AS VARCHAR) AS subject, concat('Sequence ', q, ' timestamps are not chronological') AS message FROM (SELECT q, ts < lag(ts) OVER (PARTITION BY q ORDER BY step) AS late FROM t) GROUP BY q HAVING bool_or(late)
+  UNION ALL SELECT 'warning', 'duplicate_timestamps', CAST(q AS VARCHAR), concat('Sequence ', q, ' contains duplicate timestamps') FROM t GROUP BY q HAVING count(ts) > count(DISTINCT ts)""")
+def sequence_rules(spark, d):
+    steps = fx.load(spark, d, "events").selectExpr("event_id div 20 AS sequence_id", "event_id % 20 AS step").selectExpr("sequence_id", "step", "sequence_id * 100 + CASE WHEN sequence_id % 3 = 1 AND step = 7 THEN 0 WHEN sequence_id % 4 = 2 AND step = 9 THEN 8 ELSE step END AS ts")
+    return validate.sequences(steps)
+
+
+@query(f"WITH {PX} SELECT 'pixels' AS what, count(*) AS n FROM px UNION ALL SELECT 'scenes', count(DISTINCT scene) FROM px UNION ALL SELECT 'nodes', count(*) FROM supplier")
+def table_counts(spark, d):
+    return validate.counts(pixels=fx.pixels(spark, d), scenes=fx.scenes(spark, d), nodes=fx.supplier_nodes(spark, d))
+
+
+@query(f"""WITH {PX}, {_FULL}, c AS (SELECT count(*) AS n FROM good) SELECT n AS patches, {rnd("(SELECT mean FROM stats WHERE channel = 'nir')", 6)} AS nir_mean, CAST(greatest(1, floor(n * 0.7::DOUBLE)) - 1 AS BIGINT) AS last_train, 8::BIGINT AS steps, (SELECT count(*) FROM supplier) AS nodes, false AS empty_graph FROM c""")
+def dataset_manifest(spark, d):
+    """What the description of a dataset says, and its sequence and graph are whole in it."""
+    measured = _moments(spark, d)
+    numbered = patches.numbered(patches.validity(measured, ["scene"]), ["scene"])
+    nodes = fx.supplier_nodes(spark, d)
+    sequence = temporal.sequence(_scene_means(spark, d), ["ndvi", "evi"])
+    body = export.manifest(patches=numbered, statistics=patches.train_statistics(measured, numbered, ["scene"]), splits=patches.splits(numbered), sequence=sequence, nodes=nodes, edges=graph.edges(nodes, threshold=500.0, k=2))
+    graph_ = body["graph"]
+    if len(graph_["nodes"]) != graph_["node_count"] or len(graph_["edge_attr"]) != graph_["edge_count"] or len(body["temporal"]["sequences"]) != 8:
+        raise ValueError("the description is not whole")
+    row = (body["patches"], round(body["statistics"]["nir"]["mean"], 6), body["splits"]["train"][1], len(body["temporal"]["masks"]), graph_["node_count"], graph_["empty_graph"])
+    return spark.createDataFrame([row], "patches long, nir_mean double, last_train long, steps long, nodes long, empty_graph boolean")
+
+
 # Sources
 
+_SETTINGS = """
+request:
+  aoi_name: "demo: field"   # quoted
+  start_date: 2026-01-01
+  end_date: 2026-01-31
+  modalities: [optical, 'sar']
+logging:
+  level: DEBUG
+validation:
+  required_modalities:
+    - optical
+    - tide
+providers:
+  - name: modis
+  - name: open
+    kind: stac
+    enabled: false
+    collections: [a, b]
+    max_items: 5
+"""
+
+
+@query("""SELECT * FROM (VALUES ('request', 'demo: field 2026-01-01 2026-01-31 optical,sar'), ('log', 'work/logs/discovery.log DEBUG'), ('report', 'work/discovery/discovery_report.json'), ('required', 'optical,tide'),
+  ('modis', 'true static 100 '), ('open', 'false stac 5 a,b')) t(setting, value)""")
+def settings_file(spark, d):
+    found = config.loads(_SETTINGS)
+    r = found.request
+    rows = [("request", f"{r.aoi_name} {r.start_date} {r.end_date} {','.join(r.modalities)}"), ("log", f"{found.log_file} {found.log_level}"), ("report", found.output_metadata_path), ("required", ",".join(found.required_modalities))]
+    rows += [(p.name, f"{str(p.enabled).lower()} {p.kind} {p.max_items} {','.join(p.collections)}") for p in found.providers]
+    return spark.createDataFrame(rows, "setting string, value string")
+
+
 _ITEMS = """i AS (SELECT page_id, concat('p', page_id % 200) AS product_id, ['sentinel-2-l2a', 'sentinel-1-grd', 'weather-daily', 'soil-map', 'landsat-l1c'][page_id % 5 + 1] AS collection, url FROM pages),
   k AS (SELECT *, CASE page_id % 5 WHEN 1 THEN 'sar' WHEN 2 THEN 'weather' WHEN 3 THEN 'ancillary' ELSE 'optical' END AS modality FROM i)"""
 
@@ -442,6 +617,21 @@ def stac_candidates(spark, d):
     return found.select("page_id", "product_id", "collection", "modality", "acquisition_date", "spatial_resolution_m", "crs", bands, "cloud_cover_percent", "product_level", "access_url")
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('VV', page_id % 3, ',VH') ELSE 'a,z' END AS bands, CASE WHEN page_id % 3 = 0 THEN 'L1' WHEN page_id % 2 = 0 THEN 'surface_reflectance' END AS product_level FROM pages""")
+def item_bands(spark, d):
+    """Bands named by an item's properties come before its assets, and its own level before one told by the collection."""
+    item = """to_json(named_struct('id', 'x', 'collection', CASE WHEN page_id % 2 = 0 THEN 'surface-x' ELSE 'other' END, 'properties', map_filter(map('eo:bands', CASE WHEN page_id % 2 = 0 THEN concat('[{"name":"VV', page_id % 3, '"},{"name":""},{"name":"VH"}]') END,
+      'processing:level', CASE WHEN page_id % 3 = 0 THEN 'L1' END), (k, v) -> v IS NOT NULL), 'assets', map('z', named_struct('href', url), 'a', named_struct('href', url)))) AS item"""
+    found = catalog.candidates(fx.load(spark, d, "pages").selectExpr("page_id", item), "demo", keep=("page_id",))
+    return found.select("page_id", F.array_join("bands", ",").alias("bands"), "product_level")
+
+
+@query("""SELECT concat('p', page_id) AS product_id, concat_ws(',', CASE WHEN page_id % 2 = 0 THEN 'source' END, CASE WHEN page_id % 3 = 0 THEN 'collection' END) AS missing FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0""")
+def candidate_fields(spark, d):
+    found = fx.load(spark, d, "pages").selectExpr("'demo' AS provider", "CASE WHEN page_id % 2 > 0 THEN 's' END AS source", "CASE WHEN page_id % 3 > 0 THEN 'c' ELSE '' END AS collection", "concat('p', page_id) AS product_id", "'sar' AS modality")
+    return catalog.missing_fields(found).select("product_id", F.array_join("missing", ",").alias("missing"))
+
+
 @query(f"""WITH {_ITEMS}, n AS (SELECT product_id, count(*) AS n FROM k GROUP BY 1) SELECT concat('duplicate ', product_id, ' ', CAST(unnest(range(2, n + 1)) AS VARCHAR)) AS warning FROM n WHERE n > 1 UNION ALL SELECT 'missing tide'""")
 def candidate_validation(spark, d):
     found = catalog.candidates(fx.items(spark, d), "demo")

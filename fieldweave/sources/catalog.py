@@ -38,6 +38,19 @@ TEMPLATES = {
     "ancillary-gis": ("Ancillary GIS catalog", "Administrative boundaries/soil/irrigation layers", "ancillary", [], None, None),
 }
 
+#: Fixed texts of the report's warnings and fallbacks.
+TEXTS = {
+    "credential": "{name} skipped because credential {env} is not set",
+    "portal": "Use portal/API credentials for {name} or configure an open STAC endpoint.",
+    "failed": "{name} failed: {error}",
+    "review": "Review {name} configuration or use an alternate source.",
+    "no_items": "{name} returned no items for requested AOI/date range",
+    "disabled": "Provider {name} disabled by configuration",
+    "duplicate": "Duplicate product_id discovered: {name}",
+    "no_modality": "No candidate discovered for required modality: {name}",
+    "nothing": "No dataset candidates discovered; configure credentials, AOI geometry, or fallback providers",
+}
+
 ITEM = """struct<id:string, collection:string, stac_version:string, properties:map<string,string>, assets:map<string,string>>"""
 
 
@@ -127,7 +140,7 @@ def search(spark: SparkSession, settings: ProviderSettings, request: Request, tr
     if not isinstance(found, list):
         raise ProviderError(f"{settings.name}: the answer's features are no list")
     items = spark.createDataFrame([(json.dumps(f),) for f in found], "item string")
-    return candidates(items, settings.name, settings.modalities), [] if found else [f"{settings.name} returned no items for requested AOI/date range"]
+    return candidates(items, settings.name, settings.modalities), [] if found else [TEXTS["no_items"].format(name=settings.name)]
 
 
 def template(spark: SparkSession, settings: ProviderSettings, request: Request) -> DataFrame:
@@ -148,15 +161,15 @@ def discover_one(spark: SparkSession, settings: ProviderSettings, request: Reque
     if settings.kind == "stac" and not settings.endpoint:
         raise ProviderError(f"provider {settings.name} needs an endpoint")
     if settings.requires_credentials and not has_credential(settings):
-        hint = [f"Use portal/API credentials for {settings.name} or configure an open STAC endpoint."] if settings.kind == "static" else []
-        return None, [f"{settings.name} skipped because credential {settings.credential_env} is not set"], hint
+        hint = [TEXTS["portal"].format(name=settings.name)] if settings.kind == "static" else []
+        return None, [TEXTS["credential"].format(name=settings.name, env=settings.credential_env)], hint
     try:
         if settings.kind == "stac":
             found, warnings = search(spark, settings, request, transport)
             return found, warnings, []
         return template(spark, settings, request), [], []
     except ProviderError as error:
-        return None, [f"{settings.name} failed: {error}"], [f"Review {settings.name} configuration or use an alternate source."]
+        return None, [TEXTS["failed"].format(name=settings.name, error=error)], [TEXTS["review"].format(name=settings.name)]
 
 
 def missing_fields(found: DataFrame) -> DataFrame:
@@ -176,11 +189,11 @@ def candidate_warnings(found: DataFrame, required: tuple[str, ...]) -> list[str]
     wrong = missing_fields(found).limit(1).collect()
     if wrong:
         raise CandidateError(f"candidate {wrong[0]['product_id']} of {wrong[0]['provider']} lacks {wrong[0]['missing']}")
-    out = [f"Duplicate product_id discovered: {r['product_id']}" for r in duplicate_products(found).orderBy("product_id").toLocalIterator()]
+    out = [TEXTS["duplicate"].format(name=r["product_id"]) for r in duplicate_products(found).orderBy("product_id").toLocalIterator()]
     present = {r[0] for r in found.select("modality").distinct().collect()}
-    out += [f"No candidate discovered for required modality: {m}" for m in required if m not in present]
+    out += [TEXTS["no_modality"].format(name=m) for m in required if m not in present]
     if not present:
-        out.append("No dataset candidates discovered; configure credentials, AOI geometry, or fallback providers")
+        out.append(TEXTS["nothing"])
     return out
 
 
@@ -199,7 +212,7 @@ def discover(spark: SparkSession, settings: Settings, transport: Callable[[str,
     all_found, warnings, fallbacks = spark.createDataFrame([], CANDIDATE), [], []
     for one in settings.providers:
         if not one.enabled:
-            warnings.append(f"Provider {one.name} disabled by configuration")
+            warnings.append(TEXTS["disabled"].format(name=one.name))
             continue
         found, some, more = discover_one(spark, one, settings.request, transport)
         warnings, fallbacks = warnings + some, fallbacks + more

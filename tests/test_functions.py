@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave import functions as fn
+from fieldweave.operators import normalize
 
 
 def values(spark, column, rows, schema="a double, b double"):
@@ -33,10 +34,17 @@ def test_decibels(spark):
 def test_group_norms(spark):
     rows = [(1.0, 0.0), (3.0, 0.0), (5.0, 0.0), (7.0, 1.0)]
     df = spark.createDataFrame(rows, "a double, g double")
-    out = df.select("a", fn.minmax(F.col("a"), "g").alias("m"), fn.zscore(F.col("a"), "g").alias("z")).orderBy("a").collect()
+    out = normalize.zscore_normalize(normalize.minmax_normalize(df, "a", ["g"], "m"), "a", ["g"], "z").orderBy("a").collect()
     assert [r["m"] for r in out] == [0, 0.5, 1, 0]
     x = np.array([1.0, 3, 5])
     assert [r["z"] for r in out] == pytest.approx([*((x - x.mean()) / x.std()), 0])
+    whole = normalize.minmax_normalize(df.select("a").union(df.select("a")), "a").collect()
+    assert sorted(r["normalized"] for r in whole) == pytest.approx([0, 0, 1 / 3, 1 / 3, 2 / 3, 2 / 3, 1, 1])
+
+
+def test_single_precision(spark):
+    df = spark.createDataFrame([(1 / 3, None)], "a double, b double").select(fn.as_float("a").alias("x"), fn.zeros_like("b").alias("z"), fn.ones_like("b").alias("o"))
+    assert [t for _, t in df.dtypes] == ["float"] * 3 and tuple(df.first()) == (np.float32(1 / 3), 0, 1)
 
 
 def test_cosine(spark):

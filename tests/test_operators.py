@@ -93,6 +93,16 @@ def test_pairs_match_a_loop(spark, seed):
     assert sorted(tuple(x) for x in align.pairs(frame(optical), frame(radar)).collect()) == greedy(optical, radar, 3)
 
 
+def test_long_runs_of_dates(spark):
+    """One run without a gap: state stays that of a few days."""
+    frame = lambda p, shift: spark.range(400).selectExpr(f"concat('{p}', id) AS scene_id", f"CAST(date_add(DATE'2024-01-01', CAST(id * 2 + {shift} AS INT)) AS STRING) AS acquisition_date", "id AS input_ord", "id % 2 AS tile")
+    optical, radar = frame("o", 0), frame("s", 1)
+    rows = lambda df, tile=None: [(r["scene_id"], r["acquisition_date"], r["input_ord"]) for r in df.orderBy("input_ord").collect() if tile is None or r["tile"] == tile]
+    assert sorted(tuple(x) for x in align.pairs(optical, radar).collect()) == greedy(rows(optical), rows(radar), 3)
+    by_tile = sorted(tuple(x)[1:] for x in align.pairs(optical, radar, by=("tile",)).collect())
+    assert by_tile == sorted(greedy(rows(optical, 0), rows(radar, 0), 3) + greedy(rows(optical, 1), rows(radar, 1), 3))
+
+
 def test_every_scene_is_in_one_observation(spark):
     schema = "scene_id string, acquisition_date string, input_ord long, crs string, resolution_m double"
     optical = spark.createDataFrame([("A", "2026-01-01", 0, "c", 10.0), ("B", "2026-01-02", 1, "c", 10.0)], schema)
@@ -101,6 +111,11 @@ def test_every_scene_is_in_one_observation(spark):
     assert [(r["observation_id"], r["delta_days"]) for r in out] == [("A__p", 1), ("B__optical_only", None), ("q__sar_only", None)]
 
 
+def test_shapes_must_agree(spark):
+    with pytest.raises(ProcessingError):
+        from_arrays(spark, "s", "optical", "2026-01-01", {"a": np.zeros((2, 3)), "b": np.zeros((3, 2))})
+
+
 def test_features_need_red_and_nir(spark, pixels):
     with pytest.raises(FeatureError):
         features.features(pixels.withColumnRenamed("v", "red"), ["scene_id"])
@@ -144,6 +159,25 @@ def test_edges_match_dense_matrices(spark, k):
         assert (e["distance_m"], e["soil_similarity"], e["rainfall_similarity"]) == pytest.approx((dist[a, b], soil[a, b], wet[a, b]))
 
 
+@pytest.mark.parametrize("alike", [0.3, 0.8])
+def test_cosine_pairs_in_blocks(spark, monkeypatch, alike):
+    monkeypatch.setattr(graph, "PIVOTS", 5)
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(9, 6))
+    f = np.array([centres[i % 9] + r.normal(size=6) * 0.4 for i in range(200)])
+    nodes = spark.createDataFrame([(i, 0.0, 0.0, [float(v) for v in x], None, None, 0.0) for i, x in enumerate(f)] + [(900, 0.0, 0.0, [1.0], None, None, 0.0), (901, 0.0, 0.0, [2.0], None, None, 0.0), (902, 0.0, 0.0, [], None, None, 0.0)], NODES)
+    unit = f / np.linalg.norm(f, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(unit @ unit.T > alike), strict=True) if a != b} | {(900, 901), (901, 900)}
+    out = [tuple(x) for x in graph.cosine_pairs(graph.prepared(nodes), alike).collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+
+
+def test_no_nodes_no_edges(spark):
+    assert graph.edges(spark.createDataFrame([], NODES)).collect() == []
+    assert graph.summary(spark.createDataFrame([], NODES), graph.edges(spark.createDataFrame([], NODES))).first()["empty_graph"]
+
+
 def test_quickstart_nodes_and_missing_rainfall(spark):
     nodes = spark.createDataFrame([(0, 77.59, 12.97, [0.1], "c", "loam", 120.0), (1, 77.61, 13.01, [0.2], "c", "loam", 118.0), (2, 9e6, 9e6, [], None, None, None), (3, -9e6, 9e6, [], None, None, None)], NODES)
     out = {(e["src"], e["dst"]): e for e in graph.edges(nodes).collect()}
@@ -188,6 +222,11 @@ def test_rules(spark):
         validate.check(found)
     steps = spark.createDataFrame([(0, 0, "2026-01-02"), (0, 1, "2026-01-01"), (0, 2, "2026-01-01")], "sequence_id int, step int, ts string")
     assert {r["rule"] for r in validate.sequences(steps).collect()} == {"not_chronological", "duplicate_timestamps"}
+    cubes = spark.createDataFrame([("a", 0, ["x", "y"]), ("b", 1, ["y", "x"]), ("c", 2, ["x", "z"])], "observation_id string, input_ord int, features array<string>")
+    assert [r["message"] for r in validate.unlike_features(cubes).collect()] == ["Feature cube c lacks [y] and adds [z]"]
+    many = spark.range(150).selectExpr("CAST(id AS STRING) AS scene_id", "'' AS crs")
+    with pytest.raises(DatasetError, match="50 more errors"):
+        validate.check(validate.missing_crs(many))
     assert validate.empty_cubes(spark.createDataFrame([("o", 0)], "observation_id string, n_features int")).count() == 1
 
 
@@ -208,4 +247,4 @@ def test_pipeline_optical_only(spark):
     head, pix = from_arrays(spark, "o", "optical", "2026-01-01", {b: r.random((16, 16)) * 9999 for b in ("blue", "green", "red", "nir")}, crs="EPSG:4326")
     none, no_pix = from_arrays(spark, "s", "sar", "2026-01-01", {})
     out = Pipeline(patch=8, stride=8).run(head, pix, none.limit(0), no_pix)
-    assert len(out.feature_names) == 8 and out.edges is None and out.patches.count() == 4
+    assert len(out.feature_names) == 8 and out.edges.count() == 0 and out.patches.count() == 4 and out.issues.where("rule = 'empty_graph'").count() == 1

@@ -52,7 +52,10 @@ def test_settings(settings):
     assert settings.defaults == {"resolution": 10, "factor": "0.5"} and settings.required_modalities == ("optical", "tide")
 
 
-@pytest.mark.parametrize("text", ["request:\n  aoi_name: a\n", "just text", "providers:\n  - name: x\n"])
+REQUEST = "request:\n  aoi_name: a\n  start_date: 2026-01-01\n  end_date: 2026-01-31\n"
+
+
+@pytest.mark.parametrize("text", ["request:\n  aoi_name: a\n", "just text", "providers:\n  - name: x\n", REQUEST, REQUEST + "providers: 5\n", REQUEST + "providers:\n  - kind: stac\n", REQUEST + "providers:\n  - name: x\n    max_items: many\n", REQUEST.replace("2026-01-31", "soon") + "providers:\n  - name: x\n", REQUEST.replace("01-31", "13-31") + "providers: []\n"])
 def test_wrong_settings(tmp_path, text):
     path = tmp_path / "x.yaml"
     path.write_text(text)
@@ -120,10 +123,68 @@ def test_downloads(tmp_path):
     out = artifacts.download_all(rows, tmp_path, tmp_path / "manifest.json", fetcher=fetcher, wait=0)
     assert out[0]["local_path"].endswith("sar/a_b_c.dat") and out[0]["metadata"] == {"attempts": 2} and out[1]["metadata"] == {"status": "metadata_only"}
     assert len(artifacts.read_json(tmp_path / "manifest.json")["artifacts"]) == 2
+    with pytest.raises(DownloadError):
+        artifacts.download_all([{"product_id": "x", "modality": "sar", "access_url": "u", "checksum_sha256": "no"}, *rows], tmp_path, tmp_path / "second.json", fetcher=fetcher, wait=0)
+    kept = artifacts.read_json(tmp_path / "second.json")["artifacts"]
+    assert [a["metadata"].get("status") for a in kept] == ["failed", None, "metadata_only"] and kept[1]["resumed"]
     with pytest.raises(DownloadError):
         artifacts.download({"product_id": "x", "modality": "sar", "access_url": "u", "checksum_sha256": "no"}, tmp_path, fetcher=fetcher, wait=0)
 
 
+def test_fetching_goes_on_or_starts_anew(tmp_path):
+    import http.server
+    import threading
+
+    body, seen = b"0123456789" * 100, []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = self.headers.get("Range")
+            seen.append(asked)
+            start = int(asked[6:-1]) if asked and self.path == "/ranges" else 0
+            self.send_response(206 if start else 200)
+            self.end_headers()
+            self.wfile.write(body[start:])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for path in ("ranges", "whole"):
+        (tmp_path / "sar").mkdir(exist_ok=True)
+        (tmp_path / f"sar/{path}.part").write_bytes(body[:30])
+        out = artifacts.download({"product_id": path, "modality": "sar", "access_url": f"http://127.0.0.1:{server.server_port}/{path}", "checksum_sha256": hashlib.sha256(body).hexdigest()}, tmp_path, wait=0)
+        assert out["resumed"] and out["metadata"] == {"attempts": 1} and (tmp_path / f"sar/{path}.dat").read_bytes() == body
+    assert seen == ["bytes=30-"] * 2
+    from fieldweave.errors import ProviderError as Fails
+
+    with pytest.raises(Fails):
+        catalog.post_json("http://127.0.0.1:9/none", {}, timeout=1)
+    server.shutdown()
+
+
+def test_json_is_safe(tmp_path):
+    artifacts.write_json(tmp_path / "x.json", {"a": float("nan"), "b": np.arange(2), "c": dt.date(2026, 1, 1), "d": (np.float32(0.5), {1: None})})
+    assert artifacts.read_json(tmp_path / "x.json") == {"a": None, "b": [0, 1], "c": "2026-01-01", "d": [0.5, {"1": None}]}
+
+
+def test_manifest_holds_sequence_and_graph(spark, tmp_path):
+    patches = spark.range(10).selectExpr("id AS patch_id", "'train' AS split")
+    statistics = spark.createDataFrame([("a", 1.0, 2.0)], "channel string, mean double, std double")
+    splits = spark.createDataFrame([("train", 0), ("train", 6), ("val", 7), ("test", 8), ("test", 9)], "split string, index long")
+    sequence = spark.createDataFrame([(1, "2026-01-11", 0, [2.0]), (0, "2026-01-01", 1, [1.0])], "step int, ts string, mask long, features array<double>")
+    nodes = spark.createDataFrame([(0, 1.0), (1, 2.0)], "node_id long, x double")
+    edges = spark.createDataFrame([(1, 0, 1.0, 0.0, float("nan"), 1.0), (0, 1, 1.0, 0.0, 0.5, 1.0)], "src long, dst long, distance_m double, shared_irrigation double, soil_similarity double, rainfall_similarity double")
+    tables = {"patches": patches, "statistics": statistics, "splits": splits, "sequence": sequence, "nodes": nodes, "edges": edges}
+    body = export.write_manifest(str(tmp_path / "dataset.json"), metadata={"k": 1}, **tables)
+    assert body == artifacts.read_json(tmp_path / "dataset.json") and body["splits"]["test"] == [8, 9]
+    assert body["temporal"] == {"timestamps": ["2026-01-01", "2026-01-11"], "masks": [1, 0], "sequences": [[1.0], [2.0]]}
+    assert body["graph"]["edge_index"] == [[0, 1], [1, 0]] and body["graph"]["edge_attr"][1] == [1.0, 0.0, None, 1.0]
+    assert spark.read.parquet(body["tables"]["edges"]).count() == 2
+    assert "nodes" not in export.manifest(most=3, **tables)["graph"] and export.manifest(**tables | {"nodes": nodes.limit(0), "edges": edges.limit(0)})["graph"]["empty_graph"]
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "f.dat").write_bytes(b"x")
     row = artifacts.file_checksums(spark, str(tmp_path)).first()
