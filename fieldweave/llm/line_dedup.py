@@ -9,40 +9,48 @@ number) reaches the threshold, whether or not that earlier line stays.
    run from rare to frequent. Any order common to all lines gives the same
    result; this one makes prefixes rare.
 2. Lines of equal sets form a class, known by its earliest line; the others go.
-3. Classes meet where they share one of the first ``n - ceil(t n) + 1`` keys.
-   The join keeps pairs whose sizes fit (length filter), where the words after
-   the common key suffice (positional filter), and whose prefixes can have
-   enough in common by signatures of their bits; then those whose prefixes do.
+3. Classes meet where they share one of the first ``n - ceil(t n) + 1`` keys;
+   keys that occur once in the corpus bring nobody. The join keeps pairs whose
+   sizes fit (length filter), where the words after the common key suffice
+   (positional filter), and which can have enough in common by signatures of
+   128 bits of all their words.
 4. Candidates are verified on their words.
 
-Classes that share their rarest key are compared with the first of them
-beforehand: lines that go then need not look for other reasons, so a group of
-many near copies does not meet itself pair by pair.
+Classes that share their rarest keys are compared with a few first ones, and
+with the one that most lines equal, beforehand: lines that go then need not
+look for other reasons, so a group of many near copies does not meet itself
+pair by pair.
 
 Defined results: lines without a word are never removed; a null text stays
 null and has no lines. Null ids come last in order. Rows that repeat an id are
 one place: equal lines of equal number do not remove each other. An empty
 table gives an empty result. Lines and texts of any length are used whole.
+Columns may have any names; one named ``removed`` is replaced by the operator's.
 Equality of words is that of their 57-bit hashes up to step 3.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import BLANKS, Scratch, broadcast_if, table
+from .common import BLANKS, Scratch, apart, broadcast_if, table
 
 #: The similarity threshold as a fraction of whole numbers.
 NUM, DEN = 4, 5
 #: Places of the table of counts; one byte each in a task.
 BUCKETS, BLOCK = 1 << 20, 1 << 10
 HASH_BITS = 57
-#: How many of the rarest keys bring a class to the first comparison.
-HEADS = 2
-#: Lines that are sent to every task at most, 24 bytes each.
-FEW = 300_000
+#: How many of the rarest keys bring a class to the first comparison; the rarest few may be those of edits.
+HEADS = 6
+#: With how many first classes of a key the others are compared beforehand.
+LEADERS = 6
+#: How many of a class's likeliest matches are verified before all others.
+LIKELIEST = 2
+#: Lines that are sent to every task at most, of some 32 bytes each, and numbers of removed lines, of 4 bytes and 40 for each document, which counts as two.
+FEW, FEW_REMOVED = 300_000, 2_000_000
 
 
 def tokens(line: Column) -> Column:
@@ -61,34 +69,51 @@ def _bucket(h: Column) -> Column:
 
 
 def magnitudes(docs: DataFrame, scratch: Scratch) -> Column:
-    """A byte for each hash bucket: the binary logarithm of the words counted there, as a scalar subquery."""
+    """A byte for each hash bucket, as a scalar subquery: 0 if one word at most was counted there, else one more than the binary logarithm of the count."""
     spark = docs.sparkSession
     words = _spaced(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count"))
-    dense = counted.unionByName(every).groupBy("bucket").agg(F.floor(F.log2(F.sum("count") + 1)).cast("tinyint").alias("size"))
+    size = F.when(F.sum("count") > 1, F.floor(F.log2(F.sum("count"))) + 1).otherwise(0).cast("tinyint")
+    dense = counted.unionByName(every).groupBy("bucket").agg(size.alias("size"))
     in_order = lambda x: F.array_sort(F.collect_list(x))
     blocks = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(F.transform(in_order(F.struct("bucket", "size")), lambda x: x["size"]).alias("sizes"))
     whole = blocks.groupBy().agg(F.flatten(F.transform(in_order(F.struct("block", "sizes")), lambda x: x["sizes"])).alias("sizes"))  # BUCKETS bytes
     return scratch.write(whole, "sizes").scalar()
 
 
+def _keys(hashed: DataFrame, sizes: Column) -> DataFrame:
+    """``hashed`` with its column ``h``, hashes of distinct words, as sorted ``keys``."""
+    # The subquery stands in a projection of its own kind: a generator would get its whole value, a megabyte, with every row.
+    own = [c for c in hashed.columns if c != "h"]
+    # coalesce tells the optimizer that no key is null: numbers without nulls are sorted faster
+    magnitude = lambda h: F.coalesce(F.get("sizes", _bucket(h).cast("int")), F.lit(0).cast("tinyint")).cast("long")
+    key = lambda h: F.call_function("shiftleft", magnitude(h), F.lit(HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return hashed.withColumn("sizes", sizes).select(*own, F.sort_array(F.transform("h", key)).alias("keys"))
+
+
+def _hashes(words: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.transform(words, lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
+def _digests() -> list[Column]:
+    return [F.xxhash64("keys").alias("d1"), F.xxhash64(F.lit(1), "keys").alias("d2")]
+
+
 def keyed(docs: DataFrame, sizes: Column) -> DataFrame:
-    """``doc_id, line_no, n, d1, d2, s1, s2, prefix`` of the lines with words; ``s1, s2``: signatures of the prefix."""
+    """``doc_id, line_no, n, d1, d2, s1, s2, prefix`` of the lines with words.
+
+    ``s1``, ``s2``: a signature of the words.
+    """
     lines = _spaced(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     # Exploding a single value keeps the optimizer from computing it again wherever it is used.
-    hashed = lines.select("doc_id", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") > 0)
-    # The optimizer puts the subquery where "sizes" stands; its value is one object in a task, not a field of rows.
-    hashed = hashed.withColumn("sizes", sizes)
-    magnitude = lambda h: F.get("sizes", _bucket(h).cast("int")).cast("long")
-    key = lambda h: F.call_function("shiftleft", magnitude(h), F.lit(HASH_BITS)).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    keys = hashed.select("doc_id", "line_no", F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys")).withColumn("n", F.size("keys"))
+    hashed = lines.select("doc_id", "line_no", F.explode(F.array(_hashes(F.split("line", " ")))).alias("h")).where(F.size("h") > 0)
+    keys = _keys(hashed, sizes).select("doc_id", "line_no", F.explode(F.array("keys")).alias("keys")).withColumn("n", F.size("keys"))
     prefix = F.when(F.col("n") >= DEN - 1, F.slice("keys", F.lit(1), _prefix(F.col("n")))).otherwise(F.array().cast("array<bigint>"))
-    found = keys.select("doc_id", "line_no", "n", F.xxhash64("keys").alias("d1"), F.hash("keys", "n").alias("d2"), F.explode(F.array(prefix)).alias("prefix"))
-    bit = lambda k, low: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, low).bitwiseAND(F.lit(63)).cast("int"))
-    signature = lambda low: F.aggregate("prefix", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k, low)))
-    return found.withColumns({"s1": signature(24), "s2": signature(40)})
+    # two words of bits: a hash's bit 30 says which, the six below say where
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 24).bitwiseAND(F.lit(63)).cast("int"))
+    signature = lambda half: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(F.lit(1 << 30)) == half, a.bitwiseOR(bit(k))).otherwise(a))
+    return keys.select("doc_id", "line_no", "n", *_digests(), signature(0).alias("s1"), signature(1 << 30).alias("s2"), prefix.alias("prefix"))
 
 
 def _prefix(n: Column) -> Column:
@@ -104,111 +129,127 @@ def _need(n: Column, m: Column) -> Column:
     return F.ceil(NUM * (n + m) / F.lit(NUM + DEN))
 
 
-def _common(n: Column, m: Column) -> Column:
-    """The least number of words that prefixes share.
-
-    The prefix that ends with the smaller key has all its common words within
-    the other prefix; all its other words are lost.
-    """
-    return _need(n, m) - F.greatest(n - _prefix(n), m - _prefix(m))
-
-
 def _behind(x: str, y: str) -> Column:
     """The most words that sets can share if a key at these places is the first they share."""
     return 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.place") - 1, F.col(f"{y}.n") - F.col(f"{y}.place") - 1)
 
 
 def _possible(x: str, y: str) -> Column:
-    """Sizes fit, and the signatures of the prefixes have enough in common: equal bits, and words that share a bit with another."""
+    """Sizes fit, what follows the places suffices if this key is the first that both share, and signatures leave enough in common."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    p, q = _prefix(n), _prefix(m)
+    need = _need(n, m)
 
-    def sharing(s: str) -> Column:
-        one, two = F.col(f"{x}.{s}"), F.col(f"{y}.{s}")
-        return F.bit_count(one.bitwiseAND(two)) + F.least(p - F.bit_count(one), q - F.bit_count(two))
+    def lacking(one: str, two: str) -> Column:
+        """The bits that the other set lacks: at least as many words are not in it."""
+        halves = [F.bit_count(F.col(f"{one}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{two}.{s}")))) for s in ("s1", "s2")]
+        return halves[0] + halves[1]
 
     # different sets of one size differ in a word of each
-    reachable = _need(n, m) <= F.least(n, m) - (n == m).cast("int")
-    return _fits(n, m) & reachable & (sharing("s1") >= _common(n, m)) & (sharing("s2") >= _common(n, m))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``later, earlier`` that reach the threshold, by the words of their lines."""
-    scratch = Scratch(docs.sparkSession, "wanted")
-    wanted = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no"), "cls")
-    wanted = scratch.write(wanted.select("cls", F.col("doc_id").alias("w_doc"), "line_no"), "wanted")
-    few = broadcast_if(wanted, wanted.count(), FEW)
-    texts = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("w_doc")))
-    lines = texts.select("cls", tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("words")).where("words IS NOT NULL").dropDuplicates(["cls"])
-    later = lines.select(F.col("cls").alias("later"), F.col("words").alias("x"))
-    earlier = lines.select(F.col("cls").alias("earlier"), F.col("words").alias("y"))
+    reachable = need <= F.least(n, m) - (n == m).cast("int")
+    return _fits(n, m) & reachable & (_behind(x, y) >= need) & (lacking(x, y) <= n - need) & (lacking(y, x) <= m - need)
+
+
+def words_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sizes: Column, name: str) -> DataFrame:
+    """``cls, words`` of the classes in ``pairs(later, earlier)``, from the line that is a class's place."""
+    scratch = Scratch(docs.sparkSession, name)
+    asked = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no", "d1", "d2"), "cls")
+    asked = scratch.write(asked.select("cls", F.col("doc_id").alias("w_doc"), "line_no", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
+    wanted = broadcast_if(asked, asked.count(), FEW)
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")))
+    found = texts.select("cls", "w1", "w2", F.explode(F.array(tokens(F.get(F.split("text", "\n"), F.col("line_no"))))).alias("words")).where("words IS NOT NULL")
+    # Rows that repeat an id may have other lines at the place; only the class's own count.
+    own = _keys(found.withColumn("h", _hashes(F.col("words"))), sizes).withColumns(dict(zip(("d1", "d2"), _digests(), strict=True))).where("d1 = w1 AND d2 = w2")
+    words = scratch.write(own.select("cls", "words"), "words")
+    scratch.release()
+    return words
+
+
+def similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``gone``: the later classes of the pairs that reach the threshold, by their words."""
+    later = words.select(F.col("cls").alias("later"), F.col("words").alias("x"))
+    earlier = words.select(F.col("cls").alias("earlier"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(later, "later").join(earlier, "earlier").withColumn("both", both).where(DEN * F.col("both") >= NUM * (F.size("x") + F.size("y") - F.col("both"))).select("later", "earlier")
+    right = pairs.join(later, "later").join(earlier, "earlier").withColumn("both", both).where(DEN * F.col("both") >= NUM * (F.size("x") + F.size("y") - F.col("both")))
+    return right.select(F.col("later").alias("gone")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, removed``: the numbers of the lines that go, for documents that lose any."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.write(keyed(docs, magnitudes(docs, scratch)), "keyed")
+    sizes = magnitudes(docs, scratch)
+    lines = scratch.write(keyed(docs, sizes), "keyed")
     scratch.release()
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    grouped = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prefix").alias("prefix"))
+    grouped = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prefix").alias("prefix"))
     # Numbers that run in order of place: partitions are ranges of places, in order.
-    ordered = grouped.orderBy("at").select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "s1", "s2", "prefix", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
+    ordered = grouped.orderBy("at").select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "lines", "s1", "s2", "prefix", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     classes = scratch.write(ordered, "classes")
     places = scratch.write(lines.select("doc_id", "line_no", "d1", "d2", "n"), "places")
     scratch.drop("keyed")
     scratch.release()
-    keys = classes.select("cls", "n", "s1", "s2", F.posexplode("prefix").alias("place", "key"))
-
-    # Against the first class that has the same rarest keys
-    heads = keys.where(F.col("place") < HEADS)
-    first = F.min(F.struct("cls", "n", "place", "s1", "s2")).over(W.partitionBy("key")).alias("y")
-    near = heads.select("key", F.struct("cls", "n", "place", "s1", "s2").alias("x"), first).where((F.col("x.cls") > F.col("y.cls")) & _possible("x", "y") & (_behind("x", "y") >= _need(F.col("x.n"), F.col("y.n"))))
+    repeated = F.col("key") >= (1 << HASH_BITS)  # a magnitude over 0
+    single = F.size(F.filter("prefix", lambda k: k < (1 << HASH_BITS)))  # these come first
+    keys = classes.select("cls", "n", "lines", "s1", "s2", single.alias("single"), F.posexplode("prefix").alias("place", "key")).where(repeated)
+
+    # Against the first classes, one for each remainder, and that of most lines, that have the same keys
+    heads = keys.where(F.col("place") < F.col("single") + HEADS)
+    own = F.struct("cls", "n", "place", "s1", "s2")
+    first = [F.min(F.when(F.pmod(F.xxhash64("cls"), F.lit(LEADERS)) == r, own)).alias(f"y{r}") for r in range(LEADERS)]
+    leaders = heads.groupBy("key").agg(*first, F.max(F.struct("lines", (-F.col("cls")).alias("early"), own.alias("own")))["own"].alias("most"))
+    leaders = leaders.select("key", F.explode(F.array_distinct(F.array_compact(F.array("most", *[f"y{r}" for r in range(LEADERS)])))).alias("y"))
+    near = heads.select("key", own.alias("x")).join(leaders, "key")
+    near = near.where((F.col("x.cls") > F.col("y.cls")) & _possible("x", "y"))
     near = scratch.write(near.select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier")).distinct(), "near")
-    gone = scratch.write(verified(docs, near, classes).select(F.col("later").alias("gone")).distinct(), "gone")
+    gone = scratch.write(similar(near, words_of(docs, near, classes, sizes, "near-words")), "gone")
     scratch.release()
 
     # All classes that are left, against all that are earlier
     marked = classes.join(gone, F.col("cls") == F.col("gone"), "left").select("cls", "n", "s1", "s2", F.col("gone").isNull().cast("int").alias("open"), "prefix")
-    marked = scratch.write(marked, "marked")
-    classes = scratch.write(classes.drop("s1", "s2", "prefix"), "known")
-    scratch.drop("classes")
-    meeting = marked.select("cls", "n", "s1", "s2", "open", F.posexplode("prefix").alias("place", "key"))
+    meeting = marked.select("cls", "n", "s1", "s2", "open", F.posexplode("prefix").alias("place", "key")).where(repeated)
     x, y = meeting.alias("x"), meeting.alias("y")
     # Both sides need the same columns and neither is filtered by itself, so that both read one shuffle.
     condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") > F.col("y.cls")) & (2 * F.col("x.open") > F.col("y.open")) & _possible("x", "y")
-    early = _behind("x", "y") >= _need(F.col("x.n"), F.col("y.n"))
-    met = x.join(y.hint("merge"), condition & early).select(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).distinct()
-    met = scratch.write(met, "met")
-    scratch.release()
-    one, two = (marked.select(F.col("cls").alias(c), F.col("prefix").alias(p)) for c, p in (("later", "p"), ("earlier", "q")))
-    shared = F.size(F.array_intersect("p", "q"))
-    pairs = met.join(one, "later").join(two, "earlier").where(shared >= _common(F.col("n"), F.col("m"))).select("later", "earlier")
-    pairs = scratch.write(pairs, "pairs")
+    met = x.join(y.hint("merge"), condition).groupBy(F.col("x.cls").alias("later"), F.col("y.cls").alias("earlier")).agg(F.count(F.lit(1)).alias("common"))
+    pairs = scratch.write(met, "pairs")
     scratch.release()
-    scratch.drop("marked", "met")
-    more = scratch.write(verified(docs, pairs, classes).select(F.col("later").alias("gone")), "more")
+    words = words_of(docs, pairs, classes, sizes, "pair-words")
+    lost = [gone]
+    # First each class's likeliest match: one is enough, so a group of near copies need not be verified pair by pair
+    for turn in range(LIKELIEST):
+        best = pairs.groupBy("later").agg(F.max(F.struct("common", (-F.col("earlier")).alias("first"))).alias("best")).select("later", (-F.col("best.first")).alias("earlier"))
+        lost.append(scratch.write(similar(best, words), f"lost{turn}"))
+        left = pairs.join(lost[-1], F.col("later") == F.col("gone"), "left_anti").join(best, ["later", "earlier"], "left_anti")
+        pairs = scratch.write(left, f"pairs{turn}")
+        scratch.release()
+    lost = scratch.write(reduce(DataFrame.union, [*lost, similar(pairs, words)]), "lost")
     scratch.release()
-    lost = gone.union(more).distinct()
     of_class = classes.join(lost, F.col("cls") == F.col("gone"), "left").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), F.col("doc_id").alias("k_doc"), F.col("line_no").alias("k_line"), F.col("gone").isNotNull().alias("lost"))
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("n") == F.col("k_n"))
     again = F.col("lost") | ~F.col("doc_id").eqNullSafe(F.col("k_doc")) | (F.col("line_no") != F.col("k_line"))
     going = places.join(of_class, same).where(again)
     out = scratch.write(going.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
-    scratch.drop("places", "known", "pairs", "near", "gone", "more")
+    scratch.drop("places", "classes", "pairs", "near", "gone", "lost")
     scratch.release()
     return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text's repeated lines taken out, and ``removed``, the numbers of those lines."""
-    gone = removed_lines(docs).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    gone = broadcast_if(gone, gone.agg(F.coalesce(F.sum(F.size("_removed") + 2), F.lit(0))).first()[0], FEW)
+def deduplicated(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns of ``docs``, in order, the text's repeated lines taken out, and one more with the numbers of those lines; its name."""
+    plain = apart(docs, "doc_id", "text")
+    gone = removed_lines(plain.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
+    gone = broadcast_if(gone, gone.agg(F.coalesce(F.sum(F.size("_removed") + 2), F.lit(0))).first()[0], FEW_REMOVED)
     left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return kept.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_removed", F.array().cast("array<int>")).alias("removed"))
+    kept = plain.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    none = F.array().cast("array<int>")
+    return kept.select(*[text.alias(c) if c == "text" else F.col(c) for c in plain.columns], F.coalesce("_removed", none).alias("_removed")), "_removed"
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with the text's repeated lines taken out, and ``removed``, the numbers of those lines."""
+    found, removed = deduplicated(docs)
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() != "removed"]
+    return found.select(*[F.col(found.columns[i]) for i in kept], removed).toDF(*[docs.columns[i] for i in kept], "removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
