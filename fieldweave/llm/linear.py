@@ -8,6 +8,7 @@ scoring is one look-up per distinct word.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
@@ -23,30 +24,44 @@ SELECTED, LEAST = 400, 12.0
 RARELY = 3
 #: Entries of a worker's memory of words; beyond it the memory starts anew.
 MEMORY = 300_000
-#: Longer words count by their first so many bytes.
+#: Longer words count by their pieces.
 LONGEST = 64
+_APART = re.compile(rb"[^0-9A-Za-z\x80-\xff]+")
 PUNCTUATION = b".,!?|#$%&*\"'()<>:;=-_[]{}"
 
 Features = Callable[[bytes], np.ndarray]
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text; in place of a very long one its pieces between other marks, of ``LONGEST`` bytes at most."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out = []
+    for word in words:
+        if len(word) <= LONGEST:
+            out.append(word)
+        else:
+            out += [piece[i : i + LONGEST] for piece in _APART.split(word) for i in range(0, len(piece), LONGEST)]
+    return out
+
+
 def _hashed(*parts: tuple[bytes, bytes]) -> np.ndarray:
     return np.array([zlib.crc32(kind + part) % SPACE for kind, part in parts], np.int32)
 
 
 def meaning_features(word: bytes) -> np.ndarray:
     """What a word says: its letters without case and punctuation, and its beginnings."""
-    plain = word[:LONGEST].lower().strip(PUNCTUATION)
+    plain = word.lower().strip(PUNCTUATION)
     return _hashed((b"w", plain), (b"4", plain[:4]), (b"5", plain[:5]), (b"6", plain[:6]), (b"7", plain[:7]), (b"9", plain[:9]))
 
 
 def shape_features(word: bytes) -> np.ndarray:
     """How a word looks: its marks, case, digits and length, next to its letters."""
-    some = word[:LONGEST]
-    plain = some.strip(PUNCTUATION)
-    marks = bytes(sorted(set(some) & set(PUNCTUATION)))
+    plain = word.strip(PUNCTUATION)
+    marks = bytes(sorted(set(word) & set(PUNCTUATION)))
     case = b"U" if plain.isupper() else b"l" if plain.islower() else b"t" if plain.istitle() else b"x"
-    digit = b"1" if any(48 <= c < 58 for c in some) else b"0"
+    digit = b"1" if any(48 <= c < 58 for c in word) else b"0"
     return _hashed((b"m", marks), (b"c", case + marks), (b"n", b"%d" % min(len(plain) // 3, 9)), (b"w", plain.lower()), (b"d", digit), (b"u", case))
 
 
@@ -73,7 +88,7 @@ class WordTable:
         place: dict[bytes, int] = {}
         lists = []  # per text, its words' places and how often they count
         for i, text in enumerate(texts):
-            words = _occurring(text.split(), share)
+            words = _occurring(words_of(text), share)
             self.sizes[i] = sum(words.values())
             lists.append((np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)), np.fromiter(words.values(), np.float32, len(words))))
         table = np.concatenate([np.array([features(w) for w in some], np.int32) for some in batched(place, 4096)]) if place else np.zeros((0, 1), np.int32)

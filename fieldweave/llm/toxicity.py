@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table, utf8
-from .linear import WordScorer, WordTable, folds, logistic, meaning_features, sigmoid
+from .common import apart, slices, table, utf8
+from .linear import WordScorer, WordTable, folds, logistic, meaning_features, sigmoid, words_of
 
 #: At most so many labelled texts are fitted on.
 SAMPLE = 4000
 FOLDS = 4
 THRESHOLD = 0.4
+#: The column of a batch's texts as bytes.
+BYTES = "text as bytes"
 #: Log odds that later models see are cut at this size.
 LIMIT = 8.0
 #: Categories in the order of the chain, each a condition on a row of labels.
@@ -116,9 +118,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
         scorer = WordScorer(every, meaning_features, share=False)
         for batch in batches:
             names = batch.schema.names
-            own = batch.append_column("_bytes", batch.column(names.index("text")).cast(pa.binary()).fill_null(b""))
-            for part, texts in slices(own, "_bytes"):
-                p = sigmoid(model.log_odds(scorer.values([t.split() for t in texts]), every))
+            own = batch.append_column(BYTES, batch.column(names.index("text")).cast(pa.binary()).fill_null(b""))
+            for part, texts in slices(own, BYTES):
+                p = sigmoid(model.log_odds(scorer.values([words_of(t) for t in texts]), every))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(p), pa.list_(pa.float64()))], [*names, "p"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))]))
@@ -126,7 +128,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def without_toxic(docs: DataFrame, chain: Chain, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the chain does not find toxic, with all their columns; a column may be named as the score is."""
-    plain = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)])
+    plain = apart(docs, "text")
     return score(plain, chain).where(F.col("p")[chain.categories.index("toxic")] < threshold).drop("p").toDF(*docs.columns)
 
 
