@@ -1,7 +1,8 @@
 """Quality by co-training of two views.
 
-One classifier sees the content of a text, the look of its words; the other
-sees the page's metadata: source, language, size and layout. Both start from
+One classifier sees the content of a text: the look of its words and how much
+of it is repeated. The other sees the page's metadata: source, language,
+recorded size, and the layout of lines, never a word. Both start from
 the labelled texts. In every round each gives the other all unlabelled texts
 it is sure of as pseudo-labels, unless the other is sure of the opposite.
 At last both are calibrated on labelled texts that neither was fitted on, and
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if, slices, table, utf8
-from .linear import LEAST, MEMORY, RARELY, SELECTED, SPACE, folds, logistic, platt, shape_features, sigmoid
+from .linear import LEAST, MEMORY, RARELY, SELECTED, SPACE, folds, logistic, platt, shape_features, sigmoid, words_of
 from .quality import measured
 
 #: At most so many labelled texts are fitted on.
@@ -57,7 +58,10 @@ LABELS_SENT = 400_000
 #: Rows of a task that gathers statistics, at least, and rows of a dense matrix at most.
 TASK_ROWS, DENSE = 8000, 4096
 THRESHOLD = 0.5
+#: Shares of repeated words and lines from which on a text has a feature of the content view.
 BOUNDS = (0.02, 0.1, 0.2, 0.3, 0.5, 0.8)
+#: Sizes, and characters a line, below which the metadata view has a feature.
+SIZES, WIDTHS = (1, 20, 60, 120, 250, 1000, 4000), (5, 20, 60, 200)
 NAMES = 8
 
 
@@ -66,20 +70,31 @@ def _name(value: str | None, kind: str) -> int:
 
 
 def metadata(texts: list[bytes], lang: list, source: list, n_chars: list) -> np.ndarray:
-    """The metadata view's features, a row for each text."""
-    m = {k: v.astype(float) for k, v in measured(texts).items()}
-    words, lines = np.maximum(m["n_words"], 1), np.maximum(m["n_lines"], 1)
+    """The metadata view's features, a row for each text; of the text only its line ends and length count."""
+    lines = np.array([t.count(b"\n") + 1 for t in texts], float)
+    blank = np.array([t.count(b"\n\n") for t in texts], float)
     size = np.array([-1.0 if x is None else float(x) for x in n_chars])
-    shares = [m["n_repeat_words"] / words, m["n_dup_lines"] / lines]
-    columns = [np.log1p(m["n_words"]), np.log1p(np.maximum(size, 0)), size < 0, np.log1p(words / lines), m["word_chars"] / words / 5, np.log1p(m["word_chars"] / words), *shares]
-    columns += [m["n_words"] < n for n in (5, 10, 20, 40)]
-    columns += [share > bound for share in shares for bound in BOUNDS]
+    width = np.array([len(t) for t in texts], float) / lines
+    columns = [np.log1p(np.maximum(size, 0)), size < 0, np.log1p(lines), np.log1p(width), blank / lines]
+    columns += [(size >= 0) & (size < n) for n in SIZES]
+    columns += [width < n for n in WIDTHS]
     named = np.zeros((len(texts), 2 * NAMES))
     for i, (a, b) in enumerate(zip(lang, source, strict=True)):
         named[i, _name(a, "lang")] = named[i, NAMES + _name(b, "source")] = 1
     return np.column_stack([*(np.asarray(c, float) for c in columns), named])
 
 
+def repetition(texts: list[bytes]) -> list[list[int]]:
+    """Per text, the features of the content view for the shares of its repeated words and lines, and for few words."""
+    m = {k: v.astype(float) for k, v in measured(texts).items()}
+    words, lines = np.maximum(m["n_words"], 1), np.maximum(m["n_lines"], 1)
+    has = [m["n_words"] < n for n in (5, 10, 20, 40)]
+    has += [share > bound for share in (m["n_repeat_words"] / words, m["n_dup_lines"] / lines) for bound in BOUNDS]
+    table = np.column_stack(has)
+    names = [zlib.crc32(b"share:%d" % i) % SPACE for i in range(table.shape[1])]
+    return [[names[i] for i in np.flatnonzero(row)] for row in table]
+
+
 #: Columns of the metadata view.
 LAYOUT = metadata([b""], [None], [None], [None]).shape[1]
 
@@ -319,12 +334,13 @@ class _Words:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.table = np.concatenate([self.table, np.array([shape_features(w) for w in new], np.int32)])
 
-    def features(self, words: Counter) -> tuple[bytes, bytes]:
-        """A text's features in order, and how many of its words have each."""
+    def features(self, words: Counter, more: list[int]) -> tuple[bytes, bytes]:
+        """A text's features in order, and how many of its words have each; ``more`` are features of the text, of all its words."""
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        found, where = np.unique(self.table[at].ravel(), return_inverse=True)
-        times = np.bincount(where.ravel(), np.repeat(np.fromiter(words.values(), np.int64, len(words)), self.table.shape[1]), len(found))
-        return found.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()
+        hashed = np.concatenate([self.table[at].ravel(), np.array(more, np.int32)])
+        times = np.concatenate([np.repeat(np.fromiter(words.values(), np.int64, len(words)), self.table.shape[1]), np.full(len(more), max(words.total(), 1))])
+        found, where = np.unique(hashed, return_inverse=True)
+        return found.astype(np.int32).tobytes(), np.bincount(where.ravel(), times, len(found)).astype(np.int32).tobytes()
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -335,9 +351,9 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 layout = metadata(texts, *(part.column(k).to_pylist() for k in (1, 2, 3))).astype(np.float32)
-                sets = [Counter(t.split()) for t in texts]
+                sets = [Counter(words_of(t)) for t in texts]
                 words.learn(sets)
-                both = [words.features(s) for s in sets]
+                both = [words.features(s, more) for s, more in zip(sets, repetition(texts), strict=True)]
                 columns = [part.column(0), pa.array([s.total() for s in sets], pa.int64()), pa.array([x.tobytes() for x in layout], pa.binary()), *(pa.array([x[k] for x in both], pa.binary()) for k in range(2))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "layout", "feature", "times"])
 
