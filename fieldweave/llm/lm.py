@@ -1,12 +1,18 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 A token's probability is that of its class given the tokens before, times that
-of the token within its class (class-factored softmax). The class softmax has
-a row of weights for each hashed feature: the token before, the two tokens
-before, and, skipping one, the token but one. Frequent tokens are classes of
-their own; other known tokens share classes by their last letters, and so do
-rare tokens, one unknown token in each of their classes included. Within
-classes probabilities are proportional to counts, so all sum to 1.
+of the token within its class (class-factored softmax). Features are hashed:
+the token before, the two tokens before, and, skipping one, the token but one.
+The class softmax has a row of weights for each feature's hash. Frequent tokens
+are classes of their own; other known tokens share classes by their last
+letters, and so do rare tokens, one unknown token in each of their classes
+included.
+
+Within a class of known tokens the softmax is a binary tree of two-way ones, by
+alphabet and balanced by counts: a node's log odds are those of the counts
+below it plus the weights at the hashes of the node with the token before and
+with the token but one. So a token costs as many steps as its path is long,
+and all probabilities still sum to 1. Rare tokens share their class by counts.
 
 1. Tokens of all training texts are counted; the most frequent, a bounded
    number, are the vocabulary that tasks hold.
@@ -52,6 +58,9 @@ ROWS = CONTEXTS + PAIRS + CONTEXTS
 ROUNDS, BATCH, RATE = 2, 2048, 0.25
 #: Tokens of a training task, at least.
 TASK_TOKENS = 4_000_000
+#: Weights of the trees' nodes: a power of two over so many times the distinct tokens, between bounds; 4 bytes each.
+EACH, FEWEST, MOST = 4, 1 << 16, 1 << 21
+NODE_BATCH, NODE_RATE, NODE_BLOCK = 8192, 0.2, 1 << 16
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 300_000
 BLOCK = 256
@@ -91,15 +100,51 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+@dataclass
+class Paths:
+    """The way to each place through the tree of its class; places from ``start[i]`` to ``start[i + 1]`` are those of ``i``."""
+
+    start: np.ndarray
+    node: np.ndarray
+    sign: np.ndarray  # 1 to the right, -1 to the left
+    bias: np.ndarray  # by node: the log odds of going right, from counts
+
+
+def trees(words: list[bytes], classes: np.ndarray, counts: np.ndarray) -> Paths:
+    """``classes`` also has those of pseudo-places, which, as classes of one token, have no path."""
+    shared = np.flatnonzero((classes[: len(words)] >= OWN) & (classes[: len(words)] < OWN + KNOWN)).tolist()
+    places = np.array(sorted(shared, key=lambda i: (classes[i], words[i])), np.int64)
+    total = np.concatenate([[0.0], np.cumsum(counts[places])])
+    cuts = np.flatnonzero(np.diff(classes[places])) + 1 if len(places) else np.zeros(0, np.int64)
+    a, b = np.concatenate([np.zeros(min(1, len(places)), np.int64), cuts]), np.concatenate([cuts, [len(places)] if len(places) else []]).astype(np.int64)
+    n_nodes, item, node, sign, bias = 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int8)], [np.zeros(0, np.float32)]
+    while len(a := a[(wide := b - a > 1)]):
+        b = b[wide]
+        middle = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
+        size = b - a
+        at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        item.append(places[at].astype(np.int32))
+        node.append(np.repeat(np.arange(n_nodes, n_nodes + len(a), dtype=np.int32), size))
+        sign.append(np.where(at >= np.repeat(middle, size), 1, -1).astype(np.int8))
+        bias.append(np.log((total[b] - total[middle]) / (total[middle] - total[a])).astype(np.float32))
+        n_nodes += len(a)
+        a, b = np.concatenate([a, middle]), np.concatenate([middle, b])
+    item = np.concatenate(item)
+    order = np.argsort(item, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=len(classes)))])
+    return Paths(start.astype(np.int64), np.concatenate(node)[order], np.concatenate(sign)[order], np.concatenate(bias))
+
+
 @dataclass
 class Vocabulary:
     place: dict[bytes, int]
     counts: np.ndarray  # by place, descending
     classes: np.ndarray  # by place, then of the rare classes' pseudo-places
-    in_class: np.ndarray  # log probability within the class; of rare ones without the token's own count
+    in_class: np.ndarray  # what rare places have for a path: log probability within the class without the token's own count; else 0
     class_bias: np.ndarray
     n_tokens: int
     n_words: int
+    paths: Paths
 
     def places(self, split: list[list[bytes]]) -> np.ndarray:
         """Places of all tokens; rare ones have the pseudo-place of their class, beyond the vocabulary."""
@@ -136,9 +181,15 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Vocabulary:
         sizes[r["f"]] += r["size"]
     mass = np.bincount(classes[: len(own)], own, CLASSES)
     mass[OWN + KNOWN :] = sizes
-    in_class = np.log(np.concatenate([own / mass[classes[: len(own)]], 1 / sizes]))
+    in_class = np.concatenate([np.zeros(len(own)), -np.log(sizes)])
     bias = np.log((mass + 0.1) / (mass + 0.1).sum())
-    return Vocabulary({w: i for i, (w, _) in enumerate(held)}, own, classes, in_class, bias, int(n_tokens), int(n_words))
+    paths = trees([w for w, _ in held], classes, own)
+    return Vocabulary({w: i for i, (w, _) in enumerate(held)}, own, classes, in_class, bias, int(n_tokens), int(n_words), paths)
+
+
+def node_weights(n_words: int) -> int:
+    """How many weights the trees' nodes have for so many distinct tokens."""
+    return min(MOST, max(FEWEST, 1 << (EACH * max(1, n_words) - 1).bit_length()))
 
 
 def feature_rows(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,6 +203,37 @@ def feature_rows(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([one, CONTEXTS + pair, CONTEXTS + PAIRS + two]).astype(np.uint16)
 
 
+def node_rows(paths: Paths, places: np.ndarray, sizes: np.ndarray, n_weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per step on the tokens' paths: token, node, sign, and the two places of its weights."""
+    within = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)  # 0: before the text
+    one[1:], two[2:] = places[:-1] + 1, places[:-2] + 1
+    one[within < 1], two[within < 2] = 0, 0
+    steps = paths.start[places + 1] - paths.start[places]
+    token = np.repeat(np.arange(len(places)), steps)
+    at = np.arange(len(token)) + np.repeat(paths.start[places] - (np.cumsum(steps) - steps), steps)
+    node = paths.node[at]
+    key = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    down = np.uint64(65 - n_weights.bit_length())
+    hashed = [((key ^ (context * np.uint64(salt))[token]) * np.uint64(0xD6E8FEB86659FD93)) >> down for context, salt in ((one, 0xC2B2AE3D27D4EB4F), (two, 0xA0761D6478BD642F))]
+    return token, node, paths.sign[at], np.stack(hashed).astype(np.int64)
+
+
+def node_odds(paths: Paths, weights: np.ndarray, node: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return paths.bias[node] + weights[at[0]] + weights[at[1]]
+
+
+def descend_nodes(paths: Paths, weights: np.ndarray, memory: np.ndarray, node: np.ndarray, sign: np.ndarray, at: np.ndarray) -> None:
+    """One gradient step on a batch of steps, in place; ``memory`` sums the squares of each weight's gradients."""
+    g = 1 / (1 + np.exp(-node_odds(paths, weights, node, at).clip(-30, 30))) - (sign > 0)
+    g = g.astype(np.float32)
+    square = g * g
+    for places in at:
+        np.add.at(memory, places, square)
+    for places in at:
+        np.subtract.at(weights, places, np.float32(NODE_RATE) * g / np.sqrt(memory[places] + np.float32(0.1)))
+
+
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
@@ -177,56 +259,88 @@ def descend(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.
         weights[used] -= (RATE / np.sqrt(memory[used] + 1e-2))[:, None] * sums
 
 
-def train_round(texts: DataFrame, words: Vocabulary, weights: np.ndarray, tasks: int) -> np.ndarray:
-    """New weights after one round: the average of the tasks' steps, by tokens.
+@dataclass
+class Weights:
+    classes: np.ndarray
+    nodes: np.ndarray
+
+
+def _sizes(split: list[list[bytes]]) -> np.ndarray:
+    return np.array([len(x) for x in split])
+
 
-    A task returns its steps in blocks of rows; blocks are added in two
-    levels, so no task gets those of all others at once, and the driver gets
-    one set of weights.
+def train_round(texts: DataFrame, words: Vocabulary, weights: Weights, tasks: int) -> Weights:
+    """New weights after one round: the averages of the tasks' steps.
+
+    Class weights are averaged by tokens; a node's weight, which few tasks may
+    have met, by what they learned of it (the sum of squared gradients, to an
+    eighth of a power of two). A task returns its steps in blocks of weights;
+    blocks are added in two levels, so no task gets those of all others at
+    once, and the driver gets one set of weights.
     """
     shared = texts.sparkSession.sparkContext.broadcast((words, weights))
+    n_blocks = -(-ROWS // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary_, start = shared.value
-        own, bias = start.copy(), vocabulary_.class_bias.astype(np.float32)
-        memory, seen = np.zeros(ROWS, np.float32), 0
+        known, start = shared.value
+        own, bias, nodes = start.classes.copy(), known.class_bias.astype(np.float32), start.nodes.copy()
+        memory, node_memory, seen = np.zeros(ROWS, np.float32), np.zeros(len(nodes), np.float32), 0
         for batch in batches:
             for _, some in slices(batch, "text"):
                 split = [tokens(t) for t in some]
-                places = vocabulary_.places(split)
-                rows = feature_rows(places, np.array([len(x) for x in split]))
-                classes = vocabulary_.classes[places]
+                places, sizes = known.places(split), _sizes(split)
+                rows, classes = feature_rows(places, sizes), known.classes[places]
                 for at in range(0, len(places), BATCH):
                     descend(own, bias, memory, rows[:, at : at + BATCH], classes[at : at + BATCH])
+                token, node, sign, hashed = node_rows(known.paths, places, sizes, len(nodes))
+                for at in range(0, len(token), NODE_BATCH):
+                    descend_nodes(known.paths, nodes, node_memory, node[at : at + NODE_BATCH], sign[at : at + NODE_BATCH], hashed[:, at : at + NODE_BATCH])
                 seen += len(places)
         if not seen:
             return
-        moved = (own - start) * seen
-        names = range(0, ROWS, BLOCK)
         part = TaskContext.get().partitionId() // 32
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(names), pa.int32()), pa.array([part] * len(names), pa.int32()), pa.array([float(seen)] * len(names)), pa.array([moved[b : b + BLOCK].astype(np.float32).tobytes() for b in names], pa.binary())],
-            ["block", "part", "n", "moved"],
-        )
-
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows["moved"].to_pylist())
-        n = sum(rows["n"].to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([n], pa.float64()), "moved": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "block int, part int, n double, moved binary"
+        moved = (own - start.classes) * seen
+        blocks = [(k, part, float(seen), moved[b : b + BLOCK].astype(np.float32).tobytes(), None) for k, b in enumerate(range(0, ROWS, BLOCK))]
+        learned = np.ceil(8 * np.log2(1 + 16 * node_memory)).clip(0, 255).astype(np.uint8)
+        change = (nodes - start.nodes).astype(np.float16)
+        blocks += [(n_blocks + k, part, 0.0, change[b : b + NODE_BLOCK].tobytes(), learned[b : b + NODE_BLOCK].tobytes()) for k, b in enumerate(range(0, len(nodes), NODE_BLOCK))]
+        yield pa.RecordBatch.from_pylist([dict(zip(("block", "part", "n", "moved", "learned"), x, strict=True)) for x in blocks], pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.float64()), ("moved", pa.binary()), ("learned", pa.binary())]))
+
+    def added(block: int, n: float, moved: np.ndarray, learned: np.ndarray | None) -> pa.Table:
+        columns = [[block], [0], [n], [moved.astype(np.float32).tobytes()], [None if learned is None else learned.astype(np.float32).tobytes()]]
+        return pa.table(dict(zip(("block", "part", "n", "moved", "learned"), (pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+
+    def first(key: tuple, rows: pa.Table) -> pa.Table:
+        block, moves = key[0].as_py(), rows["moved"].to_pylist()
+        if block < n_blocks:
+            return added(block, sum(rows["n"].to_pylist()), sum(np.frombuffer(x, np.float32).astype(np.float64) for x in moves), None)
+        weight = [np.exp2(np.frombuffer(x, np.uint8) / np.float32(8)) - 1 for x in rows["learned"].to_pylist()]
+        return added(block, 0.0, sum(np.frombuffer(x, np.float16) * w for x, w in zip(moves, weight, strict=True)), sum(weight))
+
+    def rest(key: tuple, rows: pa.Table) -> pa.Table:
+        plus = lambda c: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows[c].to_pylist())
+        return added(key[0].as_py(), sum(rows["n"].to_pylist()), plus("moved"), None if key[0].as_py() < n_blocks else plus("learned"))
+
+    schema = "block int, part int, n double, moved binary, learned binary"
     moved = texts.select("text").coalesce(tasks).mapInArrow(run, schema)
-    moved = moved.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    new = weights.copy()
+    moved = moved.groupBy("block", "part").applyInArrow(first, schema).groupBy("block").applyInArrow(rest, schema)
+    new = Weights(weights.classes.copy(), weights.nodes.copy())
     for r in moved.collect():
-        block = np.frombuffer(bytes(r["moved"]), np.float32).reshape(-1, CLASSES)
-        new[r["block"] : r["block"] + len(block)] += block / np.float32(max(r["n"], 1.0))
+        step = np.frombuffer(bytes(r["moved"]), np.float32)
+        if r["block"] < n_blocks:
+            block = step.reshape(-1, CLASSES)
+            at = r["block"] * BLOCK
+            new.classes[at : at + len(block)] += block / np.float32(max(r["n"], 1.0))
+        else:
+            at = (r["block"] - n_blocks) * NODE_BLOCK
+            new.nodes[at : at + len(step)] += step / np.maximum(np.frombuffer(bytes(r["learned"]), np.float32), np.float32(1e-6))
+    shared.destroy()
     return new
 
 
-def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """``texts``: ``doc_id, text`` (binary) of the training documents."""
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    weights = Weights(np.zeros((ROWS, CLASSES), np.float32), np.zeros(node_weights(words.n_words), np.float32))
     tasks = max(1, words.n_tokens // (rounds * TASK_TOKENS))
     for k in range(rounds):
         part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
@@ -234,7 +348,19 @@ def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarr
     return weights
 
 
-def partial_scores(rows: DataFrame, words: Vocabulary, weights: np.ndarray) -> DataFrame:
+def log_probabilities(known: Vocabulary, weights: Weights, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The model's natural logarithm for each token of texts laid end to end; of rare ones without their own count."""
+    found, classes, bias = feature_rows(places, sizes), known.classes[places], known.class_bias.astype(np.float32)
+    model = known.in_class[places]
+    for at in range(0, len(places), BATCH):
+        p = log_softmax(weights.classes, bias, found[:, at : at + BATCH])
+        model[at : at + BATCH] += p[np.arange(len(p)), classes[at : at + BATCH]]
+    token, node, sign, hashed = node_rows(known.paths, places, sizes, len(weights.nodes))
+    odds = node_odds(known.paths, weights.nodes, node, hashed) * sign
+    return model - np.bincount(token, np.logaddexp(0, -odds), len(places))
+
+
+def partial_scores(rows: DataFrame, words: Vocabulary, weights: Weights) -> DataFrame:
     """Per row, what needs no counts of rare tokens, and its rare tokens.
 
     ``rows``: ``doc_id, held_out, text`` (binary). Both scores are natural logarithms.
@@ -243,18 +369,14 @@ def partial_scores(rows: DataFrame, words: Vocabulary, weights: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = shared.value
-        bias, n_known = known.class_bias.astype(np.float32), len(known.counts)
+        n_known = len(known.counts)
         log_counts = np.concatenate([np.log(known.counts + 1), np.zeros(RARE)])
         for batch in batches:
             for part, some in slices(batch, "text"):
                 split = [tokens(t) for t in some]
-                sizes = np.array([len(x) for x in split])
+                sizes = _sizes(split)
                 places = known.places(split)
-                found, classes = feature_rows(places, sizes), known.classes[places]
-                model = known.in_class[places]
-                for at in range(0, len(places), BATCH):
-                    p = log_softmax(w, bias, found[:, at : at + BATCH])
-                    model[at : at + BATCH] += p[np.arange(len(p)), classes[at : at + BATCH]]
+                model = log_probabilities(known, w, places, sizes)
                 ends = np.cumsum(sizes)
                 firsts = ends - sizes
                 rare = [dict(Counter(x[i] for i in np.flatnonzero(places[a:b] >= n_known).tolist())) for x, a, b in zip(split, firsts, ends, strict=True)]
