@@ -47,12 +47,21 @@ SMALL = 1 / 8
 MEMORY = 1_000_000
 
 
+#: Texts that tell whether a tokenizer joins across blanks.
+PROBES = ("a b", " a  b ", "word\nword", "it 's\tthe 3 . 5", "\u00e9 e\u0301 x", "The end .\r\n New")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """A tokenizer, a memory of words, and whether a text's ids are those of its words in turn."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    apart = all(ids(text) == [i for word in text.split() for i in ids(word)] for text in PROBES)
+    blanks = any(any(c.isspace() for c in str(token.content)) for token in tokenizer.get_added_tokens_decoder().values())
+    return tokenizer, {}, apart and not blanks
 
 
 def vocabulary() -> str:
@@ -64,10 +73,13 @@ def vocabulary() -> str:
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids with the end id, as little-endian 32-bit numbers.
 
-    This vocabulary drops white space and never joins across it, so a text's
-    ids are those of its words in turn, and words are looked up in a memory.
+    A vocabulary that drops white space and never joins across it gives a text
+    the ids of its words in turn, and words are looked up in a memory. With
+    any other, texts are tokenized whole.
     """
-    tokenizer, known = _tokenizer(path)
+    tokenizer, known, by_word = _tokenizer(path)
+    if not by_word:
+        return [array("I", tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes() + END for text in texts]
     split = [text.split() for text in texts]
     new = list(set().union(*split).difference(known))
     if len(known) + len(new) > MEMORY:
