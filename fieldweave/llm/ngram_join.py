@@ -123,12 +123,17 @@ def frequent_shingles(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT)
     return np.sort(found.view(np.uint64))
 
 
+def look(text: str = "text") -> Column:
+    """A digest that tells texts under one id apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 def prefix_length(n: np.ndarray | int):
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
 def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n, d1, d2, prefix`` for every row: size, digests and prefix of its shingle set."""
+    """``doc_id, look, n, d1, d2, prefix`` for every row: digest of the text, and size, digests and prefix of its shingle set."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +150,10 @@ def sets_table(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH) -> Dat
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 places = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths) + np.repeat(first, lengths)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[places].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(one), pa.array(two), prefix], ["doc_id", "n", "d1", "d2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(one), pa.array(two), prefix], ["doc_id", "look", "n", "d1", "d2", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), look().alias("look"), utf8("text").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, look binary, n long, d1 long, d2 long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -342,18 +348,24 @@ def _with_leaders(blocks: DataFrame, links: DataFrame | None, turn: int) -> Data
     return best.select(F.least("class", "best.leader").alias("a"), F.greatest("class", "best.leader").alias("b")).distinct()
 
 
-def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+def linked(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
+    """``doc_id, look, n_shingles, component_id, first`` for every row of ``docs(doc_id, text)``.
+
+    ``look`` tells the texts of one id apart (see :func:`look`). ``first`` is
+    true for the rows of each component with the smallest id and then digest,
+    which are equal texts, and for rows that take no part.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     sets = scratch.write(sets_table(docs, frequent_shingles(docs, width), width).withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = (
         sets.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2", "n")
-        .agg(F.min("row").alias("class"), F.min("doc_id").alias("first_id"), F.first("prefix").alias("prefix"))
+        .agg(F.min("row").alias("class"), F.min(F.struct("doc_id", "look")).alias("least"), F.first("prefix").alias("prefix"))
+        .withColumn("first_id", F.col("least.doc_id"))
     )
     classes = scratch.write(classes, "classes")
-    sets = scratch.write(sets.select("doc_id", "n", "d1", "d2"), "rows")
+    sets = scratch.write(sets.select("doc_id", "look", "n", "d1", "d2"), "rows")
     scratch.drop("sets")
     scratch.release()
     keys = classes.select("class", "n", F.posexplode("prefix").alias("place", "key"))
@@ -380,13 +392,19 @@ def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     scratch.release()
     more = scratch.write(verified(docs, candidates, classes, scratch, "more", width), "more")
     final = components(links.union(more), scratch, "final")
-    of_class = classes.select("class", "first_id", "d1", "d2", "n").join(final, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = scratch.write(of_class.join(smallest, "component").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), "component_id"), "known")
+    of_class = classes.select("class", "least", "d1", "d2", "n").join(final, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = of_class.groupBy("component").agg(F.min("least").alias("head"))
+    known = scratch.write(of_class.join(smallest, "component").select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("n").alias("k_n"), "head"), "known")
     scratch.drop("classes", "shared", "candidates", "more-whole")
     scratch.release()
     same = (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")) & (F.col("n") == F.col("k_n")) & F.col("doc_id").isNotNull()
-    return sets.join(known, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = F.col("head").isNull() | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("look") == F.col("head.look")))
+    return sets.join(known, same, "left").select("doc_id", "look", F.col("n").alias("n_shingles"), F.coalesce("head.doc_id", "doc_id").alias("component_id"), first.alias("first"))
+
+
+def link_documents(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``."""
+    return linked(docs, width=width).select("doc_id", "n_shingles", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
