@@ -15,7 +15,7 @@ def make(spark):
             out.append(row)
         df = spark.createDataFrame(out, DOC)
         if extra:
-            for name in ("row", "size", "n", "key", "component", "sequence_id", "removed", "copies", "p", "words"):
+            for name in ("row", "size", "n", "key", "component", "sequence_id", "removed", "copies", "p", "words", "_id", "_copies", "_own2", "look", "cls", "bin", "held_out"):
                 df = df.withColumn(name, df["doc_id"])
         return df
 

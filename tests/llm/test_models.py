@@ -40,6 +40,28 @@ def test_chain_learns_and_feeds_forward(make, spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["toxic"] for r in out)
 
 
+def test_chain_matches_plain_loops(make, spark):
+    """Scores by the definition: features of each distinct word, a dense product, the earlier log odds as a feature."""
+    rows = labelled_texts(300, 9)
+    docs = [r[:2] for r in rows] + [(900, None), (901, ""), (902, "awful " * 3000), (903, "x" * 300 + "/awful/NASTY-" + "y" * 80)]
+    labels = spark.createDataFrame([(i, 1 - junk, toxic) for i, _, toxic, junk in rows], "doc_id long, quality int, toxic int")
+    chain, _, _ = toxicity.train(make(docs), labels)
+    out = {r["doc_id"]: r for r in toxicity.judged(make(docs), labels).collect()}
+    for i, text in docs:
+        times = Counter(f for w in set(linear.words_of((text or "").encode())) for f in linear.meaning_features(w).tolist())
+        odds = []
+        for selected, w in zip(chain.selected, chain.weights, strict=True):
+            x = [math.log1p(times[f]) for f in selected.tolist()] + [max(-toxicity.LIMIT, min(toxicity.LIMIT, o)) for o in odds]
+            odds.append(sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1])
+        assert [out[i]["p_junk"], out[i]["p_toxic"]] == pytest.approx([1 / (1 + math.exp(-o)) for o in odds], abs=1e-9)
+    assert out[902]["toxic"]
+
+
+def test_long_words_count_by_their_pieces():
+    assert linear.words_of(b"short " + b"a" * 70 + b"/nasty " + b"end") == [b"short", b"a" * 64, b"a" * 6, b"nasty", b"end"]
+    assert linear.words_of(b"") == [] and len(linear.words_of(b"z" * 200_000)) == 3125
+
+
 def test_chain_without_labels(make, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["toxic"] for r in toxicity.judged(make(["a b", None]), none).collect()] == [False, False]
@@ -82,6 +104,30 @@ def test_cotraining_learns_from_all_unlabelled_texts(make, spark):
     assert sum(given) > 10_000  # of 6,000 texts for each of two views
 
 
+def test_views_share_nothing(make):
+    one, two = (cotraining.Rows.of(cotraining.features(make([(0, t, "en", "s", 30)])).toArrow()) for t in ("plain words\nand more of", "OTHER %%%%!\nall else 1"))
+    assert (one.layout == two.layout).all() and sorted(one.feature.tolist()) != sorted(two.feature.tolist())
+    other = cotraining.Rows.of(cotraining.features(make([(0, "plain words\nand more of", "de", "t", None)])).toArrow())
+    assert (one.layout != other.layout).any() and (one.feature == other.feature).all()
+
+
+def test_cotraining_matches_plain_loops(make, spark):
+    """Scores by the definition: both views' weights, calibration and the combination, text by text."""
+    rows = [(i, text, "en", "s", 1 - junk) for i, text, _, junk in labelled_texts(400, 11)] + [(900, None, None, None, None), (901, "", "en", "s", 0), (902, "word " * 4000, "en", "s", 9), (902, "word " * 4000, "en", "s", 9)]
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:300]], "doc_id long, quality int")
+    views, _ = cotraining.train(make(rows), labels)
+    out = {r["doc_id"]: r for r in cotraining.score(make(rows), views).collect()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for i, text, lang, source, size in rows:
+        words = (text or "").encode().split()
+        times = Counter(f for w in words for f in linear.shape_features(w).tolist()) + Counter({f: max(len(words), 1) for f in cotraining.repetition([(text or "").encode()])[0]})
+        content = sum(w * math.sqrt(times[f] / max(len(words), 1)) for f, w in zip(views.selected.tolist(), views.content[:-1], strict=True)) + views.content[-1]
+        layout = cotraining.metadata([(text or "").encode()], [lang], [source], [size])[0].astype(np.float32)
+        z = [max(-12, min(12, a * o + b)) for (a, b), o in zip(views.calibration, (content, float(layout @ views.layout[:-1]) + views.layout[-1]), strict=True)]
+        joint = sum(w * x for w, x in zip(views.combined[:-1], [*z, min(z)], strict=True)) + views.combined[-1]
+        assert [out[i][c] for c in ("p_content", "p_metadata", "score")] == pytest.approx([sigmoid(z[0]), sigmoid(z[1]), sigmoid(joint)], abs=1e-5)
+
+
 def test_cotraining_of_one_kind_and_nothing(make, spark):
     one = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
     views, _ = cotraining.train(make(["a b", "c d", None]), one)
@@ -103,23 +149,74 @@ def test_base_scores_match_a_count(make):
         assert row["score"] < 0
 
 
+def _vocabulary(spark, n=150, most=100):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 200 - i) for i in range(n)] + [(b"", 90)], "word binary, c long")
+    return counts, lm.vocabulary(counts, most)
+
+
+def _weights(seed=0, n_nodes=lm.FEWEST):
+    r = np.random.default_rng(seed)
+    return lm.Weights(r.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), r.normal(size=n_nodes).astype(np.float32))
+
+
+def _within(known, weights, place, one, two):
+    """A known token's probability within its class, step by step; ``one``, ``two``: places of the tokens before, plus 1."""
+    p, mask = 1.0, (1 << 64) - 1
+    for at in range(known.paths.start[place], known.paths.start[place + 1]):
+        node, sign = int(known.paths.node[at]), int(known.paths.sign[at])
+        key = node * 0x9E3779B97F4A7C15 & mask
+        z = float(known.paths.bias[node])
+        for context, salt in ((one, 0xC2B2AE3D27D4EB4F), (two, 0xA0761D6478BD642F)):
+            z += float(weights.nodes[((key ^ (context * salt & mask)) * 0xD6E8FEB86659FD93 & mask) >> (65 - len(weights.nodes).bit_length())])
+        p /= 1 + math.exp(-sign * z)
+    return p
+
+
 def test_probabilities_sum_to_one(spark):
-    counts = spark.createDataFrame([(f"w{i}".encode(), 200 - i) for i in range(150)] + [(b"", 90)], "word binary, c long")
-    words = lm.vocabulary(counts, 100)
-    assert len(words.counts) <= 100
-    within = np.zeros(lm.CLASSES)
-    np.add.at(within, words.classes[: len(words.counts)], np.exp(words.in_class[: len(words.counts)]))
-    for w, n in [(r["word"], r["c"]) for r in counts.collect()] + [(None, 0)] * lm.RARE:
-        if w is None or bytes(w) not in words.place:
-            places = range(lm.RARE) if w is None else [lm._ending(bytes(w)) % lm.RARE]
-            for f in places:
-                within[lm.OWN + lm.KNOWN + f] += np.exp(words.in_class[len(words.counts) + f]) * (n + 1) / (lm.RARE if w is None else 1)
-    used = np.exp(words.class_bias) > 0.1 / (1 << 30)
-    assert np.allclose(within[used & (within > 0)], 1)
-    rows = np.zeros((3, 4), int)
-    r = np.random.default_rng(0)
-    p = lm.log_softmax(r.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32), words.class_bias.astype(np.float32), rows)
-    assert np.allclose(np.exp(p).sum(1), 1, atol=1e-5)
+    """All tokens' probabilities after some contexts, rare and unknown ones by their shares."""
+    counts, known = _vocabulary(spark)
+    weights, n = _weights(), len(known.counts)
+    assert n <= 100 and (np.diff(known.paths.start)[lm.OWN : n] > 0).any()
+    rare = [(bytes(r["word"]), r["c"]) for r in counts.collect() if bytes(r["word"]) not in known.place]
+    for before in ([], [3], [70, 5], [4, n + 2]):
+        total = 0.0
+        for place in range(n + lm.RARE):
+            places = np.array([*before, place])
+            p = math.exp(lm.log_probabilities(known, weights, places, np.array([len(places)]))[-1])
+            if place >= n:  # each rare token has its count plus 1, and the class one unknown token
+                p *= 1 + sum(c + 1 for w, c in rare if lm._ending(w) % lm.RARE == place - n)
+            total += p
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_match_plain_loops(spark):
+    _, known = _vocabulary(spark)
+    weights, n = _weights(1), len(known.counts)
+    r = np.random.default_rng(2)
+    sizes = np.array([1, 7, 40])
+    places = r.integers(0, n + lm.RARE, sizes.sum())
+    got, at = lm.log_probabilities(known, weights, places, sizes), 0
+    rows = lm.feature_rows(places, sizes)
+    for size in sizes:
+        for i in range(size):
+            place = int(places[at])
+            one, two = (int(places[at - k]) + 1 if i >= k else 0 for k in (1, 2))
+            z = known.class_bias + sum(weights.classes[row].astype(float) for row in rows[:, at])
+            want = z[known.classes[place]] - math.log(np.exp(z).sum()) + (known.in_class[place] if place >= n else math.log(_within(known, weights, place, one, two)))
+            assert got[at] == pytest.approx(want, abs=1e-3)
+            at += 1
+
+
+def test_untrained_trees_give_shares_of_counts(spark):
+    _, known = _vocabulary(spark)
+    weights = lm.Weights(np.zeros((lm.ROWS, lm.CLASSES), np.float32), np.zeros(lm.FEWEST, np.float32))
+    for place in range(lm.OWN, len(known.counts)):
+        own = known.counts[known.classes[: len(known.counts)] == known.classes[place]]
+        assert _within(known, weights, place, 0, 0) == pytest.approx(known.counts[place] / own.sum(), rel=1e-5)
+
+
+def test_weights_grow_with_the_words():
+    assert lm.node_weights(0) == lm.FEWEST and lm.node_weights(40_000) == 1 << 18 and lm.node_weights(10**9) == lm.MOST
 
 
 def test_training_beats_counts_on_held_out_text(make):
@@ -137,6 +234,14 @@ def test_training_beats_counts_on_held_out_text(make):
     assert len(out) > 10 and sum(x["score"] for x in out) > sum(x["base_score"] for x in out) + 10
 
 
+def test_scores_of_nulls_and_repeats(make):
+    docs = [(None, "a b a"), (1, "a b"), (1, "a b"), (2, None), (3, "long " * 5000)]
+    out = lm.score_documents(make(docs, extra=True)).collect()
+    assert len(out) == 5 and [r["held_out"] for r in out if r["doc_id"] is None] == [False]
+    twice = [tuple(r) for r in out if r["doc_id"] == 1]
+    assert len(set(twice)) == 1 and [r["n_tokens"] for r in out if r["doc_id"] == 2] == [1]
+
+
 def test_scores_of_nothing(make):
     assert lm.score_documents(make([])).collect() == []
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -1,6 +1,5 @@
 """Line dedup, substring dedup and the n-gram join against plain loops."""
 
-import hashlib
 import random
 
 import pytest
@@ -97,7 +96,9 @@ def test_lines_match_all_pairs(make, seed):
     r = random.Random(seed)
     lines = [line for t in corpus(seed, 40) for line in t.split(" x")][:80]
     docs = EDGES + ["\n".join(r.choice(lines) for _ in range(r.randint(1, 6))) for _ in range(25)]
-    out = line_dedup.dedup_lines(make(docs, extra=True).drop("removed")).orderBy("doc_id").collect()
+    found = line_dedup.dedup_lines(make(docs, extra=True))
+    assert found.columns == [*(c for c in make([], extra=True).columns if c != "removed"), "removed"]
+    out = found.orderBy("doc_id").collect()
     assert [list(x["removed"]) for x in out] == kept_lines(docs)
     for row, text, gone in zip(out, docs, kept_lines(docs), strict=True):
         assert row["text"] == (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone))
@@ -109,6 +110,27 @@ def test_lines_of_nulls_repeats_and_nothing(make):
     assert sorted((str(r["doc_id"]), r["text"]) for r in out) == [("1", "p q r"), ("1", "p q r"), ("None", "")]
 
 
+def test_lines_of_texts_under_one_id_are_told_apart(make):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a.replace("one", "uno"))]
+    out = line_dedup.dedup_lines(make(rows)).orderBy("doc_id", "text").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(1, a), (1, b), (2, ""), (3, ""), (4, rows[4][1])]
+
+
+def test_long_lines_and_groups_of_near_copies(make):
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(400)]
+    base = words[:40]
+    docs = [" ".join(f"long{i}" for i in range(9000)), " ".join(f"long{i}" for i in range(9500))]
+    for _ in range(70):  # variants that differ from each other more than from the base
+        line = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            line[r.randrange(40)] = r.choice(words)
+        docs.append(" ".join(line))
+    out = line_dedup.dedup_lines(make(docs)).orderBy("doc_id").collect()
+    assert [list(x["removed"]) for x in out] == kept_lines(docs)
+
+
 def unrepeated(docs, width=20):
     split = [(t or "").encode().split() for t in docs]
     first, out = {}, []
@@ -131,6 +153,21 @@ def test_substrings_match_all_windows(make, seed):
     assert [(r["doc_id"], r["n_words"], bytes(r["kept"])) for r in out] == unrepeated(docs)
 
 
+def test_paths_over_several_pieces(make, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PLACES", 4)
+    docs = corpus(6, 30)
+    out = substring_dedup.remove_repeats(make(docs)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_words"], bytes(r["kept"])) for r in out] == unrepeated(docs)
+
+
+def test_substrings_under_one_or_no_id(make):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "xy")
+    rows = [(None, a + " " + b), (None, b + " " + a), (7, a), (7, b), (9, b)]
+    out = substring_dedup.remove_repeats(make(rows)).collect()
+    # the texts under 7 are one document with two texts at the same places
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_kept"]) for r in out) == [("7", 40, 40), ("7", 40, 40), ("9", 40, 0), ("None", 80, 0), ("None", 80, 0)]
+
+
 def test_substrings_of_nulls_and_nothing(make):
     long = " ".join(f"v{i}" for i in range(30))
     out = substring_dedup.remove_repeats(make([(None, long), (4, long), (4, long), (9, "z " + long)])).collect()
@@ -143,4 +180,3 @@ def test_paths_of_unlike_words_are_parted(spark):
     spans = spark.createDataFrame([(1, b"d", 7, 0, 20, False), (2, b"d", 7, 0, 20, True), (3, b"d", 7, 0, 20, True)], "doc_id long, digest binary, head long, at int, n_words int, goes boolean")
     checks = spark.createDataFrame([(1, 7, 0, b"x"), (2, 7, 0, b"y"), (3, 7, 0, b"y")], "doc_id long, head long, at int, words binary")
     assert sorted((r["doc_id"], r["goes"]) for r in substring_dedup._parted(spans, checks).collect()) == [(1, False), (2, False), (3, True)]
-    assert hashlib

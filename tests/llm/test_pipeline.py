@@ -47,6 +47,39 @@ def test_stages(spark, folder):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mixing", "packing"]
 
 
+def test_run_writes_all_stages(spark, folder):
+    out = corpus_pipeline.run(spark, folder)
+    clean = {i for i in range(240) if i % 4}
+    mixed = corpus_pipeline.mix_sources(spark, corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_repeated_lines(spark, corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), folder), folder), folder)
+    rows = out.collect()
+    assert len([r for r in rows if r["piece"] == 0]) == mixed.count() and {r["doc_id"] for r in rows} <= clean | {302, 303}
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_of_nothing_and_clashing_columns(make, spark, stage, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    function = corpus_pipeline.STAGES[stage][1]
+    assert function(spark, make([]), str(tmp_path)).collect() == []
+    docs = make([None, "", "a b c d e f", (None, "g h i j k l"), (2, "a b c d e f"), "long " * 3000], extra=True).withColumnRenamed("lang", "Row2")
+    out = function(spark, docs, str(tmp_path))
+    out.collect()
+    if stage < 4:
+        assert out.dtypes == docs.dtypes
+
+
+def test_run_on_an_empty_table(make, spark, tmp_path):
+    make([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_go_by_row(make, spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = make([(4, base), (4, "unlike text under the same id"), (2, base + " x"), (2, base)])
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"][:6]) for r in out) == [(2, base[:6]), (4, "unlike")]
+
+
 def test_near_copies_leave_one(make, spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(60))
     docs = make([(4, base), (2, base + " x"), (9, "other text of its own here"), (None, base), (9, "other text of its own here")], extra=True)
