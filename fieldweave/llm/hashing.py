@@ -38,11 +38,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The hash of the ``width`` words from each place on; shorter runs at the end are left out."""
+    """The hash of the ``width`` words from each place on; shorter runs at the end are left out.
+
+    A polynomial of the words; that of a run is put together from those of
+    runs of powers of two.
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = total * ODD + words[k : k + n]
-    return mixed(total + np.uint64(width))
+    total, done = np.zeros(n, np.uint64), 0
+    power, span, factor = words, 1, int(ODD)
+    while True:
+        if width & span:
+            total = total * np.uint64(factor) + power[done : done + n]
+            done += span
+        if done == width:
+            return mixed(total + np.uint64(width))
+        power = power[:-span] * np.uint64(factor) + power[span:]
+        span, factor = 2 * span, factor * factor % (1 << 64)

@@ -53,13 +53,13 @@ def seeds(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndar
     n, within = len(words) - width + 1, width - seed + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    best, at = runs[:n].copy(), np.arange(n)
-    for k in range(1, within):
-        other = runs[k : k + n]
-        less = other < best
-        np.copyto(best, other, where=less)
-        np.copyto(at, np.arange(k, k + n), where=less)
-    return best, at
+    # the least of a span is that of two shorter ones that cover it
+    best, at, span = runs, np.arange(len(runs)), 1
+    while span < within:
+        step = min(span, within - span)
+        less = best[step:] < best[:-step]
+        best, at, span = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step]), span + step
+    return best[:n], at[:n]
 
 
 def _by_doc(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
