@@ -10,11 +10,13 @@ reaches the threshold. The join is exact up to 64-bit hashes of shingles:
 3. In a few rounds each class is first compared with one leader of its blocks;
    verified links already join most copies, and pairs within a component
    need no look any more.
-4. In blocks that still hold several components, classes are the leaves of a
-   signature tree. A node has the OR of its prefixes' bitmaps and the range of
-   its sizes; a dual traversal follows only pairs of nodes whose greatest possible
-   overlap reaches what their sizes need. Blocks are cut into chunks, and pairs
-   of chunks are dealt out, so that a block of any size has many tasks.
+4. In small blocks that still hold several components, pairs are counted: the
+   shingles that their prefixes share must be as many as their sizes need. In
+   larger ones classes are the leaves of a signature tree. A node has the OR of
+   its prefixes' bitmaps and the range of its sizes; a dual traversal follows
+   only pairs of nodes whose greatest possible overlap reaches what their sizes
+   need. Blocks are cut into chunks, and pairs of chunks are dealt out, so that
+   a block of any size has many tasks.
 5. Candidates are verified on the whole sets.
 
 Defined results: with fewer words than a shingle, the sequence is one shingle;
@@ -48,6 +50,8 @@ FREQUENT = 262_144
 COUNTED, OFTEN = 4_000_000, 4
 BITS = 4096
 CHUNK, FANOUT, LEAF = 256, 8, 16
+#: Blocks from this number of classes on have trees.
+TREE = 64
 #: Rounds in which classes are compared with the leaders of their blocks.
 LEADERS = 2
 
@@ -329,6 +333,32 @@ def may_reach(n: Column, place: Column, m: Column, other: Column) -> Column:
     return fits & (1 + F.least(n - place - 1, m - other - 1) >= needed(n, m))
 
 
+def _prefix(n: Column) -> Column:
+    return n - F.ceil(NUM * n / DEN) + 1
+
+
+def counted_candidates(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of classes of different components that share enough keys of their prefixes.
+
+    ``small``, ``large``: rows of the open blocks, ``key, class, component, n,
+    place``. Pairs meet in ``small``; of the blocks in ``large`` they share as
+    many at most as the one with fewer is in.
+    """
+    x, y = small.alias("x"), small.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (DEN * n >= NUM * m) & (DEN * m >= NUM * n)
+    behind = 1 + F.least(n - F.col("x.place") - 1, m - F.col("y.place") - 1)
+    pairs = x.join(y, meet).groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(behind).alias("behind"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+    more = large.groupBy(F.col("class").alias("of")).agg(F.count(F.lit(1)).alias("more"))
+    more = broadcast_if(more, more.count())
+    for c in ("a", "b"):
+        pairs = pairs.join(more.select(F.col("of").alias(f"of_{c}"), F.col("more").alias(f"more_{c}")), F.col(c) == F.col(f"of_{c}"), "left")
+    other = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    need = needed(F.col("n"), F.col("m"))
+    common = need - F.greatest(F.col("n") - _prefix(F.col("n")), F.col("m") - _prefix(F.col("m")))
+    return pairs.where((F.col("shared") + other >= common) & ((other > 0) | (F.col("behind") >= need))).select("a", "b")
+
+
 def _with_leaders(blocks: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
     """Pairs ``a, b``: each class with one leader of its blocks that is in another component.
 
@@ -370,7 +400,7 @@ def linked(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     scratch.release()
     keys = classes.select("class", "n", F.posexplode("prefix").alias("place", "key"))
     block = W.partitionBy("key")
-    shared = keys.withColumn("size", F.count(F.lit(1)).over(block)).where("size > 1").drop("size")
+    shared = keys.withColumn("size", F.count(F.lit(1)).over(block)).where("size > 1")
     shared = scratch.write(shared, "shared")
     scratch.release()
     links, open_blocks, labels = None, shared.withColumn("component", F.col("class")), None
@@ -386,9 +416,13 @@ def linked(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         labelled = labelled.withColumn("low", F.min("component").over(block)).withColumn("high", F.max("component").over(block)).where("low <> high").drop("low", "high")
         open_blocks = scratch.write(labelled, f"open{turn}")
         scratch.release()
-    signatures = scratch.write(bitmaps(classes.join(open_blocks.select("class").distinct(), "class")), "signatures")
-    candidates = scratch.write(tree_candidates(open_blocks, signatures, scratch), "candidates")
-    scratch.drop("chunks", "signatures", f"open{LEADERS - 1}")
+    small, large = open_blocks.where(F.col("size") < TREE).drop("size"), open_blocks.where(F.col("size") >= TREE).drop("size")
+    signatures = scratch.write(bitmaps(classes.join(large.select("class").distinct(), "class")), "signatures")
+    trees = scratch.write(tree_candidates(large, signatures, scratch), "trees")
+    scratch.drop("chunks", "signatures")
+    scratch.release()
+    candidates = scratch.write(trees.union(counted_candidates(small, large)).distinct(), "candidates")
+    scratch.drop("trees", f"open{LEADERS - 1}")
     scratch.release()
     more = scratch.write(verified(docs, candidates, classes, scratch, "more", width), "more")
     final = components(links.union(more), scratch, "final")

@@ -61,7 +61,9 @@ def test_links_match_all_pairs(make, seed):
     assert sorted(tuple(r) for r in out.collect()) == components(docs)
 
 
-def test_chunks_and_trees_lose_nothing(make, monkeypatch):
+@pytest.mark.parametrize("tree", [2, 5, 1000])
+def test_chunks_and_trees_lose_nothing(make, monkeypatch, tree):
+    monkeypatch.setattr(ngram_join, "TREE", tree)
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     monkeypatch.setattr(ngram_join, "LEAF", 2)
     monkeypatch.setattr(ngram_join, "FANOUT", 2)
