@@ -110,7 +110,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def best(scores: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` highest of several (ids, scores), ties to the smaller id."""
     ids, values = (np.concatenate(x) for x in zip(*scores, strict=True))
-    order = np.lexsort((ids, -values))[:k]
+    order = np.lexsort((ids, ~values))[:k]  # not negated: the least long has no opposite
     return ids[order], values[order]
 
 

@@ -105,7 +105,7 @@ def test_cotraining_learns_from_all_unlabelled_texts(make, spark):
 
 
 def test_views_share_nothing(make):
-    one, two = (cotraining.Rows.of(cotraining.features(make([(0, t, "en", "s", 30)])).toArrow()) for t in ("plain words\nand more of", "OTHER %%%%!\nall else 1"))
+    one, two = (cotraining.Rows.of(cotraining.features(make([(0, t, "en", "s", 30)])).toArrow()) for t in ("plain words\nand more of", "OTHER %%%%!\nall else 12"))
     assert (one.layout == two.layout).all() and sorted(one.feature.tolist()) != sorted(two.feature.tolist())
     other = cotraining.Rows.of(cotraining.features(make([(0, "plain words\nand more of", "de", "t", None)])).toArrow())
     assert (one.layout != other.layout).any() and (one.feature == other.feature).all()
