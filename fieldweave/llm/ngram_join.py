@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -56,10 +57,9 @@ TREE = 64
 LEADERS = 2
 
 
-def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, hash)`` of all distinct shingles, ordered by both."""
-    split = [text.lower().split() for text in texts]
-    words, counts = word_hashes(split)
+def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, hash)`` of all shingles, repeated ones included, in no certain order."""
+    words, counts = word_hashes(texts, lower=True)
     doc = np.repeat(np.arange(len(texts)), counts)
     hashes = run_hashes(words, width)
     inside = doc[: len(hashes)] == doc[width - 1 :][: len(hashes)]
@@ -69,7 +69,15 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np
     if short:
         whole = [run_hashes(words[ends[i] - counts[i] : ends[i]], int(counts[i]))[0] for i in short]
         owner, hashes = np.concatenate([owner, short]), np.concatenate([hashes, np.array(whole, np.uint64)])
-    order = np.lexsort((hashes, owner))
+    return owner, hashes
+
+
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """``(document, hash)`` of all distinct shingles, ordered by both."""
+    owner, hashes = shingles(texts, width)
+    order = np.argsort(hashes)
+    # a stable sort of small numbers is one pass; equal hashes of a document are one
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
     owner, hashes = owner[order], hashes[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -88,39 +96,32 @@ def _digests(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def frequent_shingles(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -> np.ndarray:
-    """Hashes of shingles that many different documents hold, sorted; the ``most`` most frequent.
+    """Hashes of shingles that occur in many different texts, sorted; the ``most`` most frequent.
 
     Only the order of the prefixes depends on them, not what the join finds.
     """
 
-    def count(held: list[tuple[np.ndarray, np.ndarray]], seen: dict) -> None:
-        hashes, times = np.unique(np.concatenate([h for h in held]), return_counts=True)
-        for h, n in zip(hashes[times >= OFTEN].view(np.int64).tolist(), times[times >= OFTEN].tolist(), strict=True):
-            seen[h] = seen.get(h, 0) + n
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(times[often])], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held, sets = [], 0, set()
+        held, n_held, seen = [np.zeros(0, np.uint64)], 0, set()
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                owner, hashes = shingle_sets(texts, width)
-                _, sizes, one, two = _digests(owner, hashes, len(texts))
-                new = np.zeros(len(texts), bool)
-                for i, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
-                    if key not in sets:
-                        sets.add(key)
-                        new[i] = True
-                held.append(hashes[new[owner]])
+                new = []
+                for text in texts:
+                    key = xxhash.xxh3_128_digest(text)
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(text)
+                held.append(shingles(new, width)[1])
                 n_held += len(held[-1])
                 if n_held >= COUNTED:
-                    yield from flush(held)
-                    held, n_held, sets = [], 0, set()
-        if held:
-            yield from flush(held)
-
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        count(held, seen)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
+                    yield flush(held)
+                    held, n_held, seen = [np.zeros(0, np.uint64)], 0, set()
+        yield flush(held)
 
     counts = docs.select(utf8("text").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.col("n").desc(), "h").limit(most).select("h").toPandas()["h"].to_numpy(np.int64)

@@ -62,14 +62,13 @@ def seeds(words: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndar
     return best[:n], at[:n]
 
 
-def _by_doc(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their hashes, each word's document, and the windows that lie in one document."""
-    split = [text.split() for text in texts]
-    words, counts = word_hashes(split)
+def _by_doc(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, each word's document, and the windows that lie in one document."""
+    words, counts = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
     n = max(0, len(words) - width + 1)
     inside = doc[:n] == doc[width - 1 : width - 1 + n]
-    return split, words, doc, inside
+    return words, doc, inside
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -88,7 +87,7 @@ def seed_table(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                _, words, doc, inside = _by_doc(texts, width)
+                words, doc, inside = _by_doc(texts, width)
                 best, at = seeds(words, width, SEED)
                 best, at = best[inside], at[inside]
                 new = np.ones(len(at), bool)
@@ -114,7 +113,7 @@ def edge_runs(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in slices(batch, "text"):
-                _, words, doc, inside = _by_doc(own, width)
+                words, doc, inside = _by_doc(own, width)
                 best, _ = seeds(words, width, SEED)
                 repeated = part.column(2)
                 asked_seeds = repeated.flatten().to_numpy().view(np.uint64)
