@@ -11,8 +11,9 @@ included.
 Within a class of known tokens the softmax is a binary tree of two-way ones, by
 alphabet and balanced by counts: a node's log odds are those of the counts
 below it plus the weights at the hashes of the node with the token before and
-with the token but one. So a token costs as many steps as its path is long,
-and all probabilities still sum to 1. Rare tokens share their class by counts.
+with the token but one. So a token costs as many steps as its path is long. The
+few tokens of a leaf, and rare ones in their class, share it by their counts.
+All probabilities still sum to 1.
 
 1. Tokens of all training texts are counted; the most frequent, a bounded
    number, are the vocabulary that tasks hold.
@@ -38,7 +39,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ END = b""
 #: Tokens that every task holds at most: a few MB.
 VOCABULARY = 200_000
 #: Classes: tokens of their own, other known tokens, rare tokens.
-OWN, KNOWN, RARE = 24, 18, 6
+OWN, KNOWN, RARE = 16, 12, 4
 CLASSES = OWN + KNOWN + RARE
 #: Rows of weights: one for each frequent token, and shared ones for all others and for pairs.
 DIRECT, SHARED, PAIRS = 3072, 1024, 8192
@@ -60,7 +61,9 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.25
 TASK_TOKENS = 4_000_000
 #: Weights of the trees' nodes: a power of two over so many times the distinct tokens, between bounds; 4 bytes each.
 EACH, FEWEST, MOST = 4, 1 << 16, 1 << 21
-NODE_BATCH, NODE_RATE, NODE_BLOCK = 8192, 0.2, 1 << 16
+NODE_RATE, NODE_BLOCK = 0.2, 1 << 16
+#: Steps of a path at most; the tokens of a leaf share its probability by their counts.
+DEPTH = 7
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 300_000
 BLOCK = 256
@@ -110,16 +113,17 @@ class Paths:
     bias: np.ndarray  # by node: the log odds of going right, from counts
 
 
-def trees(words: list[bytes], classes: np.ndarray, counts: np.ndarray) -> Paths:
-    """``classes`` also has those of pseudo-places, which, as classes of one token, have no path."""
+def trees(words: list[bytes], classes: np.ndarray, counts: np.ndarray) -> tuple[Paths, np.ndarray]:
+    """The paths, and by place the logarithm of its share of its leaf. ``classes`` also has those of pseudo-places, which have no path."""
     shared = np.flatnonzero((classes[: len(words)] >= OWN) & (classes[: len(words)] < OWN + KNOWN)).tolist()
     places = np.array(sorted(shared, key=lambda i: (classes[i], words[i])), np.int64)
     total = np.concatenate([[0.0], np.cumsum(counts[places])])
     cuts = np.flatnonzero(np.diff(classes[places])) + 1 if len(places) else np.zeros(0, np.int64)
     a, b = np.concatenate([np.zeros(min(1, len(places)), np.int64), cuts]), np.concatenate([cuts, [len(places)] if len(places) else []]).astype(np.int64)
     n_nodes, item, node, sign, bias = 0, [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int8)], [np.zeros(0, np.float32)]
-    while len(a := a[(wide := b - a > 1)]):
-        b = b[wide]
+    for _ in range(DEPTH):
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
         middle = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
         size = b - a
         at = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -129,10 +133,13 @@ def trees(words: list[bytes], classes: np.ndarray, counts: np.ndarray) -> Paths:
         bias.append(np.log((total[b] - total[middle]) / (total[middle] - total[a])).astype(np.float32))
         n_nodes += len(a)
         a, b = np.concatenate([a, middle]), np.concatenate([middle, b])
+    leaf = np.zeros(len(classes))  # of the tokens that share one, the logarithm of their shares
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        leaf[places[x:y]] = np.log(counts[places[x:y]] / (total[y] - total[x]))
     item = np.concatenate(item)
     order = np.argsort(item, kind="stable")
     start = np.concatenate([[0], np.cumsum(np.bincount(item, minlength=len(classes)))])
-    return Paths(start.astype(np.int64), np.concatenate(node)[order], np.concatenate(sign)[order], np.concatenate(bias))
+    return Paths(start.astype(np.int64), np.concatenate(node)[order], np.concatenate(sign)[order], np.concatenate(bias)), leaf
 
 
 @dataclass
@@ -140,7 +147,7 @@ class Vocabulary:
     place: dict[bytes, int]
     counts: np.ndarray  # by place, descending
     classes: np.ndarray  # by place, then of the rare classes' pseudo-places
-    in_class: np.ndarray  # what rare places have for a path: log probability within the class without the token's own count; else 0
+    in_class: np.ndarray  # log share of a known token in its leaf; of rare ones in their class, without their own count
     class_bias: np.ndarray
     n_tokens: int
     n_words: int
@@ -181,9 +188,9 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> Vocabulary:
         sizes[r["f"]] += r["size"]
     mass = np.bincount(classes[: len(own)], own, CLASSES)
     mass[OWN + KNOWN :] = sizes
-    in_class = np.concatenate([np.zeros(len(own)), -np.log(sizes)])
     bias = np.log((mass + 0.1) / (mass + 0.1).sum())
-    paths = trees([w for w, _ in held], classes, own)
+    paths, leaf = trees([w for w, _ in held], classes, own)
+    in_class = leaf + np.concatenate([np.zeros(len(own)), -np.log(sizes)])
     return Vocabulary({w: i for i, (w, _) in enumerate(held)}, own, classes, in_class, bias, int(n_tokens), int(n_words), paths)
 
 
@@ -203,12 +210,17 @@ def feature_rows(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([one, CONTEXTS + pair, CONTEXTS + PAIRS + two]).astype(np.uint16)
 
 
-def node_rows(paths: Paths, places: np.ndarray, sizes: np.ndarray, n_weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per step on the tokens' paths: token, node, sign, and the two places of its weights."""
+def contexts(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places plus 1 of the token before each and of the token but one; 0 before the text."""
     within = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)  # 0: before the text
+    one, two = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
     one[1:], two[2:] = places[:-1] + 1, places[:-2] + 1
     one[within < 1], two[within < 2] = 0, 0
+    return one, two
+
+
+def node_rows(paths: Paths, places: np.ndarray, one: np.ndarray, two: np.ndarray, n_weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per step on the tokens' paths: token, node, sign, and the two places of its weights."""
     steps = paths.start[places + 1] - paths.start[places]
     token = np.repeat(np.arange(len(places)), steps)
     at = np.arange(len(token)) + np.repeat(paths.start[places] - (np.cumsum(steps) - steps), steps)
@@ -269,7 +281,7 @@ def _sizes(split: list[list[bytes]]) -> np.ndarray:
     return np.array([len(x) for x in split])
 
 
-def train_round(texts: DataFrame, words: Vocabulary, weights: Weights, tasks: int) -> Weights:
+def train_round(texts: DataFrame, words: Broadcast, weights: Weights, tasks: int) -> Weights:
     """New weights after one round: the averages of the tasks' steps.
 
     Class weights are averaged by tokens; a node's weight, which few tasks may
@@ -278,11 +290,11 @@ def train_round(texts: DataFrame, words: Vocabulary, weights: Weights, tasks: in
     blocks are added in two levels, so no task gets those of all others at
     once, and the driver gets one set of weights.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((words, weights))
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
     n_blocks = -(-ROWS // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
+        known, start = words.value, shared.value
         own, bias, nodes = start.classes.copy(), known.class_bias.astype(np.float32), start.nodes.copy()
         memory, node_memory, seen = np.zeros(ROWS, np.float32), np.zeros(len(nodes), np.float32), 0
         for batch in batches:
@@ -290,11 +302,12 @@ def train_round(texts: DataFrame, words: Vocabulary, weights: Weights, tasks: in
                 split = [tokens(t) for t in some]
                 places, sizes = known.places(split), _sizes(split)
                 rows, classes = feature_rows(places, sizes), known.classes[places]
+                one, two = contexts(places, sizes)
                 for at in range(0, len(places), BATCH):
-                    descend(own, bias, memory, rows[:, at : at + BATCH], classes[at : at + BATCH])
-                token, node, sign, hashed = node_rows(known.paths, places, sizes, len(nodes))
-                for at in range(0, len(token), NODE_BATCH):
-                    descend_nodes(known.paths, nodes, node_memory, node[at : at + NODE_BATCH], sign[at : at + NODE_BATCH], hashed[:, at : at + NODE_BATCH])
+                    some_ = slice(at, at + BATCH)
+                    descend(own, bias, memory, rows[:, some_], classes[some_])
+                    _, node, sign, hashed = node_rows(known.paths, places[some_], one[some_], two[some_], len(nodes))
+                    descend_nodes(known.paths, nodes, node_memory, node, sign, hashed)
                 seen += len(places)
         if not seen:
             return
@@ -338,10 +351,11 @@ def train_round(texts: DataFrame, words: Vocabulary, weights: Weights, tasks: in
     return new
 
 
-def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Weights:
-    """``texts``: ``doc_id, text`` (binary) of the training documents."""
-    weights = Weights(np.zeros((ROWS, CLASSES), np.float32), np.zeros(node_weights(words.n_words), np.float32))
-    tasks = max(1, words.n_tokens // (rounds * TASK_TOKENS))
+def train(texts: DataFrame, words: Broadcast, rounds: int = ROUNDS) -> Weights:
+    """``texts``: ``doc_id, text`` (binary) of the training documents; ``words``: the vocabulary, which tasks get once."""
+    known = words.value
+    weights = Weights(np.zeros((ROWS, CLASSES), np.float32), np.zeros(node_weights(known.n_words), np.float32))
+    tasks = max(1, known.n_tokens // (rounds * TASK_TOKENS))
     for k in range(rounds):
         part = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k)
         weights = train_round(part, words, weights, tasks)
@@ -351,24 +365,26 @@ def train(texts: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Weights:
 def log_probabilities(known: Vocabulary, weights: Weights, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The model's natural logarithm for each token of texts laid end to end; of rare ones without their own count."""
     found, classes, bias = feature_rows(places, sizes), known.classes[places], known.class_bias.astype(np.float32)
+    one, two = contexts(places, sizes)
     model = known.in_class[places]
     for at in range(0, len(places), BATCH):
-        p = log_softmax(weights.classes, bias, found[:, at : at + BATCH])
-        model[at : at + BATCH] += p[np.arange(len(p)), classes[at : at + BATCH]]
-    token, node, sign, hashed = node_rows(known.paths, places, sizes, len(weights.nodes))
-    odds = node_odds(known.paths, weights.nodes, node, hashed) * sign
-    return model - np.bincount(token, np.logaddexp(0, -odds), len(places))
+        some = slice(at, at + BATCH)
+        p = log_softmax(weights.classes, bias, found[:, some])
+        token, node, sign, hashed = node_rows(known.paths, places[some], one[some], two[some], len(weights.nodes))
+        steps = np.logaddexp(0, -node_odds(known.paths, weights.nodes, node, hashed) * sign)
+        model[some] += p[np.arange(len(p)), classes[some]] - np.bincount(token, steps, len(p))
+    return model
 
 
-def partial_scores(rows: DataFrame, words: Vocabulary, weights: Weights) -> DataFrame:
+def partial_scores(rows: DataFrame, words: Broadcast, weights: Weights) -> DataFrame:
     """Per row, what needs no counts of rare tokens, and its rare tokens.
 
     ``rows``: ``doc_id, held_out, text`` (binary). Both scores are natural logarithms.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((words, weights))
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = shared.value
+        known, w = words.value, shared.value
         n_known = len(known.counts)
         log_counts = np.concatenate([np.log(known.counts + 1), np.zeros(RARE)])
         for batch in batches:
@@ -403,9 +419,11 @@ def score_documents(docs: DataFrame, *, most_words: int = VOCABULARY, rounds: in
     counts = scratch.write(count_tokens(learning), "counts")
     scratch.release()
     words = vocabulary(counts, most_words)
-    weights = train(learning, words, rounds)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    weights = train(learning, sent, rounds)
     scratch.release()
-    found = scratch.write(partial_scores(texts, words, weights).withColumn("row", F.monotonically_increasing_id()), "found")
+    found = scratch.write(partial_scores(texts, sent, weights).withColumn("row", F.monotonically_increasing_id()), "found")
+    sent.destroy()
     scratch.release()
     listed = found.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("rare_word"), F.col("r.times").alias("times"))
     looked_up = listed.join(counts, F.col("rare_word") == F.col("word")).groupBy(F.col("row").alias("of")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log(F.col("c") + 1)).alias("gain"))

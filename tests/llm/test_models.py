@@ -124,7 +124,7 @@ def test_cotraining_matches_plain_loops(make, spark):
         content = sum(w * math.sqrt(times[f] / max(len(words), 1)) for f, w in zip(views.selected.tolist(), views.content[:-1], strict=True)) + views.content[-1]
         layout = cotraining.metadata([(text or "").encode()], [lang], [source], [size])[0].astype(np.float32)
         z = [max(-12, min(12, a * o + b)) for (a, b), o in zip(views.calibration, (content, float(layout @ views.layout[:-1]) + views.layout[-1]), strict=True)]
-        joint = sum(w * x for w, x in zip(views.combined[:-1], [*z, min(z)], strict=True)) + views.combined[-1]
+        joint = sum(w * x for w, x in zip(views.combined[:-1], z, strict=True)) + views.combined[-1]
         assert [out[i][c] for c in ("p_content", "p_metadata", "score")] == pytest.approx([sigmoid(z[0]), sigmoid(z[1]), sigmoid(joint)], abs=1e-5)
 
 
@@ -149,8 +149,8 @@ def test_base_scores_match_a_count(make):
         assert row["score"] < 0
 
 
-def _vocabulary(spark, n=150, most=100):
-    counts = spark.createDataFrame([(f"w{i}".encode(), 200 - i) for i in range(n)] + [(b"", 90)], "word binary, c long")
+def _vocabulary(spark, n=700, most=600):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 900 - i) for i in range(n)] + [(b"", 90)], "word binary, c long")
     return counts, lm.vocabulary(counts, most)
 
 
@@ -169,14 +169,14 @@ def _within(known, weights, place, one, two):
         for context, salt in ((one, 0xC2B2AE3D27D4EB4F), (two, 0xA0761D6478BD642F)):
             z += float(weights.nodes[((key ^ (context * salt & mask)) * 0xD6E8FEB86659FD93 & mask) >> (65 - len(weights.nodes).bit_length())])
         p /= 1 + math.exp(-sign * z)
-    return p
+    return p * math.exp(known.in_class[place])
 
 
 def test_probabilities_sum_to_one(spark):
     """All tokens' probabilities after some contexts, rare and unknown ones by their shares."""
     counts, known = _vocabulary(spark)
     weights, n = _weights(), len(known.counts)
-    assert n <= 100 and (np.diff(known.paths.start)[lm.OWN : n] > 0).any()
+    assert n <= 600 and (np.diff(known.paths.start)[lm.OWN : n] > 0).any()
     rare = [(bytes(r["word"]), r["c"]) for r in counts.collect() if bytes(r["word"]) not in known.place]
     for before in ([], [3], [70, 5], [4, n + 2]):
         total = 0.0
@@ -202,7 +202,7 @@ def test_scores_match_plain_loops(spark):
             place = int(places[at])
             one, two = (int(places[at - k]) + 1 if i >= k else 0 for k in (1, 2))
             z = known.class_bias + sum(weights.classes[row].astype(float) for row in rows[:, at])
-            want = z[known.classes[place]] - math.log(np.exp(z).sum()) + (known.in_class[place] if place >= n else math.log(_within(known, weights, place, one, two)))
+            want = z[known.classes[place]] - math.log(np.exp(z).sum()) + math.log(_within(known, weights, place, one, two))
             assert got[at] == pytest.approx(want, abs=1e-3)
             at += 1
 
