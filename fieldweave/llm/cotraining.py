@@ -113,17 +113,13 @@ class Views:
     def probabilities(self, odds: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of both views, and the combined one."""
         z = _calibrated(odds, self.calibration)
-        return np.column_stack([sigmoid(z), sigmoid(_joint(z) @ self.combined[:-1] + self.combined[-1])])
+        return np.column_stack([sigmoid(z), sigmoid(z @ self.combined[:-1] + self.combined[-1])])
 
 
 def _calibrated(odds: np.ndarray, calibration) -> np.ndarray:
     return np.column_stack([a * odds[:, k] + b for k, (a, b) in enumerate(calibration)]).clip(-12, 12)
 
 
-def _joint(z: np.ndarray) -> np.ndarray:
-    return np.column_stack([z, z.min(1)])
-
-
 class Rows:
     """Rows of the table of features: a dense layout, and word features as (text, feature, value)."""
 
@@ -312,9 +308,9 @@ def cotrain(labelled: Rows, ids: np.ndarray, y: np.ndarray, unlabelled: DataFram
     odds = views.log_odds(labelled)
     if held.sum() >= 20 and 0 < y[held].sum() < held.sum():
         views.calibration = tuple(platt(odds[held, k], y[held]) for k in range(2))
-        views.combined = logistic(_joint(_calibrated(odds[held], views.calibration)), y[held], np.ones(int(held.sum())), penalty=0.1)
+        views.combined = logistic(_calibrated(odds[held], views.calibration), y[held], np.ones(int(held.sum())), penalty=1.0)
     else:
-        views.combined = np.array([0.5, 0.5, 0.0, 0.0])
+        views.combined = np.array([0.5, 0.5, 0.0])
     return views, history
 
 
