@@ -85,7 +85,7 @@ def words(text: str | Column) -> Column:
     return F.filter(F.split(F.coalesce(column, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of a batch's rows whose ``column`` (binary, without nulls) holds about ``most_bytes``; one row at least.
 
     Bounds what Python objects are alive at once; a single text is never cut.

@@ -48,11 +48,11 @@ NUM, DEN = 4, 5
 #: The frequent shingles that every task knows: 8 bytes each, 2 MB.
 FREQUENT = 262_144
 #: Shingles that are counted together, and how often a frequent one is among them.
-COUNTED, OFTEN = 4_000_000, 4
+COUNTED, OFTEN = 2_000_000, 4
 BITS = 4096
 CHUNK, FANOUT, LEAF = 256, 8, 16
 #: Blocks from this number of classes on have trees.
-TREE = 64
+TREE = 16
 #: Rounds in which classes are compared with the leaders of their blocks.
 LEADERS = 2
 
@@ -287,31 +287,26 @@ def tree_candidates(blocks: DataFrame, signatures: DataFrame, scratch: Scratch)
     dealt = numbered.join(tasks, (F.col("key") == F.col("t_key")) & (F.col("chunk") == F.col("t_chunk"))).join(signatures, "class").select("key", "i", "j", "chunk", "n", "place", "class", "component", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         rest = None
         for batch in batches:
-            rows = batch.to_pandas()
-            if rest is not None:
-                rows = pd.concat([rest, rows], ignore_index=True)
-            group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy() if len(rows) else np.zeros(0, int)
-            whole = group < group[-1] if len(rows) else np.zeros(0, bool)
-            rest = rows[~whole]
-            yield _block_pairs(rows[whole], group[whole])
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            task = np.stack([rows[c].to_numpy() for c in ("key", "i", "j")])
+            bounds = np.flatnonzero((task[:, 1:] != task[:, :-1]).any(0)) + 1
+            last = int(bounds[-1]) if len(bounds) else 0  # the last group may go on in the next batch
+            rest = rows.slice(last)
+            yield _block_pairs(rows.slice(0, last), np.concatenate([[0], bounds]) if last else np.zeros(1, np.int64))
         if rest is not None:
-            yield _block_pairs(rest, np.zeros(len(rest), int))
+            yield _block_pairs(rest, np.array([0, rest.num_rows]))
 
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(rows, group: np.ndarray) -> pa.RecordBatch:
+def _block_pairs(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
     out_a, out_b = [], []
-    if len(rows):
-        ids, component, n, place = (rows[c].to_numpy(np.int64) for c in ("class", "component", "n", "place"))
-        chunk, i, j = (rows[c].to_numpy() for c in ("chunk", "i", "j"))
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1)
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+    if rows.num_rows:
+        ids, component, n, place, chunk, i, j = (rows[c].to_numpy() for c in ("class", "component", "n", "place", "chunk", "i", "j"))
+        bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(rows.num_rows, -1)
         for start, end in zip(bounds[:-1], bounds[1:], strict=True):
             one = np.arange(start, end)[chunk[start:end] == i[start]]
             two = np.arange(start, end)[chunk[start:end] == j[start]]
