@@ -45,14 +45,14 @@ from .hashing import mixed, run_hashes, word_hashes
 WIDTH = 5
 #: The similarity threshold as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: The frequent shingles that every task knows: 8 bytes each, 2 MB.
-FREQUENT = 262_144
+#: The frequent shingles that every task knows: 8 bytes each, 8 MB.
+FREQUENT = 1 << 20
 #: Shingles that are counted together, and how often a frequent one is among them.
-COUNTED, OFTEN = 2_000_000, 4
+COUNTED, OFTEN = 4_000_000, 4
 BITS = 4096
 CHUNK, FANOUT, LEAF = 256, 8, 16
 #: Blocks from this number of classes on have trees.
-TREE = 16
+TREE = 64
 #: Rounds in which classes are compared with the leaders of their blocks.
 LEADERS = 2
 
