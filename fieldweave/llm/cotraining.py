@@ -22,7 +22,7 @@ Defined results: a null text has no words; null language, source or size are
 values of their own; a null label does not count; of labels that repeat an id
 the largest counts. With labels of one kind only, every text gets that kind.
 Null ids stay null and get no pseudo-label, repeated rows get equal results,
-an empty table gives an empty result, and other columns are ignored.
+of labelled rows that repeat an id one is fitted on, an empty table gives an empty result, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -363,8 +363,9 @@ def train_features(found: DataFrame, labels: DataFrame, scratch: Scratch, *, lab
     rows = scratch.write(found.join(broadcast_if(marks, marks.count(), LABELS_SENT), "doc_id", "left"), "features")
     scratch.release()
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
-    own = rows.join(F.broadcast(some), "doc_id").collect()
-    own.sort(key=lambda r: (r["doc_id"], bytes(r["feature"]), bytes(r["times"]), bytes(r["layout"])))
+    parts = ("feature", "times", "layout", "size", "y")
+    own = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*parts)).alias("row")).select("doc_id", "row.*").collect()
+    own.sort(key=lambda r: r["doc_id"])
     labelled = Rows(np.array([r["size"] for r in own], np.int64), *([bytes(r[c]) for r in own] for c in ("layout", "feature", "times")))
     ids, y = np.array([r["doc_id"] for r in own], np.int64), np.array([r["y"] for r in own], float)
     del own

@@ -287,8 +287,8 @@ def train_round(texts: DataFrame, words: Broadcast, weights: Weights, tasks: int
     Class weights are averaged by tokens; a node's weight, which few tasks may
     have met, by what they learned of it (the sum of squared gradients, to an
     eighth of a power of two). A task returns its steps in blocks of weights;
-    blocks are added in two levels, so no task gets those of all others at
-    once, and the driver gets one set of weights.
+    those of 32 tasks are added at a time, level by level, and the driver gets
+    one set of weights.
     """
     shared = texts.sparkSession.sparkContext.broadcast(weights)
     n_blocks = -(-ROWS // BLOCK)
@@ -319,24 +319,27 @@ def train_round(texts: DataFrame, words: Broadcast, weights: Weights, tasks: int
         blocks += [(n_blocks + k, part, 0.0, change[b : b + NODE_BLOCK].tobytes(), learned[b : b + NODE_BLOCK].tobytes()) for k, b in enumerate(range(0, len(nodes), NODE_BLOCK))]
         yield pa.RecordBatch.from_pylist([dict(zip(("block", "part", "n", "moved", "learned"), x, strict=True)) for x in blocks], pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.float64()), ("moved", pa.binary()), ("learned", pa.binary())]))
 
-    def added(block: int, n: float, moved: np.ndarray, learned: np.ndarray | None) -> pa.Table:
-        columns = [[block], [0], [n], [moved.astype(np.float32).tobytes()], [None if learned is None else learned.astype(np.float32).tobytes()]]
+    def added(key: tuple, n: float, moved: np.ndarray, learned: np.ndarray | None) -> pa.Table:
+        block, part = (x.as_py() for x in key)
+        columns = [[block], [part // 32], [n], [moved.astype(np.float32).tobytes()], [None if learned is None else learned.astype(np.float32).tobytes()]]
         return pa.table(dict(zip(("block", "part", "n", "moved", "learned"), (pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)), strict=True)))
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         block, moves = key[0].as_py(), rows["moved"].to_pylist()
         if block < n_blocks:
-            return added(block, sum(rows["n"].to_pylist()), sum(np.frombuffer(x, np.float32).astype(np.float64) for x in moves), None)
+            return added(key, sum(rows["n"].to_pylist()), sum(np.frombuffer(x, np.float32).astype(np.float64) for x in moves), None)
         weight = [np.exp2(np.frombuffer(x, np.uint8) / np.float32(8)) - 1 for x in rows["learned"].to_pylist()]
-        return added(block, 0.0, sum(np.frombuffer(x, np.float16) * w for x, w in zip(moves, weight, strict=True)), sum(weight))
+        return added(key, 0.0, sum(np.frombuffer(x, np.float16) * w for x, w in zip(moves, weight, strict=True)), sum(weight))
 
     def rest(key: tuple, rows: pa.Table) -> pa.Table:
         plus = lambda c: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows[c].to_pylist())
-        return added(key[0].as_py(), sum(rows["n"].to_pylist()), plus("moved"), None if key[0].as_py() < n_blocks else plus("learned"))
+        return added(key, sum(rows["n"].to_pylist()), plus("moved"), None if key[0].as_py() < n_blocks else plus("learned"))
 
     schema = "block int, part int, n double, moved binary, learned binary"
     moved = texts.select("text").coalesce(tasks).mapInArrow(run, schema)
-    moved = moved.groupBy("block", "part").applyInArrow(first, schema).groupBy("block").applyInArrow(rest, schema)
+    moved, parts = moved.groupBy("block", "part").applyInArrow(first, schema), -(-tasks // 32)
+    while parts > 1:
+        moved, parts = moved.groupBy("block", "part").applyInArrow(rest, schema), -(-parts // 32)
     new = Weights(weights.classes.copy(), weights.nodes.copy())
     for r in moved.collect():
         step = np.frombuffer(bytes(r["moved"]), np.float32)

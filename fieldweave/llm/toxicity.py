@@ -94,10 +94,11 @@ def fit_chain(ids: np.ndarray, texts: list[bytes], labels: dict[str, np.ndarray]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, conditions: dict[str, str], most: int) -> DataFrame:
-    """Texts with labels: the ``most`` of smallest hashes of ids, so few enough to be broadcast."""
+    """Texts with labels: the ``most`` of smallest hashes of ids, so few enough to be broadcast; of rows that repeat an id, the least text."""
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.expr(c).cast("int")).cast("double").alias(name) for name, c in conditions.items()])
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(some), "doc_id")
+    found = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(name).alias(name) for name in conditions])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, conditions: dict[str, str] = CATEGORIES, most: int = SAMPLE) -> tuple[Chain, np.ndarray, dict[str, np.ndarray]]:
