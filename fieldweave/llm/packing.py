@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, slices, table, utf8
+from .common import Scratch, slices, small_batches, table, utf8
 
 CAPACITY = 4096
 END = np.uint32(1).tobytes()
@@ -96,6 +96,7 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
 def tokenized(docs: DataFrame, *, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``, and the ids themselves if wanted."""
     path = path or vocabulary()
+    small_batches(docs.sparkSession)
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, table, utf8
+from .common import WORD, slices, small_batches, table, utf8
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -134,6 +134,7 @@ def failed_bits() -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``failed``: the bits of the rules that a document fails."""
+    small_batches(docs.sparkSession)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(_measure, schema).withColumn("failed", failed_bits())
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, slices, table, utf8
+from .common import apart, slices, small_batches, table, utf8
 from .linear import WordScorer, WordTable, folds, logistic, meaning_features, sigmoid, words_of
 
 #: At most so many labelled texts are fitted on.
@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, *, conditions: dict[str, str] = CA
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """All columns of ``docs`` and ``p``, an array of the probabilities of the categories in order."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
