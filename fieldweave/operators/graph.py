@@ -5,8 +5,9 @@ in soil or rainfall. Places, areas, soils and rainfall are equi-joins: places
 by cells of a grid and the cells around, rainfall by bands. Feature vectors
 are alike by their angle: they are grouped round pivots, and by the triangle
 inequality only groups near enough are compared, in blocks of bounded size by
-matrix products that emit nothing but links. The union of the pairs is taken
-once and attributes are computed on it.
+matrix products that emit nothing but links; what a product leaves in doubt at
+the bound is decided by the formula that attributes have. The union of the
+pairs is taken once and attributes are computed on it.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ NEAR, ALIKE = 5000.0, 0.8
 ATTRIBUTES = ("distance_m", "shared_irrigation", "soil_similarity", "rainfall_similarity")
 #: Pivots of feature vectors at most, and vectors of a block about.
 PIVOTS, BLOCK = 64, 1024
+#: How far a cosine of a matrix product may be from that of the formula, by far.
+DOUBT = 1e-9
 
 
 def prepared(nodes: DataFrame) -> DataFrame:
-    """Missing places and rainfall are 0; ``unit`` is the feature vector at length 1, null if its length is near 0."""
+    """Missing places and rainfall are 0; ``length`` is the feature vector's, null if near 0."""
     out = nodes.select(
         "node_id",
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("x", "y", "rainfall_mm")],
@@ -40,7 +43,14 @@ def prepared(nodes: DataFrame) -> DataFrame:
         F.coalesce(F.col("features").cast("array<double>"), F.array().cast("array<double>")).alias("features"),
     )
     length = norm(F.col("features"))
-    return out.withColumn("length", length).withColumn("unit", F.when(F.col("length") >= 1e-8, F.transform("features", lambda v: v / F.col("length")))).drop("length")
+    return out.withColumn("length", length).withColumn("length", F.when(F.col("length") >= 1e-8, F.col("length")))
+
+
+def _distance(p: str, q: str) -> Column:
+    """The root of the squares, as SQL would have it; ``hypot`` where those leave the range of doubles."""
+    dx, dy = F.col(f"{p}x") - F.col(f"{q}x"), F.col(f"{p}y") - F.col(f"{q}y")
+    squares = dx * dx + dy * dy
+    return F.when((squares > 1e-290) & (squares < float("inf")), F.sqrt(squares)).otherwise(F.hypot(dx, dy))
 
 
 def _cells(nodes: DataFrame, coordinates: list[Column], size: float) -> tuple[DataFrame, DataFrame]:
@@ -59,8 +69,8 @@ def _pairs(left: DataFrame, right: DataFrame, key: str, condition: Column) -> Da
 
 
 def near_pairs(nodes: DataFrame, threshold: float = NEAR) -> DataFrame:
-    here, around = _cells(nodes.select("node_id", "x", "y"), [F.col("x"), F.col("y")], threshold)
-    return _pairs(here, around, "cell", F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) <= threshold)
+    here, around = _cells(nodes.select("node_id", "x", "y"), [F.col("x"), F.col("y")], threshold * (1 + 1e-9))
+    return _pairs(here, around, "cell", _distance("a.", "b.") <= threshold)
 
 
 def same_key_pairs(nodes: DataFrame, key: str) -> DataFrame:
@@ -87,15 +97,24 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _cosines(vectors: np.ndarray, length: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosines of pairs, with the roundings of :func:`attributes`: products are added place by place."""
+    total = np.zeros(len(a))
+    for place in vectors.T:
+        total += place[a] * place[b]
+    return total / (length[a] * length[b])
+
+
 def cosine_pairs(nodes: DataFrame, alike: float = ALIKE) -> DataFrame:
     """``src, dst``: pairs of feature vectors of one length with a cosine over ``alike``, exact, in both directions.
 
     Of vectors round two pivots none are alike if the angle between the pivots
     exceeds both groups' greatest angles and that of ``alike``. The driver holds
-    the pivots and one angle and count for each.
+    the pivots and one angle and count for each. Vectors that are not finite
+    are alike to none.
     """
     spark = nodes.sparkSession
-    some = nodes.where("unit IS NOT NULL").select("node_id", "unit").withColumn("dim", F.size("unit"))
+    some = nodes.where(F.col("length") < float("inf")).select("node_id", "features", "length", F.size("features").alias("dim"))
     found = [_alike_of(some.where(F.col("dim") == dim), dim, alike) for dim in sorted(r[0] for r in some.select("dim").distinct().collect())]
     none = spark.createDataFrame([], T.StructType([T.StructField(c, nodes.schema["node_id"].dataType) for c in ("src", "dst")]))
     return reduce(DataFrame.union, found, none)
@@ -103,15 +122,16 @@ def cosine_pairs(nodes: DataFrame, alike: float = ALIKE) -> DataFrame:
 
 def _alike_of(vectors: DataFrame, dim: int, alike: float) -> DataFrame:
     kind = vectors.schema["node_id"].dataType.simpleString()
-    pivots = np.array([r["unit"] for r in vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(PIVOTS).select("unit").collect()], float)
+    pivots = np.array([r["features"] for r in vectors.orderBy(F.xxhash64("node_id"), "node_id").limit(PIVOTS).select("features").collect()], float)
+    pivots /= np.linalg.norm(pivots, axis=1)[:, None]
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = _angle(_vectors(batch.column(1), dim) @ pivots.T)
+            angles = _angle(_vectors(batch.column(1), dim) / batch.column(2).to_numpy()[:, None] @ pivots.T)
             nearest = angles.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])], ["node_id", "unit", "pivot", "angle"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])], ["node_id", "features", "length", "pivot", "angle"])
 
-    own = vectors.select("node_id", "unit").mapInArrow(grouped, f"node_id {kind}, unit array<double>, pivot int, angle double")
+    own = vectors.select("node_id", "features", "length").mapInArrow(grouped, f"node_id {kind}, features array<double>, length double, pivot int, angle double")
     groups = {r["pivot"]: (r["far"], -(-r["n"] // BLOCK)) for r in own.groupBy("pivot").agg(F.max("angle").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     apart, widest = _angle(pivots @ pivots.T), float(_angle(np.array(alike))) + 1e-6
     meeting = [(a, b, groups[a][1], groups[b][1]) for a in groups for b in groups if a <= b and apart[a, b] <= groups[a][0] + groups[b][0] + widest]
@@ -121,17 +141,22 @@ def _alike_of(vectors: DataFrame, dim: int, alike: float) -> DataFrame:
     # a vector's block in its group, and the blocks of the other group that it meets
     block = lambda n: F.pmod(F.xxhash64("node_id"), F.col(n)).cast("int")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = own.join(pairs, F.col("pivot") == F.col("a")).select("a", "b", block("blocks_a").alias("i"), other("blocks_b").alias("j"), F.lit(0).alias("side"), "node_id", "unit")
-    right = own.join(pairs, F.col("pivot") == F.col("b")).select("a", "b", other("blocks_a").alias("i"), block("blocks_b").alias("j"), F.lit(1).alias("side"), "node_id", "unit")
+    left = own.join(pairs, F.col("pivot") == F.col("a")).select("a", "b", block("blocks_a").alias("i"), other("blocks_b").alias("j"), F.lit(0).alias("side"), "node_id", "features", "length")
+    right = own.join(pairs, F.col("pivot") == F.col("b")).select("a", "b", other("blocks_a").alias("i"), block("blocks_b").alias("j"), F.lit(1).alias("side"), "node_id", "features", "length")
     both = left.union(right).where("a < b OR i <= j")
 
     def compared(key: tuple, rows: pa.Table) -> pa.Table:
         side = rows["side"].to_numpy()
-        unit = _vectors(rows["unit"].combine_chunks(), dim)
+        vectors, length = _vectors(rows["features"].combine_chunks(), dim), rows["length"].to_numpy()
+        unit = vectors / length[:, None]
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        x, y = np.nonzero((unit[one] @ unit[two].T) > alike)
+        cosine = unit[one] @ unit[two].T
+        x, y = np.nonzero(cosine > alike - DOUBT)
+        sure = cosine[x, y] > alike + DOUBT
+        x, y = one[x], two[y]
+        sure[~sure] = _cosines(vectors, length, x[~sure], y[~sure]) > alike
         ids = rows["node_id"].combine_chunks()
-        first, second = ids.take(pa.array(one[x], pa.int64())), ids.take(pa.array(two[y], pa.int64()))
+        first, second = ids.take(pa.array(x[sure], pa.int64())), ids.take(pa.array(y[sure], pa.int64()))
         if key[0].as_py() != key[1].as_py() or key[2].as_py() != key[3].as_py():  # blocks of their own: each pair is here once
             first, second = pa.concat_arrays([first, second]), pa.concat_arrays([second, first])
         return pa.table({"src": first, "dst": second}).filter(pc.not_equal(first, second))
@@ -155,7 +180,7 @@ def edges(nodes: DataFrame, *, threshold: float = NEAR, alike: float = ALIKE, k:
 def nearest(pairs: DataFrame, prepared_nodes: DataFrame, k: int) -> DataFrame:
     """The pairs of each source's ``k`` nearest; those without a finite distance are out."""
     place = lambda p, name: prepared_nodes.select(F.col("node_id").alias(name), F.col("x").alias(f"{p}_x"), F.col("y").alias(f"{p}_y"))
-    far = pairs.join(place("a", "src"), "src").join(place("b", "dst"), "dst").select("src", "dst", F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")).alias("distance"))
+    far = pairs.join(place("a", "src"), "src").join(place("b", "dst"), "dst").select("src", "dst", _distance("a_", "b_").alias("distance"))
     order = W.partitionBy("src").orderBy("distance", "dst")
     finite = ~F.isnan("distance") & (F.col("distance") < float("inf"))
     return far.where(finite).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("src", "dst")
@@ -165,11 +190,12 @@ def attributes(pairs: DataFrame, prepared_nodes: DataFrame) -> DataFrame:
     side = lambda p, name: prepared_nodes.select(F.col("node_id").alias(name), *[F.col(c).alias(f"{p}_{c}") for c in prepared_nodes.columns if c != "node_id"])
     both = pairs.join(side("a", "src"), "src").join(side("b", "dst"), "dst")
     same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
-    cosine = F.when(F.col("a_unit").isNotNull() & F.col("b_unit").isNotNull() & (F.size("a_unit") == F.size("b_unit")), F.greatest(F.lit(0.0), dot(F.col("a_unit"), F.col("b_unit")))).otherwise(0.0)
+    lengths = F.col("a_length") * F.col("b_length")  # null if one is near 0
+    cosine = F.when(lengths.isNotNull() & (F.size("a_features") == F.size("b_features")), F.greatest(F.lit(0.0), dot(F.col("a_features"), F.col("b_features")) / lengths)).otherwise(0.0)
     return both.select(
         "src",
         "dst",
-        F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")).alias("distance_m"),
+        _distance("a_", "b_").alias("distance_m"),
         same("irrigation_id").cast("double").alias("shared_irrigation"),
         F.when(same("soil_type"), F.lit(1.0)).otherwise(cosine).alias("soil_similarity"),
         rainfall_similarity(F.col("a_rainfall_mm"), F.col("b_rainfall_mm")).alias("rainfall_similarity"),

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +175,35 @@ def test_cosine_pairs_in_blocks(spark, monkeypatch, alike):
     assert len(out) == len(set(out)) and set(out) == want
 
 
+def test_cosines_at_the_bound_go_by_the_formula(spark):
+    """Whole numbers with a cosine of exactly 0.8 or next to it; lengths that are roots."""
+    r = np.random.default_rng(3)
+    f = [[float(v) for v in x] for x in r.integers(-4, 5, size=(300, 4)) if x.any()]
+    nodes = spark.createDataFrame([(i, 0.0, 0.0, x, None, None, 0.0) for i, x in enumerate(f)], NODES)
+    cosine = lambda x, y: sum(p * q for p, q in zip(x, y)) / (math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(q * q for q in y)))
+    want = {(i, j): cosine(x, y) for i, x in enumerate(f) for j, y in enumerate(f) if i != j}
+    assert sum(abs(c - 0.8) < 1e-12 for c in want.values()) > 10
+    n = graph.prepared(nodes)
+    out = {(e["src"], e["dst"]): e["soil_similarity"] for e in graph.attributes(graph.cosine_pairs(n), n).collect()}
+    assert out == {pair: c for pair, c in want.items() if c > 0.8}
+
+
+def test_vectors_that_are_not_finite_take_no_links_from_others(spark):
+    odd = [[float("nan"), 1.0], [float("inf"), 1.0], [1e200, 1.0]]
+    nodes = spark.createDataFrame([(i, 0.0, 0.0, x, None, None, 0.0) for i, x in enumerate([[1.0, 0.1], [1.0, 0.2], *odd])], NODES)
+    assert {tuple(x) for x in graph.cosine_pairs(graph.prepared(nodes)).collect()} == {(0, 1), (1, 0)}
+
+
+def test_distances_are_roots_of_squares(spark):
+    r = np.random.default_rng(5)
+    places = [(float(x), float(y)) for x, y in r.uniform(-300, 300, size=(60, 2)).round(2)] + [(-2e-14, 0.0), (500.0, 0.0)]
+    nodes = spark.createDataFrame([(i, x, y, [], None, None, 0.0) for i, (x, y) in enumerate(places)], NODES)
+    far = lambda a, b: math.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+    want = {(i, j): far(a, b) for i, a in enumerate(places) for j, b in enumerate(places) if i != j and far(a, b) <= 500}
+    n = graph.prepared(nodes)
+    assert (60, 61) in want and {(e["src"], e["dst"]): e["distance_m"] for e in graph.attributes(graph.near_pairs(n, 500.0), n).collect()} == want
+
+
 def test_no_nodes_no_edges(spark):
     assert graph.edges(spark.createDataFrame([], NODES)).collect() == []
     assert graph.summary(spark.createDataFrame([], NODES), graph.edges(spark.createDataFrame([], NODES))).first()["empty_graph"]
