@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -558,14 +561,20 @@ def table_counts(spark, d):
 
 @query(f"""WITH {PX}, {_FULL}, c AS (SELECT count(*) AS n FROM good) SELECT n AS patches, {rnd("(SELECT mean FROM stats WHERE channel = 'nir')", 6)} AS nir_mean, CAST(greatest(1, floor(n * 0.7::DOUBLE)) - 1 AS BIGINT) AS last_train, 8::BIGINT AS steps, (SELECT count(*) FROM supplier) AS nodes, false AS empty_graph FROM c""")
 def dataset_manifest(spark, d):
-    """What the description of a dataset says, and its sequence and graph are whole in it."""
+    """What the description of a dataset says, and its sequence and graph are whole in its file."""
     measured = _moments(spark, d)
     numbered = patches.numbered(patches.validity(measured, ["scene"]), ["scene"])
     nodes = fx.supplier_nodes(spark, d)
     sequence = temporal.sequence(_scene_means(spark, d), ["ndvi", "evi"])
-    body = export.manifest(patches=numbered, statistics=patches.train_statistics(measured, numbered, ["scene"]), splits=patches.splits(numbered), sequence=sequence, nodes=nodes, edges=graph.edges(nodes, threshold=500.0, k=2))
-    graph_ = body["graph"]
-    if len(graph_["nodes"]) != graph_["node_count"] or len(graph_["edge_attr"]) != graph_["edge_count"] or len(body["temporal"]["sequences"]) != 8:
+    edges = graph.edges(nodes, threshold=500.0, k=2).persist(StorageLevel.DISK_ONLY)  # counted, then written
+    try:
+        body = export.manifest(patches=numbered, statistics=patches.train_statistics(measured, numbered, ["scene"]), splits=patches.splits(numbered), sequence=sequence, nodes=nodes, edges=edges)
+        graph_ = body["graph"]
+        with tempfile.TemporaryDirectory(prefix="fieldweave-") as folder:
+            written = export.write_whole(f"{folder}/dataset.json", body, nodes, edges)
+    finally:
+        edges.unpersist()
+    if written != (graph_["node_count"], graph_["edge_count"]) or len(body["temporal"]["sequences"]) != 8:
         raise ValueError("the description is not whole")
     row = (body["patches"], round(body["statistics"]["nir"]["mean"], 6), body["splits"]["train"][1], len(body["temporal"]["masks"]), graph_["node_count"], graph_["empty_graph"])
     return spark.createDataFrame([row], "patches long, nir_mean double, last_train long, steps long, nodes long, empty_graph boolean")

@@ -204,6 +204,22 @@ def test_distances_are_roots_of_squares(spark):
     assert (60, 61) in want and {(e["src"], e["dst"]): e["distance_m"] for e in graph.attributes(graph.near_pairs(n, 500.0), n).collect()} == want
 
 
+def test_nearest_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    """Small blocks and cells, equal distances, missing attributes and a place that is not finite."""
+    r = np.random.default_rng(11)
+    nodes = [(i, float(r.integers(0, 40) * 300), float(r.integers(0, 3) * 300), [float(v) for v in r.integers(-2, 3, 3)], str(r.integers(0, 4)), f"s{r.integers(0, 3)}" if i % 5 else None, float(r.integers(0, 30) * 50)) for i in range(120)]
+    nodes = spark.createDataFrame([*nodes, (900, float("nan"), 0.0, [1.0, 1.0, 1.0], "1", "s1", 50.0)], NODES)
+    every = graph.edges(nodes, threshold=500.0).toPandas()
+    every = every[every.distance_m < np.inf].sort_values(["src", "distance_m", "dst"])
+    want = {(int(a), int(b)) for a, b in every.groupby("src").head(4)[["src", "dst"]].to_numpy()}
+    monkeypatch.setattr(graph, "FEW", 5)
+    monkeypatch.setattr(graph, "BLOCK", 16)
+    few = graph.same_key_pairs(graph.prepared(nodes), "irrigation_id", 1).count()
+    assert few < graph.same_key_pairs(graph.prepared(nodes), "irrigation_id").count() / 2
+    out = [(e["src"], e["dst"]) for e in graph.edges(nodes, threshold=500.0, k=4).collect()]
+    assert len(out) == len(set(out)) and set(out) == want
+
+
 def test_no_nodes_no_edges(spark):
     assert graph.edges(spark.createDataFrame([], NODES)).collect() == []
     assert graph.summary(spark.createDataFrame([], NODES), graph.edges(spark.createDataFrame([], NODES))).first()["empty_graph"]

@@ -185,6 +185,19 @@ def test_manifest_holds_sequence_and_graph(spark, tmp_path):
     assert "nodes" not in export.manifest(most=3, **tables)["graph"] and export.manifest(**tables | {"nodes": nodes.limit(0), "edges": edges.limit(0)})["graph"]["empty_graph"]
 
 
+def test_a_large_graph_is_whole_in_the_file(spark, tmp_path):
+    one = {"patches": spark.range(1).selectExpr("id AS patch_id", "'train' AS split"), "statistics": spark.createDataFrame([("a", 1.0, 2.0)], "channel string, mean double, std double")}
+    one |= {"splits": spark.createDataFrame([("train", 0)], "split string, index long"), "sequence": spark.createDataFrame([(0, "2026-01-01", 1, [1.0])], "step int, ts string, mask long, features array<double>")}
+    nodes = spark.range(50).selectExpr("id AS node_id", "CASE WHEN id = 3 THEN double('NaN') ELSE id / 2 END AS x", "array(id * 1D) AS features")
+    edges = spark.range(90).selectExpr("id % 50 AS src", "id * 7 % 50 + id div 50 AS dst", "id * 1D AS distance_m", "0D AS shared_irrigation", "0.5D AS soil_similarity", "1D AS rainfall_similarity")
+    small = export.write_manifest(str(tmp_path / "a" / "dataset.json"), metadata={}, **one, nodes=nodes, edges=edges)
+    export.write_manifest(str(tmp_path / "b" / "dataset.json"), metadata={}, most=5, **one, nodes=nodes, edges=edges)
+    large = artifacts.read_json(tmp_path / "b" / "dataset.json")
+    assert len(small["graph"]["nodes"]) == 50 and len(small["graph"]["edge_attr"]) == 90
+    assert large["graph"] == small["graph"] and large["temporal"] == small["temporal"]
+    assert export.write_whole(tmp_path / "c.json", large, nodes.limit(0), edges.limit(0)) == (0, 0) and artifacts.read_json(tmp_path / "c.json")["graph"]["edge_index"] == [[], []]
+
+
 def test_checksums(spark, tmp_path):
     (tmp_path / "f.dat").write_bytes(b"x")
     row = artifacts.file_checksums(spark, str(tmp_path)).first()
