@@ -160,8 +160,8 @@ class Vocabulary:
         at, get = 0, self.place.get
         for words in split:
             own = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            for i in np.flatnonzero(own < 0).tolist():
-                own[i] = known + _ending(words[i]) % RARE
+            rare = np.flatnonzero(own < 0)
+            own[rare] = [known + _ending(words[i]) % RARE for i in rare.tolist()]
             out[at : at + len(own)] = own
             at += len(own)
         return out
@@ -228,7 +228,7 @@ def node_rows(paths: Paths, places: np.ndarray, one: np.ndarray, two: np.ndarray
     key = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     down = np.uint64(65 - n_weights.bit_length())
     hashed = [((key ^ (context * np.uint64(salt))[token]) * np.uint64(0xD6E8FEB86659FD93)) >> down for context, salt in ((one, 0xC2B2AE3D27D4EB4F), (two, 0xA0761D6478BD642F))]
-    return token, node, paths.sign[at], np.stack(hashed).astype(np.int64)
+    return token, node, paths.sign[at], np.stack(hashed).view(np.int64)
 
 
 def node_odds(paths: Paths, weights: np.ndarray, node: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -242,33 +242,62 @@ def descend_nodes(paths: Paths, weights: np.ndarray, memory: np.ndarray, node: n
     square = g * g
     for places in at:
         np.add.at(memory, places, square)
+    g *= np.float32(NODE_RATE)
     for places in at:
-        np.subtract.at(weights, places, np.float32(NODE_RATE) * g / np.sqrt(memory[places] + np.float32(0.1)))
+        np.subtract.at(weights, places, g / np.sqrt(memory.take(places) + np.float32(0.1)))
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities of all classes, and the logarithms of the chosen ones."""
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    z -= z.max()
+    own = z[np.arange(len(z)), chosen]
+    p = np.exp(z)
+    total = p @ np.ones(z.shape[1], z.dtype)
+    if total.min() < 1e-20:  # a row far below the greatest of all
+        top = z.max(1, keepdims=True)
+        own -= top[:, 0]
+        p = np.exp(z - top)
+        total = p.sum(1)
+    p *= (1 / total)[:, None]
+    return p, own - np.log(total)
+
+
+def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, ascending, and the sums of their values.
+
+    Where most rows come once or twice these are added as they are:
+    ``reduceat`` takes its time for each row and column.
+    """
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    if 2 * len(starts) < len(rows):
+        return ranked[starts].astype(np.intp), np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+    times = np.diff(starts, append=len(rows))
+    sums = values.take(order[starts], axis=0)
+    two = np.flatnonzero(times == 2)
+    sums[two] += values.take(order[starts[two] + 1], axis=0)
+    more = times > 2
+    if more.any():
+        some = values.take(order[np.repeat(more, times)], axis=0)
+        sums[more] = np.add.reduceat(some, np.cumsum(times[more]) - times[more], axis=0)
+    return ranked[starts].astype(np.intp), sums
 
 
 def descend(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step on a batch, in place; ``memory`` holds the mean squares of the rows' gradients."""
-    g = log_softmax(weights, bias, rows)
-    np.exp(g, out=g)
+    g, _ = softmax(weights, bias, rows, classes)
     g[np.arange(len(classes)), classes] -= 1
     for r in rows:
-        order = np.argsort(r, kind="stable")
-        ranked = r[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        sums = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-        used = ranked[starts]
-        memory[used] += np.einsum("ij,ij->i", sums, sums) / CLASSES
-        weights[used] -= (RATE / np.sqrt(memory[used] + 1e-2))[:, None] * sums
+        used, sums = row_sums(g, r)
+        squares = memory.take(used) + np.einsum("ij,ij->i", sums, sums) / CLASSES
+        memory[used] = squares
+        sums *= (RATE / np.sqrt(squares + 1e-2))[:, None]
+        weights[used] = weights.take(used, axis=0) - sums
 
 
 @dataclass
@@ -372,10 +401,10 @@ def log_probabilities(known: Vocabulary, weights: Weights, places: np.ndarray, s
     model = known.in_class[places]
     for at in range(0, len(places), BATCH):
         some = slice(at, at + BATCH)
-        p = log_softmax(weights.classes, bias, found[:, some])
+        _, p = softmax(weights.classes, bias, found[:, some], classes[some])
         token, node, sign, hashed = node_rows(known.paths, places[some], one[some], two[some], len(weights.nodes))
         steps = np.logaddexp(0, -node_odds(known.paths, weights.nodes, node, hashed) * sign)
-        model[some] += p[np.arange(len(p)), classes[some]] - np.bincount(token, steps, len(p))
+        model[some] += p - np.bincount(token, steps, len(p))
     return model
 
 

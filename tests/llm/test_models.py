@@ -247,3 +247,19 @@ def test_scores_of_nothing(make):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.score_documents(make([(only, "a b")])).first()
     assert (row["n_known"], row["train_tokens"], row["base_score"]) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("most", [3, 4000])
+def test_sums_of_rows_and_softmax_against_plain_ones(most):
+    r = np.random.default_rng(most)
+    values, rows = r.normal(size=(2048, lm.CLASSES)).astype(np.float32), r.integers(0, most, 2048).astype(np.uint16)
+    used, sums = lm.row_sums(values, rows)
+    assert used.tolist() == sorted(set(rows.tolist()))
+    assert np.allclose(sums, [values[rows == k].sum(0) for k in used], atol=1e-4)
+    weights = r.normal(size=(4001, lm.CLASSES)).astype(np.float32)
+    weights[1] -= 500  # far below the others
+    bias, chosen = np.zeros(lm.CLASSES, np.float32), r.integers(0, lm.CLASSES, 2048)
+    z = weights[rows].astype(float)
+    want = z - np.logaddexp.reduce(z, axis=1)[:, None]
+    p, own = lm.softmax(weights, bias, rows[None], chosen)
+    assert np.allclose(p, np.exp(want), atol=1e-4) and np.allclose(own, want[np.arange(2048), chosen], atol=1e-3)
