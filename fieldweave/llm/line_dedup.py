@@ -43,10 +43,16 @@ NUM, DEN = 4, 5
 #: Places of the table of counts; one byte each in a task.
 BUCKETS, BLOCK = 1 << 20, 1 << 10
 HASH_BITS = 57
+#: Blanks but space and line feed.
+OTHER_BLANKS = "\t\x0b\x0c\r"
+#: Up to so many words a signature is 64 bits of all of them; beyond, 64 bits for each half.
+SHORT = 56
 #: How many of the rarest keys bring a class to the first comparison; the rarest few may be those of edits.
 HEADS = 6
 #: With how many first classes of a key the others are compared beforehand.
 LEADERS = 6
+#: The least magnitude of such a key: rarer ones, of fewer than 32 words, have few classes, which meet each other directly.
+CROWDED = 6
 #: How many of a class's likeliest matches are verified before all others.
 LIKELIEST = 2
 #: Lines that are sent to every task at most, of some 32 bytes each, and numbers of removed lines, of 4 bytes and 40 for each document, which counts as two.
@@ -59,8 +65,9 @@ def tokens(line: Column) -> Column:
 
 def _spaced(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with every blank but line feeds as a space, so that words split at one character."""
-    other = r"[\x09\x0B-\x0D]"
-    text = F.when(F.col("text").rlike(other), F.regexp_replace("text", other, " ")).otherwise(F.col("text"))
+    # plain searches for the four bytes cost a tenth of a regular expression's
+    found = reduce(Column.__or__, [F.contains("text", F.lit(c)) for c in OTHER_BLANKS])
+    text = F.when(found, F.regexp_replace("text", f"[{OTHER_BLANKS}]", " ")).otherwise(F.col("text"))
     return docs.where("text IS NOT NULL").select("doc_id", text.alias("text"))
 
 
@@ -76,9 +83,9 @@ def magnitudes(docs: DataFrame, scratch: Scratch) -> Column:
     every = spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count"))
     size = F.when(F.sum("count") > 1, F.floor(F.log2(F.sum("count"))) + 1).otherwise(0).cast("tinyint")
     dense = counted.unionByName(every).groupBy("bucket").agg(size.alias("size"))
-    in_order = lambda x: F.array_sort(F.collect_list(x))
-    blocks = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(F.transform(in_order(F.struct("bucket", "size")), lambda x: x["size"]).alias("sizes"))
-    whole = blocks.groupBy().agg(F.flatten(F.transform(in_order(F.struct("block", "sizes")), lambda x: x["sizes"])).alias("sizes"))  # BUCKETS bytes
+    in_order = lambda x: F.sort_array(F.collect_list(x))
+    blocks = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(in_order(F.struct("bucket", "size"))["size"].alias("sizes"))
+    whole = blocks.groupBy().agg(F.flatten(in_order(F.struct("block", "sizes"))["sizes"]).alias("sizes"))  # BUCKETS bytes
     return scratch.write(whole, "sizes").scalar()
 
 
@@ -110,10 +117,14 @@ def keyed(docs: DataFrame, sizes: Column) -> DataFrame:
     hashed = lines.select("doc_id", "line_no", F.explode(F.array(_hashes(F.split("line", " ")))).alias("h")).where(F.size("h") > 0)
     keys = _keys(hashed, sizes).select("doc_id", "line_no", F.explode(F.array("keys")).alias("keys")).withColumn("n", F.size("keys"))
     prefix = F.when(F.col("n") >= DEN - 1, F.slice("keys", F.lit(1), _prefix(F.col("n")))).otherwise(F.array().cast("array<bigint>"))
-    # two words of bits: a hash's bit 30 says which, the six below say where
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 24).bitwiseAND(F.lit(63)).cast("int"))
-    signature = lambda half: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: F.when(k.bitwiseAND(F.lit(1 << 30)) == half, a.bitwiseOR(bit(k))).otherwise(a))
-    return keys.select("doc_id", "line_no", "n", *_digests(), signature(0).alias("s1"), signature(1 << 30).alias("s2"), prefix.alias("prefix"))
+    # the first six bits of a hash, which a shift takes by itself, say where in 64 bits; in long lines bit 30 says in which half
+    at = lambda k: F.shiftright(k, HASH_BITS - 6).cast("int")
+    bits = lambda one: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one(k), at(k))))
+    every = bits(lambda _: F.lit(1).cast("long"))
+    half = [bits(lambda k: F.shiftright(F.bitwise_not(k), 30).bitwiseAND(F.lit(1).cast("long"))), bits(lambda k: F.shiftright(k, 30).bitwiseAND(F.lit(1).cast("long")))]
+    s1 = F.when(F.col("n") <= SHORT, every).otherwise(half[0])
+    s2 = F.when(F.col("n") <= SHORT, F.lit(0).cast("long")).otherwise(half[1])
+    return keys.select("doc_id", "line_no", "n", *_digests(), s1.alias("s1"), s2.alias("s2"), prefix.alias("prefix"))
 
 
 def _prefix(n: Column) -> Column:
@@ -141,8 +152,9 @@ def _possible(x: str, y: str) -> Column:
 
     def lacking(one: str, two: str) -> Column:
         """The bits that the other set lacks: at least as many words are not in it."""
+        whole = [F.col(f"{side}.s1").bitwiseOR(F.col(f"{side}.s2")) for side in (one, two)]
         halves = [F.bit_count(F.col(f"{one}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{two}.{s}")))) for s in ("s1", "s2")]
-        return halves[0] + halves[1]
+        return F.when(F.least(n, m) <= SHORT, F.bit_count(whole[0].bitwiseAND(F.bitwise_not(whole[1])))).otherwise(halves[0] + halves[1])
 
     # different sets of one size differ in a word of each
     reachable = need <= F.least(n, m) - (n == m).cast("int")
@@ -153,10 +165,10 @@ def words_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sizes: Colum
     """``cls, words`` of the classes in ``pairs(later, earlier)``, from the line that is a class's place."""
     scratch = Scratch(docs.sparkSession, name)
     asked = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no", "d1", "d2"), "cls")
-    asked = scratch.write(asked.select("cls", F.col("doc_id").alias("w_doc"), "line_no", F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
+    asked = scratch.write(asked.select("cls", F.col("doc_id").alias("w_doc"), F.col("line_no").alias("w_line"), F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
     wanted = broadcast_if(asked, asked.count(), FEW)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")))
-    found = texts.select("cls", "w1", "w2", F.explode(F.array(tokens(F.get(F.split("text", "\n"), F.col("line_no"))))).alias("words")).where("words IS NOT NULL")
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    found = lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("line_no") == F.col("w_line"))).select("cls", "w1", "w2", F.explode(F.array(tokens(F.col("line")))).alias("words"))
     # Rows that repeat an id may have other lines at the place; only the class's own count.
     own = _keys(found.withColumn("h", _hashes(F.col("words"))), sizes).withColumns(dict(zip(("d1", "d2"), _digests(), strict=True))).where("d1 = w1 AND d2 = w2")
     words = scratch.write(own.select("cls", "words"), "words")
@@ -182,17 +194,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
     grouped = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prefix").alias("prefix"))
     # Numbers that run in order of place: partitions are ranges of places, in order.
+    grouped = scratch.write(grouped, "grouped")  # what orders rows reads them twice
     ordered = grouped.orderBy("at").select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "lines", "s1", "s2", "prefix", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     classes = scratch.write(ordered, "classes")
     places = scratch.write(lines.select("doc_id", "line_no", "d1", "d2", "n"), "places")
-    scratch.drop("keyed")
+    scratch.drop("keyed", "grouped")
     scratch.release()
     repeated = F.col("key") >= (1 << HASH_BITS)  # a magnitude over 0
     single = F.size(F.filter("prefix", lambda k: k < (1 << HASH_BITS)))  # these come first
     keys = classes.select("cls", "n", "lines", "s1", "s2", single.alias("single"), F.posexplode("prefix").alias("place", "key")).where(repeated)
 
     # Against the first classes, one for each remainder, and that of most lines, that have the same keys
-    heads = keys.where(F.col("place") < F.col("single") + HEADS)
+    heads = keys.where((F.col("place") < F.col("single") + HEADS) & (F.col("key") >= (CROWDED << HASH_BITS)))
     own = F.struct("cls", "n", "place", "s1", "s2")
     first = [F.min(F.when(F.pmod(F.xxhash64("cls"), F.lit(LEADERS)) == r, own)).alias(f"y{r}") for r in range(LEADERS)]
     leaders = heads.groupBy("key").agg(*first, F.max(F.struct("lines", (-F.col("cls")).alias("early"), own.alias("own")))["own"].alias("most"))

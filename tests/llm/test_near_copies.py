@@ -133,6 +133,21 @@ def test_long_lines_and_groups_of_near_copies(make):
     assert [list(x["removed"]) for x in out] == kept_lines(docs)
 
 
+def test_short_lines_have_one_signature_and_meet_longer_ones(make):
+    r = random.Random(8)
+    words = [f"u{i}" for i in range(600)]
+    base = r.sample(words, 70)
+    docs = [" ".join(base[: r.randint(45, 70)] + r.sample(words, r.randint(0, 4))) for _ in range(60)]
+    docs += ["\x0b".join(base[:60]), "\t".join(base[:50]) + "\r", "\x0c".join(base[:57])]
+    table = make(docs)
+    sizes = line_dedup.magnitudes(table, line_dedup.Scratch(table.sparkSession, "test"))
+    lines = line_dedup.keyed(table, sizes).collect()
+    assert min(x["n"] for x in lines) <= line_dedup.SHORT < max(x["n"] for x in lines)
+    assert all((x["s2"] == 0) == (x["n"] <= line_dedup.SHORT) and x["s1"] for x in lines)
+    out = line_dedup.dedup_lines(table).orderBy("doc_id").collect()
+    assert [list(x["removed"]) for x in out] == kept_lines(docs)
+
+
 def unrepeated(docs, width=20):
     split = [(t or "").encode().split() for t in docs]
     first, out = {}, []
