@@ -67,6 +67,8 @@ DEPTH = 7
 #: Distinct tokens that a counting task holds before it passes them on.
 HELD = 300_000
 BLOCK = 256
+#: Rows that come so often in a batch at most have their gradients added turn by turn.
+TURNS = 8
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -221,18 +223,26 @@ def contexts(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def node_rows(paths: Paths, places: np.ndarray, one: np.ndarray, two: np.ndarray, n_weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per step on the tokens' paths: token, node, sign, and the two places of its weights."""
-    steps = paths.start[places + 1] - paths.start[places]
+    first = paths.start.take(places)
+    steps = paths.start.take(places + 1) - first
     token = np.repeat(np.arange(len(places)), steps)
-    at = np.arange(len(token)) + np.repeat(paths.start[places] - (np.cumsum(steps) - steps), steps)
-    node = paths.node[at]
+    at = np.arange(len(token)) + np.repeat(first - (np.cumsum(steps) - steps), steps)
+    node = paths.node.take(at)
     key = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     down = np.uint64(65 - n_weights.bit_length())
-    hashed = [((key ^ (context * np.uint64(salt))[token]) * np.uint64(0xD6E8FEB86659FD93)) >> down for context, salt in ((one, 0xC2B2AE3D27D4EB4F), (two, 0xA0761D6478BD642F))]
-    return token, node, paths.sign[at], np.stack(hashed).view(np.int64)
+    hashed = np.empty((2, len(token)), np.uint64)
+    for out, context, salt in zip(hashed, (one, two), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F), strict=True):
+        np.bitwise_xor(key, np.repeat(context * np.uint64(salt), steps), out=out)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out >>= down
+    return token, node, paths.sign.take(at), hashed.view(np.int64)
 
 
 def node_odds(paths: Paths, weights: np.ndarray, node: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return paths.bias[node] + weights[at[0]] + weights[at[1]]
+    odds = paths.bias.take(node)
+    for places in at:
+        odds += weights.take(places)
+    return odds
 
 
 def descend_nodes(paths: Paths, weights: np.ndarray, memory: np.ndarray, node: np.ndarray, sign: np.ndarray, at: np.ndarray) -> None:
@@ -247,8 +257,8 @@ def descend_nodes(paths: Paths, weights: np.ndarray, memory: np.ndarray, node: n
         np.subtract.at(weights, places, g / np.sqrt(memory.take(places) + np.float32(0.1)))
 
 
-def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The probabilities of all classes, and the logarithms of the chosen ones."""
+def exponents(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the softmax the exponentials of all classes, their sums, and the exponents of the chosen ones."""
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
@@ -262,6 +272,12 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.
         own -= top[:, 0]
         p = np.exp(z - top)
         total = p.sum(1)
+    return p, total, own
+
+
+def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probabilities of all classes, and the logarithms of the chosen ones."""
+    p, total, own = exponents(weights, bias, rows, chosen)
     p *= (1 / total)[:, None]
     return p, own - np.log(total)
 
@@ -269,28 +285,31 @@ def softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.
 def row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ``rows``, ascending, and the sums of their values.
 
-    Where most rows come once or twice these are added as they are:
-    ``reduceat`` takes its time for each row and column.
+    ``reduceat`` takes its time for each row and column, so rows that come a
+    few times are added turn by turn.
     """
     order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
+    ranked = rows.take(order)
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    if 2 * len(starts) < len(rows):
-        return ranked[starts].astype(np.intp), np.add.reduceat(values.take(order, axis=0), starts, axis=0)
     times = np.diff(starts, append=len(rows))
-    sums = values.take(order[starts], axis=0)
-    two = np.flatnonzero(times == 2)
-    sums[two] += values.take(order[starts[two] + 1], axis=0)
-    more = times > 2
+    sums = values.take(order.take(starts), axis=0)
+    left = np.flatnonzero((times > 1) & (times <= TURNS))
+    for turn in range(1, TURNS):
+        if not len(left):
+            break
+        sums[left] += values.take(order.take(starts.take(left) + turn), axis=0)
+        left = left[times.take(left) > turn + 1]
+    more = times > TURNS
     if more.any():
         some = values.take(order[np.repeat(more, times)], axis=0)
         sums[more] = np.add.reduceat(some, np.cumsum(times[more]) - times[more], axis=0)
-    return ranked[starts].astype(np.intp), sums
+    return ranked.take(starts).astype(np.intp), sums
 
 
 def descend(weights: np.ndarray, bias: np.ndarray, memory: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step on a batch, in place; ``memory`` holds the mean squares of the rows' gradients."""
-    g, _ = softmax(weights, bias, rows, classes)
+    g, total, _ = exponents(weights, bias, rows, classes)
+    g *= (1 / total)[:, None]
     g[np.arange(len(classes)), classes] -= 1
     for r in rows:
         used, sums = row_sums(g, r)
@@ -401,10 +420,11 @@ def log_probabilities(known: Vocabulary, weights: Weights, places: np.ndarray, s
     model = known.in_class[places]
     for at in range(0, len(places), BATCH):
         some = slice(at, at + BATCH)
-        _, p = softmax(weights.classes, bias, found[:, some], classes[some])
+        _, total, own = exponents(weights.classes, bias, found[:, some], classes[some])
         token, node, sign, hashed = node_rows(known.paths, places[some], one[some], two[some], len(weights.nodes))
-        steps = np.logaddexp(0, -node_odds(known.paths, weights.nodes, node, hashed) * sign)
-        model[some] += p - np.bincount(token, steps, len(p))
+        odds = node_odds(known.paths, weights.nodes, node, hashed) * -sign
+        steps = np.log(1 + np.exp(-np.abs(odds))) + np.maximum(odds, 0)  # logaddexp(0, odds), in loops over many at a time
+        model[some] += own - np.log(total) - np.bincount(token, steps, len(own))
     return model
 
 

@@ -263,3 +263,19 @@ def test_sums_of_rows_and_softmax_against_plain_ones(most):
     want = z - np.logaddexp.reduce(z, axis=1)[:, None]
     p, own = lm.softmax(weights, bias, rows[None], chosen)
     assert np.allclose(p, np.exp(want), atol=1e-4) and np.allclose(own, want[np.arange(2048), chosen], atol=1e-3)
+
+
+def test_exponents_score_without_probabilities_and_rows_add_up_around_the_turns():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(0, 40, (50, lm.CLASSES)).astype(np.float32)  # some rows lie far below the greatest of all
+    bias, rows, chosen = np.zeros(lm.CLASSES, np.float32), rng.integers(0, 50, (3, 300)), rng.integers(0, lm.CLASSES, 300)
+    _, total, own = lm.exponents(weights, bias, rows, chosen)
+    z = weights[rows].astype(np.float64).sum(0)
+    plain = z[np.arange(300), chosen] - z.max(1) - np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
+    assert np.allclose(own - np.log(total), plain, rtol=1e-5, atol=1e-4)
+    times = [1, 2, lm.TURNS - 1, lm.TURNS, lm.TURNS + 1, 3 * lm.TURNS]
+    repeated = rng.permutation(np.repeat(np.arange(len(times), dtype=np.uint16) * 7, times))
+    values = rng.normal(size=(len(repeated), lm.CLASSES)).astype(np.float32)
+    used, sums = lm.row_sums(values, repeated)
+    assert used.tolist() == [7 * i for i in range(len(times))]
+    assert np.allclose(sums, [values[repeated == u].sum(0) for u in used], atol=1e-5)
