@@ -16,10 +16,10 @@ number) reaches the threshold, whether or not that earlier line stays.
    128 bits of all their words.
 4. Candidates are verified on their words.
 
-Classes that share their rarest keys are compared with a few first ones, and
-with the one that most lines equal, beforehand: lines that go then need not
-look for other reasons, so a group of many near copies does not meet itself
-pair by pair.
+Where many classes have one of their rarest keys in common, they are compared
+with a few first ones, and with the one that most lines equal, beforehand:
+lines that go then need not look for other reasons, so a group of many near
+copies does not meet itself pair by pair.
 
 Defined results: lines without a word are never removed; a null text stays
 null and has no lines. Null ids come last in order. Rows that repeat an id are
@@ -35,6 +35,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import BLANKS, Scratch, apart, broadcast_if, table
 
@@ -51,8 +52,10 @@ SHORT = 56
 HEADS = 6
 #: With how many first classes of a key the others are compared beforehand.
 LEADERS = 6
-#: The least magnitude of such a key: rarer ones, of fewer than 32 words, have few classes, which meet each other directly.
-CROWDED = 6
+#: The least number of classes that have such a key, and the magnitude that so many words have: fewer meet each other directly.
+CROWDED, MAGNITUDE = 64, 7
+#: Bits of the number of a line in that of its place.
+LINE_BITS = 31
 #: How many of a class's likeliest matches are verified before all others.
 LIKELIEST = 2
 #: Lines that are sent to every task at most, of some 32 bytes each, and numbers of removed lines, of 4 bytes and 40 for each document, which counts as two.
@@ -80,11 +83,14 @@ def magnitudes(docs: DataFrame, scratch: Scratch) -> Column:
     spark = docs.sparkSession
     words = _spaced(docs).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
-    every = spark.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("count"))
-    size = F.when(F.sum("count") > 1, F.floor(F.log2(F.sum("count"))) + 1).otherwise(0).cast("tinyint")
-    dense = counted.unionByName(every).groupBy("bucket").agg(size.alias("size"))
+    size = F.when(F.col("count") > 1, F.floor(F.log2("count")) + 1).otherwise(0).cast("long")
+    # eight sizes to a number, so that an eighth of the rows is gathered
+    packed = counted.select(F.shiftright("bucket", 3).alias("eight"), F.call_function("shiftleft", size, (F.col("bucket").bitwiseAND(F.lit(7)) * 8).cast("int")).alias("sizes"))
+    every = spark.range(BUCKETS // 8).select(F.col("id").alias("eight"), F.lit(0).cast("long").alias("sizes"))
+    dense = packed.unionByName(every).groupBy("eight").agg(F.sum("sizes").alias("sizes"))
+    apiece = dense.select("eight", F.array(*[F.shiftright("sizes", 8 * i).bitwiseAND(F.lit(127)).cast("tinyint") for i in range(8)]).alias("sizes"))
     in_order = lambda x: F.sort_array(F.collect_list(x))
-    blocks = dense.groupBy((F.col("bucket") / BLOCK).cast("int").alias("block")).agg(in_order(F.struct("bucket", "size"))["size"].alias("sizes"))
+    blocks = apiece.groupBy((F.col("eight") / (BLOCK // 8)).cast("int").alias("block")).agg(F.flatten(in_order(F.struct("eight", "sizes"))["sizes"]).alias("sizes"))
     whole = blocks.groupBy().agg(F.flatten(in_order(F.struct("block", "sizes"))["sizes"]).alias("sizes"))  # BUCKETS bytes
     return scratch.write(whole, "sizes").scalar()
 
@@ -115,15 +121,16 @@ def keyed(docs: DataFrame, sizes: Column) -> DataFrame:
     lines = _spaced(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # Exploding a single value keeps the optimizer from computing it again wherever it is used.
     hashed = lines.select("doc_id", "line_no", F.explode(F.array(_hashes(F.split("line", " ")))).alias("h")).where(F.size("h") > 0)
-    keys = _keys(hashed, sizes).select("doc_id", "line_no", F.explode(F.array("keys")).alias("keys")).withColumn("n", F.size("keys"))
+    # hashes of long lines in order, parted by a 0: which half a word's bit is in goes by the sign of its hash
+    zero = F.lit(0).cast("long")
+    parted = hashed.withColumn("signs", F.when(F.size("h") > SHORT, F.sort_array(F.concat("h", F.array(zero)))))
+    keys = _keys(parted, sizes).select("doc_id", "line_no", "signs", F.explode(F.array("keys")).alias("keys")).withColumns({"n": F.size("keys"), "zero": F.array_position("signs", zero).cast("int")})
     prefix = F.when(F.col("n") >= DEN - 1, F.slice("keys", F.lit(1), _prefix(F.col("n")))).otherwise(F.array().cast("array<bigint>"))
-    # the first six bits of a hash, which a shift takes by itself, say where in 64 bits; in long lines bit 30 says in which half
+    # six bits of a hash, which a shift takes by itself, say where in 64 bits
     at = lambda k: F.shiftright(k, HASH_BITS - 6).cast("int")
-    bits = lambda one: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", one(k), at(k))))
-    every = bits(lambda _: F.lit(1).cast("long"))
-    half = [bits(lambda k: F.shiftright(F.bitwise_not(k), 30).bitwiseAND(F.lit(1).cast("long"))), bits(lambda k: F.shiftright(k, 30).bitwiseAND(F.lit(1).cast("long")))]
-    s1 = F.when(F.col("n") <= SHORT, every).otherwise(half[0])
-    s2 = F.when(F.col("n") <= SHORT, F.lit(0).cast("long")).otherwise(half[1])
+    bits = lambda some: F.aggregate(some, zero, lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(k))))
+    s1 = F.when(F.col("n") <= SHORT, bits("keys")).otherwise(bits(F.slice("signs", F.lit(1), F.col("zero") - 1)))
+    s2 = F.when(F.col("n") <= SHORT, zero).otherwise(bits(F.slice("signs", F.col("zero") + 1, F.col("n"))))
     return keys.select("doc_id", "line_no", "n", *_digests(), s1.alias("s1"), s2.alias("s2"), prefix.alias("prefix"))
 
 
@@ -166,9 +173,11 @@ def words_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, sizes: Colum
     scratch = Scratch(docs.sparkSession, name)
     asked = pairs.select(F.col("later").alias("cls")).union(pairs.select("earlier")).distinct().join(classes.select("cls", "doc_id", "line_no", "d1", "d2"), "cls")
     asked = scratch.write(asked.select("cls", F.col("doc_id").alias("w_doc"), F.col("line_no").alias("w_line"), F.col("d1").alias("w1"), F.col("d2").alias("w2")), "wanted")
-    wanted = broadcast_if(asked, asked.count(), FEW)
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    found = lines.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("line_no") == F.col("w_line"))).select("cls", "w1", "w2", F.explode(F.array(tokens(F.col("line")))).alias("words"))
+    of_doc = asked.groupBy("w_doc").agg(F.collect_list(F.struct("w_line", "cls", "w1", "w2")).alias("wanted"))
+    wanted = broadcast_if(of_doc, asked.count(), FEW)
+    split = docs.where("text IS NOT NULL").join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc"))).select("wanted", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    lines = split.select(F.explode(F.transform("wanted", lambda w: F.struct(w["cls"].alias("cls"), w["w1"].alias("w1"), w["w2"].alias("w2"), F.get("lines", w["w_line"]).alias("line")))).alias("a")).select("a.*")
+    found = lines.where("line IS NOT NULL").select("cls", "w1", "w2", F.explode(F.array(tokens(F.col("line")))).alias("words"))
     # Rows that repeat an id may have other lines at the place; only the class's own count.
     own = _keys(found.withColumn("h", _hashes(F.col("words"))), sizes).withColumns(dict(zip(("d1", "d2"), _digests(), strict=True))).where("d1 = w1 AND d2 = w2")
     words = scratch.write(own.select("cls", "words"), "words")
@@ -185,27 +194,50 @@ def similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return right.select(F.col("later").alias("gone")).distinct()
 
 
+def numbered(lines: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Classes of equal lines with the place of the earliest one and a number ``cls`` that runs in order of place.
+
+    ``prefix`` is without its keys that occur once, which come first; ``single`` counts them.
+    """
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first() if whole else (None, None)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
+    span = 0 if low is None else high - low + 1
+    if whole and span < 1 << LINE_BITS:  # the place itself is a number; that of no id comes last
+        doc = F.coalesce(F.col("doc_id").cast("long") - (low or 0), F.lit(span).cast("long"))
+        place = F.call_function("shiftleft", doc, F.lit(LINE_BITS)).bitwiseOR(F.col("line_no").cast("long"))
+    grouped = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prefix").alias("prefix"))
+    if whole and span < 1 << LINE_BITS:
+        doc = F.shiftright("at", LINE_BITS)
+        doc = F.when(doc < span, doc + (low or 0)).cast(docs.schema["doc_id"].dataType)
+        own = [F.col("at").alias("cls"), doc.alias("doc_id"), F.col("at").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int").alias("line_no")]
+    else:  # partitions are ranges of places, in order
+        grouped = scratch.write(grouped, "grouped").orderBy("at")  # what orders rows reads them twice
+        own = [F.monotonically_increasing_id().alias("cls"), F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no")]
+    once = F.lit(1 << HASH_BITS)  # keys below are of magnitude 0
+    single = F.when(F.coalesce(F.get("prefix", F.lit(0)) >= once, F.lit(True)), 0).otherwise(F.size(F.filter("prefix", lambda k: k < once)))
+    ordered = grouped.select(*own, "d1", "d2", "n", "lines", "s1", "s2", single.alias("single"), "prefix")
+    left = F.when(F.col("single") > 0, F.slice("prefix", F.col("single") + 1, F.size("prefix"))).otherwise(F.col("prefix"))
+    return scratch.write(ordered.withColumn("prefix", left), "classes")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, removed``: the numbers of the lines that go, for documents that lose any."""
     scratch = Scratch(docs.sparkSession, "lines")
     sizes = magnitudes(docs, scratch)
     lines = scratch.write(keyed(docs, sizes), "keyed")
     scratch.release()
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")
-    grouped = lines.groupBy("d1", "d2", "n").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("prefix").alias("prefix"))
-    # Numbers that run in order of place: partitions are ranges of places, in order.
-    grouped = scratch.write(grouped, "grouped")  # what orders rows reads them twice
-    ordered = grouped.orderBy("at").select(F.monotonically_increasing_id().alias("cls"), "d1", "d2", "n", "lines", "s1", "s2", "prefix", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
-    classes = scratch.write(ordered, "classes")
+    classes = numbered(lines, docs, scratch)
     places = scratch.write(lines.select("doc_id", "line_no", "d1", "d2", "n"), "places")
     scratch.drop("keyed", "grouped")
     scratch.release()
-    repeated = F.col("key") >= (1 << HASH_BITS)  # a magnitude over 0
-    single = F.size(F.filter("prefix", lambda k: k < (1 << HASH_BITS)))  # these come first
-    keys = classes.select("cls", "n", "lines", "s1", "s2", single.alias("single"), F.posexplode("prefix").alias("place", "key")).where(repeated)
 
     # Against the first classes, one for each remainder, and that of most lines, that have the same keys
-    heads = keys.where((F.col("place") < F.col("single") + HEADS) & (F.col("key") >= (CROWDED << HASH_BITS)))
+    rarest = F.slice("prefix", 1, HEADS)
+    busy = classes.select(F.explode(rarest).alias("key")).where(F.col("key") >= (MAGNITUDE << HASH_BITS)).groupBy("key").count().where(F.col("count") >= CROWDED)
+    busy = scratch.write(busy.select("key"), "busy")
+    heads = classes.select("cls", "n", "lines", "s1", "s2", F.posexplode(rarest).alias("place", "key"), "single").withColumn("place", F.col("place") + F.col("single"))
+    heads = heads.join(broadcast_if(busy, busy.count(), FEW), "key")
     own = F.struct("cls", "n", "place", "s1", "s2")
     first = [F.min(F.when(F.pmod(F.xxhash64("cls"), F.lit(LEADERS)) == r, own)).alias(f"y{r}") for r in range(LEADERS)]
     leaders = heads.groupBy("key").agg(*first, F.max(F.struct("lines", (-F.col("cls")).alias("early"), own.alias("own")))["own"].alias("most"))
@@ -217,8 +249,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     scratch.release()
 
     # All classes that are left, against all that are earlier
-    marked = classes.join(gone, F.col("cls") == F.col("gone"), "left").select("cls", "n", "s1", "s2", F.col("gone").isNull().cast("int").alias("open"), "prefix")
-    meeting = marked.select("cls", "n", "s1", "s2", "open", F.posexplode("prefix").alias("place", "key")).where(repeated)
+    marked = classes.join(gone, F.col("cls") == F.col("gone"), "left").select("cls", "n", "s1", "s2", F.col("gone").isNull().cast("int").alias("open"), "single", "prefix")
+    meeting = marked.select("cls", "n", "s1", "s2", "open", "single", F.posexplode("prefix").alias("at", "key")).select("cls", "n", "s1", "s2", "open", (F.col("at") + F.col("single")).alias("place"), "key")
     x, y = meeting.alias("x"), meeting.alias("y")
     # Both sides need the same columns and neither is filtered by itself, so that both read one shuffle.
     condition = (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") > F.col("y.cls")) & (2 * F.col("x.open") > F.col("y.open")) & _possible("x", "y")
@@ -241,7 +273,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = F.col("lost") | ~F.col("doc_id").eqNullSafe(F.col("k_doc")) | (F.col("line_no") != F.col("k_line"))
     going = places.join(of_class, same).where(again)
     out = scratch.write(going.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
-    scratch.drop("places", "classes", "pairs", "near", "gone", "lost")
+    scratch.drop("places", "classes", "busy", "pairs", "near", "gone", "lost")
     scratch.release()
     return out
 

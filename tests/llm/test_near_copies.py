@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldweave.llm import line_dedup, ngram_join, substring_dedup
 
@@ -148,6 +149,54 @@ def test_short_lines_have_one_signature_and_meet_longer_ones(make):
     assert [list(x["removed"]) for x in out] == kept_lines(docs)
 
 
+@pytest.mark.parametrize("low", [-(1 << 63), (1 << 63) - 200, None])
+def test_places_are_numbers_where_ids_lie_close(make, monkeypatch, low):
+    """Then classes need no ordering; far ones, and ids of other types, are ordered as before."""
+    written, write = [], line_dedup.Scratch.write
+    monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    r = random.Random(11)
+    lines = [line for t in corpus(4, 30) for line in t.split(" x")][:60]
+    docs = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 6))) for _ in range(20)]
+    table = make([((low or 0) + i, t) for i, t in enumerate(docs)] + [(None, "\n".join(lines[:9])), (None, lines[40])])
+    if low is None:  # by code point, as numbers of three digits
+        table = table.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 3, "0"))
+    out = line_dedup.dedup_lines(table).where("doc_id IS NOT NULL").orderBy("doc_id").collect()
+    assert [list(x["removed"]) for x in out] == kept_lines(docs)
+    assert ("grouped" in written) == (low is None)
+    if low is not None:
+        far = line_dedup.dedup_lines(table.withColumn("doc_id", F.when(F.col("doc_id") == low, -(1 << 63)).when(F.col("doc_id") == low + 19, (1 << 63) - 1).otherwise(F.col("doc_id"))))
+        assert [list(x["removed"]) for x in far.where("doc_id IS NOT NULL").orderBy("doc_id").collect()] == kept_lines(docs)
+        assert "grouped" in written
+
+
+def test_classes_keep_repeated_keys_at_their_places(make):
+    table = make(["once shared twice again more", "shared twice other again more", None, "lone solo single sole"])
+    scratch = line_dedup.Scratch(table.sparkSession, "test")
+    sizes = line_dedup.magnitudes(table, scratch)
+    classes = line_dedup.numbered(line_dedup.keyed(table, sizes), table, scratch).orderBy("cls").collect()
+    assert [(x["doc_id"], x["line_no"], x["single"], len(x["prefix"])) for x in classes] == [(0, 0, 1, 1), (1, 0, 1, 1), (3, 0, 1, 0)]
+    assert all(k >= 1 << line_dedup.HASH_BITS for x in classes for k in x["prefix"])
+
+
+def test_only_crowded_keys_are_compared_beforehand(make, monkeypatch):
+    """Frequent words alone bring no class to the first comparison."""
+    found, similar = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs, words: found.append(pairs.count()) or similar(pairs, words))
+    words, r = [f"c{i}" for i in range(30)], random.Random(3)
+    docs = ["\n".join(" ".join([*r.sample(words, 9), *[f"n{d}x{k}y{i % 3}" for i in range(3)]]) for k in range(5)) for d in range(20)]
+    few = [" ".join([*words[:25], *r.sample(words[25:], 2)]) for _ in range(10)]
+    out = line_dedup.dedup_lines(make(docs + few)).orderBy("doc_id").collect()
+    assert [list(x["removed"]) for x in out] == kept_lines(docs + few)
+    assert found[0] == 0
+
+
+def test_lines_asked_for_under_an_id_of_several_texts(make):
+    a, b = "one two three four five six seven", "red green blue black white grey pink"
+    rows = [(4, a + "\n" + b), (4, "short"), (4, None), (5, b + " more"), (6, "zero\n" + a + " too")]
+    out = line_dedup.dedup_lines(make(rows)).orderBy("doc_id", "text").collect()
+    assert [(r["doc_id"], r["text"]) for r in out] == [(4, None), (4, a + "\n" + b), (4, "short"), (5, ""), (6, "zero")]
+
+
 def unrepeated(docs, width=20):
     split = [(t or "").encode().split() for t in docs]
     first, out = {}, []
